@@ -7,12 +7,13 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size of the plan: file sizes for tables, no job is run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def buckets(df: DataFrame, each: int = 128 << 20) -> int:
@@ -37,3 +38,35 @@ def settle(df: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one byte string, for rows that carry many small values through an exchange."""
+    head = [np.array([len(arrays)], np.int64).tobytes()]
+    for a in arrays:
+        head += [a.dtype.str.encode().ljust(8), np.array([len(a)], np.int64).tobytes()]
+    return b"".join(head + [np.ascontiguousarray(a).tobytes() for a in arrays])
+
+
+def unpack(data) -> list[np.ndarray]:
+    data = memoryview(data)
+    k = int(np.frombuffer(data[:8], np.int64)[0])
+    out, at = [], 8 + 16 * k
+    for i in range(k):
+        h = data[8 + 16 * i : 24 + 16 * i]
+        dtype, n = np.dtype(bytes(h[:8]).decode().strip()), int(np.frombuffer(h[8:], np.int64)[0])
+        out.append(np.frombuffer(data[at : at + n * dtype.itemsize], dtype))
+        at += n * dtype.itemsize
+    return out
+
+
+def small(a: np.ndarray) -> np.ndarray:
+    """Non-negative whole numbers in the narrowest type that holds them."""
+    most = int(a.max()) if len(a) else 0
+    return a.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
+
+
+def by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order by bucket, and where each of n buckets starts in it."""
+    order = np.argsort(bucket.astype(np.uint16 if n < 1 << 16 else np.uint32), kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=n))])
