@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -70,3 +71,19 @@ def by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """A stable order by bucket, and where each of n buckets starts in it."""
     order = np.argsort(bucket.astype(np.uint16 if n < 1 << 16 else np.uint32), kind="stable")
     return order, np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=n))])
+
+
+def at_most(counts: DataFrame, key: str, n: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys (long, sorted as unsigned) with the largest counts, most of them at most, and their counts.
+
+    A histogram of bounded length finds the least count that fits, so ties there are all left out.
+    """
+    level = F.when(F.col(n) < 4096, F.col(n)).otherwise((4096 + 64 * (F.log2(n) - 12)).cast("long"))
+    hist = counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).toPandas().sort_values("level", ascending=False)
+    fit = hist.level[hist.rows.cumsum() <= most]
+    if not len(fit):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    top = counts.where(level >= int(fit.min())).select(key, n).toPandas()
+    k = top[key].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(k)
+    return k[order], top[n].to_numpy(np.int64)[order]
