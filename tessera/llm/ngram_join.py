@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 
 from . import text as X
 from .components import components
-from .spread import buckets, by_bucket, pack, settle, small, unpack
+from .spread import at_most, buckets, by_bucket, pack, settle, small, unpack
 
 SHINGLE = 5
 PERCENT = 80
-HEAVY = 1_000_000
+HEAVY = 400_000
 SMALL_MOST = 12
 BROADCAST_ROWS = 1_000_000
 GATHER = 2_000_000
@@ -118,18 +118,12 @@ def survey(docs: DataFrame) -> DataFrame:
 
 
 def _heavy(found: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """The most repeated shingles, sorted, with their counts, HEAVY at most; and a list's mean length beyond one."""
+    """The most repeated shingles, sorted, with their counts, HEAVY at most; and how many others share a shingle's list."""
     counts = settle(found.where("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")))
-    hist = counts.groupBy(F.least("n", F.lit(4096)).alias("n")).agg(F.count("*").alias("rows"), F.sum(F.col("n") * F.col("n")).cast("double").alias("sq")).toPandas().sort_values("n")
+    h, n = at_most(counts, "k1", "n", HEAVY)
     total = found.where("kind = 0").agg(F.sum("n")).first()[0] or 0
-    over = hist.rows[::-1].cumsum()[::-1]
-    fit = hist.n[over <= HEAVY]
-    if not len(fit):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), 0.0
-    top = counts.where(F.col("n") >= int(fit.min())).toPandas()
-    h = top.k1.to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], top.n.to_numpy(np.int64)[order], float(hist.sq[hist.n < fit.min()].sum()) / max(total, 1)
+    light = counts.where(F.col("n") < int(n.min())) if len(n) else counts
+    return h, n, float(light.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0) / max(total, 1)
 
 
 def boundary(sizes: dict[int, int], scan: float) -> int:

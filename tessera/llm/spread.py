@@ -83,7 +83,7 @@ def at_most(counts: DataFrame, key: str, n: str, most: int) -> tuple[np.ndarray,
     fit = hist.level[hist.rows.cumsum() <= most]
     if not len(fit):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    top = counts.where(level >= int(fit.min())).select(key, n).toPandas()
-    k = top[key].to_numpy(np.int64).view(np.uint64)
+    top = counts.where(level >= int(fit.min())).select(key, n).toArrow()
+    k = top[key].to_numpy().view(np.uint64)
     order = np.argsort(k)
-    return k[order], top[n].to_numpy(np.int64)[order]
+    return k[order], top[n].to_numpy()[order]
