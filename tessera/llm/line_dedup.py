@@ -29,7 +29,7 @@ from .spread import settle
 
 MAX_RATIO = 0.01
 MIN_PAGES = 5
-PIECE = 4_000_000
+PIECE = 1_000_000
 GATHER = 1_000_000
 
 
@@ -107,9 +107,9 @@ def _pieces(keys: DataFrame) -> list[np.ndarray]:
     out = []
     for i in range(parts):
         p = keys if parts == 1 else keys.where(F.pmod(F.col("k1"), F.lit(parts)) == i)
-        t = p.toPandas()
-        k = np.zeros(len(t), dtype=[("a", np.uint64), ("b", np.uint64)])
-        k["a"], k["b"] = t.k1.to_numpy(np.int64).view(np.uint64), t.k2.to_numpy(np.int64).view(np.uint64)
+        t = p.toArrow()
+        k = np.zeros(t.num_rows, dtype=[("a", np.uint64), ("b", np.uint64)])
+        k["a"], k["b"] = t["k1"].to_numpy().view(np.uint64), t["k2"].to_numpy().view(np.uint64)
         out.append(np.sort(k, order=["a", "b"]))
     return out
 
