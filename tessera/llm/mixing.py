@@ -22,7 +22,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import mix as scramble
@@ -100,7 +100,7 @@ def take(size: np.ndarray, order: np.ndarray, quota: int, block: int, key: int)
     times = np.full(n, quota // n, dtype=np.int64)
     rest = quota % n
     if rest:
-        rank = scramble(np.arange(n, dtype=np.uint64) + np.uint64(key & (2**63 - 1)))
+        rank = scramble(np.arange(n, dtype=np.uint64) ^ scramble(np.array([key & (2**63 - 1)], np.uint64)))
         times[np.argsort(rank, kind="stable")[:rest]] += 1
     edge = np.minimum(np.arange(n + 1, dtype=np.int64) * block, total)
     upto = np.concatenate([[0], np.cumsum(times * np.diff(edge))])
@@ -172,8 +172,13 @@ def apportion(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: in
 def mix(docs: DataFrame, **how) -> DataFrame:
     """docs with a column taken: the words of the row that the mix takes. Rows that it leaves out go.
 
-    doc_id must identify a row; rows that share one are joined as they are, so settle that before.
+    Rows that share a doc_id are told apart by their sizes; those equal in both are alike to the mix.
+    The join always shuffles, so that its cost is in proportion to the input at every size.
     """
-    counts = apportion(docs, **how).where("taken > 0").select(F.col("doc_id").alias("_mixed"), "taken")
-    own = [c for c in docs.columns if c != "taken"]
-    return docs.select(*own).join(counts, F.col("doc_id") == F.col("_mixed")).drop("_mixed")
+    text, doc_id = how.get("text", "text"), how.get("doc_id", "doc_id")
+    counts = apportion(docs, **how)
+    counts = counts.select(F.col("doc_id").alias("_d"), "taken", F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "taken")).alias("_j")).where("taken > 0")
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0))
+    own = docs.drop("taken").withColumn("_c", F.col(doc_id).cast("long")).withColumn("_s", size)
+    own = own.withColumn("_i", F.row_number().over(Window.partitionBy("_c").orderBy("_s"))).drop("_s")
+    return own.join(counts.hint("merge"), F.col("_c").eqNullSafe(F.col("_d")) & (F.col("_i") == F.col("_j"))).drop("_c", "_d", "_i", "_j")

@@ -316,6 +316,6 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs less those that link, directly or by others, with a smaller doc_id; rows that repeat a kept doc_id stay."""
+    """docs less those that link, directly or by others, with a smaller doc_id; rows that repeat a kept doc_id, or have none, stay."""
     gone = groups(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")

@@ -292,7 +292,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), and kept_text if asked for."""
     spots = repeats(docs, min_words).groupBy("_d").agg(F.collect_list("_at").alias("_at"))
-    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_k", F.coalesce("doc_id", F.lit(LAST))).join(spots, F.col("_k") == F.col("_d"), "left").select("doc_id", "text", "_at")
+    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_k", F.coalesce("doc_id", F.lit(LAST))).join(spots.hint("merge"), F.col("_k") == F.col("_d"), "left").select("doc_id", "text", "_at")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
