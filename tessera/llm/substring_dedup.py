@@ -217,9 +217,19 @@ def _unsteps(byte: np.ndarray, wide: np.ndarray, step: np.ndarray, count: np.nda
     return total - np.repeat(total[start] - pos[start], count) if len(pos) else pos
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """_d, _at: for a document (null id: LAST), packed starts of windows that also start earlier; several rows each."""
-    n_buckets = buckets(docs)
+def _group(doc: np.ndarray, n: int) -> np.ndarray:
+    """The group, of n, that a document is dealt to."""
+    return (X.mix(doc.view(np.uint64)) >> np.uint64(33)).astype(np.int64) % n
+
+
+def _spots(doc: np.ndarray, pos: np.ndarray) -> bytes:
+    """Positions of some documents, sorted, packed."""
+    byte, wide, step, start = _steps(pos, doc)
+    return pack(doc[start], small(np.diff(np.append(start, len(doc)))), byte, wide, step)
+
+
+def repeats(docs: DataFrame, n_buckets: int, min_words: int = MIN_WORDS) -> DataFrame:
+    """_g, _at: for a group of documents (null id: LAST), packed starts of windows that also start earlier; several rows each."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -240,11 +250,10 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             if len(later):
                 later = later[np.lexsort((pos[later], doc[later]))]
                 d = doc[later]
-                order, ptr = by_bucket((X.mix(d.view(np.uint64)) >> np.uint64(33)).astype(np.int64) % n_buckets, n_buckets)
+                order, ptr = by_bucket(_group(d, n_buckets), n_buckets)
                 for i in np.flatnonzero(np.diff(ptr)):
                     at = later[order[ptr[i] : ptr[i + 1]]]
-                    byte, wide, step, start = _steps(pos[at], doc[at])
-                    out.append((int(i), 1, pack(doc[at][start], small(np.diff(np.append(start, len(at)))), byte, wide, step)))
+                    out.append((int(i), 1, _spots(doc[at], pos[at])))
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "kind", "packed"])
 
         for b in batches:
@@ -281,41 +290,55 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         d, p = np.concatenate(out_d), np.concatenate(out_p)
         order = np.lexsort((p, d))
         d, p = d[order], p[order]
-        start = np.flatnonzero(np.diff(d, prepend=d[0] - 1 if len(d) else 0)) if len(d) else np.zeros(0, np.int64)
-        ends = np.append(start[1:], len(d))
-        return pa.table({"_d": pa.array(d[start], pa.int64()), "_at": pa.array([small(p[a:b]).dtype.char.encode() + small(p[a:b]).tobytes() for a, b in zip(start, ends, strict=True)], pa.binary())})
+        order, ptr = by_bucket(_group(d, n_buckets), n_buckets)
+        groups = np.flatnonzero(np.diff(ptr))
+        return pa.table({"_g": pa.array(groups, pa.int32()), "_at": pa.array([_spots(d[k], p[k]) for k in (order[ptr[i] : ptr[i + 1]] for i in groups)], pa.binary())})
 
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_d"), F.col("text"))
-    return keyed.mapInArrow(deal, "bucket int, kind int, packed binary").groupBy("bucket").applyInArrow(settle_bucket, "_d long, _at binary")
+    return keyed.mapInArrow(deal, "bucket int, kind int, packed binary").groupBy("bucket").applyInArrow(settle_bucket, "_g int, _at binary")
 
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), and kept_text if asked for."""
-    spots = repeats(docs, min_words).groupBy("_d").agg(F.collect_list("_at").alias("_at"))
-    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_k", F.coalesce("doc_id", F.lit(LAST))).join(spots.hint("merge"), F.col("_k") == F.col("_d"), "left").select("doc_id", "text", "_at")
+    n_buckets = buckets(docs)
+    spots = repeats(docs, n_buckets, min_words)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
-            for s, spots in zip(b.column(1), b.column(2).to_pylist(), strict=True):
-                ws = (s.as_py() or "").encode().split()
-                n = 0
-                if spots:
-                    edge = np.zeros(len(ws) + 1, np.int64)
-                    for x in spots:
-                        at = np.frombuffer(x, x[:1].decode(), offset=1).astype(np.int64)
-                        np.add.at(edge, at, 1)
-                        np.add.at(edge, at + min_words, -1)
-                    keep = np.cumsum(edge[:-1]) == 0
-                    n, total = int((~keep).sum()), len(ws)
-                    kept = b" ".join(compress(ws, keep))
-                else:
-                    total, kept = len(ws), b" ".join(ws)
-                rows.append((total, n, hashlib.sha256(kept).hexdigest(), *([kept.decode()] if keep_text else [])))
-            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(3 + keep_text)]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = [x.split()[0] for x in schema.split(", ")]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], names)
-
-    return both.mapInArrow(cut, schema)
+            ids = b.column(0).fill_null(LAST).to_numpy()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_group(ids, n_buckets).astype(np.int32))], ["doc_id", "text", "_g"])
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        d, p = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x in right.column("_at"):
+            doc, count, byte, wide, step = unpack(x.as_buffer())
+            d.append(np.repeat(doc, count))
+            p.append(_unsteps(byte, wide, step, count.astype(np.int64)))
+        d, p = np.concatenate(d), np.concatenate(p)
+        order = np.argsort(d, kind="stable")
+        d, p = d[order], p[order]
+        ids = left.column("doc_id").fill_null(LAST).to_numpy()
+        lo, hi = np.searchsorted(d, ids, "left"), np.searchsorted(d, ids, "right")
+        rows: list[tuple] = []
+        for s, a, z in zip(left.column("text"), lo, hi, strict=True):
+            ws = (s.as_py() or "").encode().split()
+            n = 0
+            if z > a:
+                edge = np.zeros(len(ws) + 1 + min_words, np.int64)
+                at = p[a:z][p[a:z] <= len(ws) - min_words]  # of rows that share an id, another may be longer
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + min_words, -1)
+                keep = np.cumsum(edge)[: len(ws)] == 0
+                n = int((~keep).sum())
+                kept = b" ".join(compress(ws, keep))
+            else:
+                kept = b" ".join(ws)
+            rows.append((len(ws), n, hashlib.sha256(kept).hexdigest(), *([kept.decode()] if keep_text else [])))
+        cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(3 + keep_text)]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+        names = [x.split()[0] for x in schema.split(", ")]
+        return pa.table([left.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], names=names)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(group, "doc_id long, text string, _g int")
+    return rows.groupBy("_g").cogroup(spots.groupBy("_g")).applyInArrow(cut, schema)
