@@ -375,8 +375,18 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
         who, local = np.unique(doc, return_inverse=True)
         each = n[of][kind]
         add = lambda x: np.bincount(local, weights=x, minlength=len(who))
-        return pa.table({"d": who, "held_out": np.bincount(local, weights=train, minlength=len(who)) == 0, "n_tokens": np.bincount(local, minlength=len(who)).astype(np.int32), "n_known": add(each > 0).astype(np.int32), "base": add(np.log10(each + 1.0)), "score": add(np.log10(mean / len(chain.value))[kind])})
+        cols = [who, add(train) == 0, small(np.bincount(local, minlength=len(who))), small(add(each > 0).astype(np.int64)), add(np.log10(each + 1.0)), add(np.log10(mean / len(chain.value))[kind])]
+        order, ptr = by_bucket((X.mix(who.view(np.uint64)) >> np.uint64(33)).astype(np.int64) % n_buckets, n_buckets)
+        groups = np.flatnonzero(np.diff(ptr))
+        return pa.table({"g": pa.array(groups, pa.int32()), "packed": pa.array([pack(*(c[order[ptr[i] : ptr[i + 1]]] for c in cols)) for i in groups], pa.binary())})
+
+    def total_up(group: pa.Table) -> pa.Table:
+        cols = [np.concatenate(c) for c in zip(*(unpack(x.as_buffer()) for x in group.column("packed")), strict=True)]
+        who, local = np.unique(cols[0], return_inverse=True)
+        add = lambda x: np.bincount(local, weights=x, minlength=len(who))
+        whole = lambda x: add(x).astype(np.int64)
+        return pa.table({"d": who, "held_out": add(~cols[1]) == 0, "n_tokens": whole(cols[2]), "n_known": whole(cols[3]), "base": add(cols[4]), "score": add(cols[5])})
 
-    parts = rows.mapInArrow(send, "bucket int, packed binary").groupBy("bucket").applyInArrow(rate, "d long, held_out boolean, n_tokens int, n_known int, base double, score double")
-    out = parts.groupBy("d").agg(F.bool_and("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
+    parts = rows.mapInArrow(send, "bucket int, packed binary").groupBy("bucket").applyInArrow(rate, "g int, packed binary")
+    out = parts.groupBy("g").applyInArrow(total_up, "d long, held_out boolean, n_tokens long, n_known long, base double, score double")
     return out.select(F.when(F.col("d") != LAST, F.col("d")).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * math.log10(total + v + 1)).alias("base_score"), "score")
