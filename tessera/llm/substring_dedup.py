@@ -34,7 +34,7 @@ from . import text as X
 from .spread import buckets, by_bucket, pack, small, unpack
 
 MIN_WORDS = 20
-GATHER = 3_000_000
+GATHER = 2_000_000
 SHARD_WORDS = 100_000
 PASS_WORDS = 1_000_000
 LAST = 2**63 - 1
