@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, ngram_join, pitman_yor, quality_rules, substring_dedup
+from . import decontaminate, html_text, line_dedup, mixing, ngram_join, pitman_yor, quality_rules, substring_dedup, token_counts, tool_calls
+from .spread import settle, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,3 +71,49 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+REPLY_SCHEMA = [("reply", "text", "string", True), ("reply", "turn", "integer", True)]
+
+
+@_query
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls are the user turns of conversations, results the assistant turns after them."""
+    schemas = spark.createDataFrame(REPLY_SCHEMA, "name string, field string, type string, required boolean")
+    return tool_calls.link(tool_calls.as_calls(table(spark, sf_dir, "conversations")), schemas)
+
+
+ORACLES["op4_tool_calls"] = """
+WITH calls AS (SELECT CAST(conv_id AS varchar) AS conv_id, conv_id || ':' || turn AS call_id, turn, text FROM conversations WHERE role = 'user'),
+answers AS (SELECT CAST(conv_id AS varchar) AS conv_id, conv_id || ':' || (turn - 1) AS call_id, turn, text FROM conversations WHERE role = 'assistant'),
+first AS (SELECT conv_id, call_id, min(turn) AS call_turn, arg_min(coalesce(text, ''), to_json({text: coalesce(text, ''), turn: turn})::varchar) AS text, count(*) AS n_calls FROM calls GROUP BY ALL),
+answer AS (SELECT conv_id, call_id, min(turn) AS result_turn, arg_min(coalesce(text, ''), to_json(coalesce(text, ''))::varchar) AS reply, count(*) AS n_results FROM answers GROUP BY ALL)
+SELECT coalesce(f.conv_id, a.conv_id) AS conv_id, coalesce(f.call_id, a.call_id) AS call_id, CASE WHEN f.call_id IS NOT NULL THEN 'reply' END AS name, call_turn,
+  CASE WHEN f.call_id IS NOT NULL THEN 0 END::bigint AS slot, result_turn, CASE WHEN f.call_id IS NOT NULL THEN 0 END::bigint AS level, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
+  CASE WHEN n_calls IS NULL THEN 'orphan' WHEN n_results IS NULL THEN 'unanswered' ELSE 'linked' END AS status, CASE WHEN f.call_id IS NOT NULL THEN true END AS valid,
+  to_json({arguments: CASE WHEN f.call_id IS NOT NULL THEN {text: f.text, turn: f.call_turn} END, call_id: coalesce(f.call_id, a.call_id), name: CASE WHEN f.call_id IS NOT NULL THEN 'reply' END, result: a.reply})::varchar AS json
+FROM first f FULL OUTER JOIN answer a ON f.conv_id = a.conv_id AND f.call_id = a.call_id
+"""
+
+
+@_query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in; those labelled toxic go; those of low quality are counted anew as their first line. The second batch is sent twice."""
+    docs = table(spark, sf_dir, "documents")
+    whole = token_counts.count_tokens(docs)
+    lead = token_counts.count_tokens(docs.withColumn("text", F.substring_index("text", "\n", 1)))
+    counts = settle(whole.withColumn("part", F.lit("whole")).union(lead.withColumn("part", F.lit("lead"))))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_d"), "quality", "toxic")
+    of = lambda part, which: counts.where(F.col("part") == part).join(labels.where(which), F.col("doc_id") == F.col("_d"), "left_semi")
+    rollup = token_counts.Rollup(spark, shared_dir(spark))
+    rollup.commit("load", token_counts.signed(counts.where("part = 'whole'"), 1))
+    for _ in range(2):
+        rollup.commit("toxic", token_counts.signed(of("whole", "toxic = 1"), -1))
+    poor = "quality = 0 AND toxic = 0"
+    rollup.commit("poor", token_counts.revised(of("whole", poor), of("lead", poor)))
+    return rollup.totals()
