@@ -8,8 +8,8 @@ shingles is any fixed total order, so a table of the HEAVY most repeated ones, b
 in size and estimated within tasks, is enough to keep long lists out of the prefixes.
 
 Identical sets are one class. Lists are resolved in two rounds, and neither expands a
-group of copies to all its pairs: first each member is held against the list's smallest document,
-and components are formed from the pairs that pass; then only pairs whose ends lie in different
+group of copies to all its pairs: first each member is held against one document, the smallest of the lists
+that it shares most often, and components are formed from the pairs that pass; then only pairs whose ends lie in different
 components are counted over all lists. Every pair that counts is verified on the whole sets.
 
 Bound used: if J(a, b) >= 0.8 then |a & b| >= 0.8 max(|a|, |b|), so the first
@@ -154,8 +154,8 @@ def _keys(s: np.ndarray, rank: np.ndarray, most: int) -> np.ndarray:
 def postings(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], most: int) -> DataFrame:
     """kind 0: list key k, document a of b shingles. kind 1: documents a < b share c list keys; from lists of two and more.
 
-    A document's sets are dealt in packed rows by key. Kind 1 has, for each list, its smallest
-    document with each other that could link with it by size.
+    A document's sets are dealt in packed rows by key. Kind 1 holds the lists' smallest documents against their others, if they could
+    link by size: for each other document b that a whose lists hold it most often, of each bucket.
     """
     sc = docs.sparkSession.sparkContext
     n_buckets = buckets(docs)
@@ -230,13 +230,16 @@ def postings(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], most: int) -
         star = (a != b) & (np.minimum(n, m) * 100 >= PERCENT * np.maximum(n, m))
         pair = np.stack([a[star], b[star], np.minimum(n, m)[star]], axis=1)
         if len(pair):
-            order = np.lexsort((pair[:, 1], pair[:, 0]))
+            order = np.lexsort((pair[:, 0], pair[:, 1]))
             pair = pair[order]
             new = np.ones(len(pair), bool)
             new[1:] = (pair[1:, :2] != pair[:-1, :2]).any(axis=1)
             at = np.flatnonzero(new)
             count = np.diff(np.append(at, len(pair)))
             pair = pair[at]
+            order = np.lexsort((pair[:, 0], -count, pair[:, 1]))
+            best = order[np.append(True, pair[order][1:, 1] != pair[order][:-1, 1])]
+            pair, count = pair[best], count[best]
         else:
             count = np.zeros(0, np.int64)
         kind = np.repeat(np.array([0, 1], np.int32), [len(k), len(pair)])
@@ -292,7 +295,8 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     links = member.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
 
     listed = settle(postings(docs, (heavy, heavy_n), most))
-    star = listed.where("kind = 1").groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("k").alias("n")).where(F.col("c") * 2 >= 1 + F.floor(F.col("n") / 20))
+    star = listed.where("kind = 1").select("a", "b", "c", F.col("k").alias("n")).repartition("b").groupBy("b", "a").agg(F.sum("c").alias("c"), F.first("n").alias("n"))
+    star = star.groupBy("b").agg(F.max_by(F.struct("a", "n"), F.struct("c", -F.col("a"))).alias("x"), F.max("c").alias("c")).select("b", "x.a", "x.n", "c").where(F.col("c") * 2 >= 1 + F.floor(F.col("n") / 20))
     by = member.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     ra, rb = by.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), by.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"))
     first = verify(docs, star.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")))
