@@ -10,7 +10,7 @@ in size and estimated within tasks, is enough to keep long lists out of the pref
 Identical sets are one class. Lists are resolved in two rounds, and neither expands a
 group of copies to all its pairs: first each member is held against one document, the smallest of the lists
 that it shares most often, and components are formed from the pairs that pass; then only pairs whose ends lie in different
-components are counted over all lists. Every pair that counts is verified on the whole sets.
+components are counted, over all lists. Every pair that counts is verified on the whole sets.
 
 Bound used: if J(a, b) >= 0.8 then |a & b| >= 0.8 max(|a|, |b|), so the first
 |a| - ceil(0.8 |a|) + l shingles of a, and those of b, share at least l.
@@ -42,6 +42,7 @@ HEAVY = 400_000
 SMALL_MOST = 12
 BROADCAST_ROWS = 1_000_000
 GATHER = 2_000_000
+LIGHT = 32
 
 
 def need(n):
@@ -134,7 +135,7 @@ def boundary(sizes: dict[int, int], scan: float) -> int:
         lists = sum(c * (n - need(n) + share(n)) * (1 + scan) for n, c in sizes.items() if n >= need(most + 1))
         return subsets + lists
 
-    return min(range(SMALL_MOST + 1), key=lambda k: (cost(k), k))
+    return min(range(SMALL_MOST + 1), key=lambda k: (cost(k), -k))
 
 
 def _keys(s: np.ndarray, rank: np.ndarray, most: int) -> np.ndarray:
@@ -280,6 +281,57 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.mapInArrow(hold, "a long, b long")
 
 
+def least_shared(n, m):
+    """List keys that sets of n and m must share to link: their least overlap, less what may lie behind a prefix."""
+    behind = lambda k: F.ceil(k * PERCENT / 100.0) - 1 - F.floor(k / 20)  # noqa: E731  need(k) - share(k)
+    return F.greatest(F.lit(1), F.ceil((n + m) * PERCENT / (100.0 + PERCENT)) - F.greatest(behind(n), behind(m))).cast("long")
+
+
+def candidates(left: DataFrame, most: int) -> DataFrame:
+    """a < b of different components that share enough list keys; left: k, node, n, comp.
+
+    Keys of lists up to LIGHT documents are joined, and counted for each pair, beside the most keys of long lists that
+    it could share. Pairs that share keys of long lists alone are counted for a whole list at once,
+    by a product of matrices, and leave a list only if they pass and it is the first that they share.
+    """
+    sizes = left.groupBy("k").agg(F.count("*").alias("m"))
+    sized = settle(left.join(sizes, "k"))
+    light, heavy = sized.where(F.col("m") <= LIGHT).drop("m"), sized.where(F.col("m") > LIGHT).drop("m")
+    own = heavy.groupBy("node").agg(F.array_sort(F.collect_list("k")).alias("keys"))
+    held = light.join(own.select(F.col("node").alias("_o"), F.size("keys").alias("h")), F.col("node") == F.col("_o"), "left").drop("_o").fillna(0, ["h"])
+    x, y = (held.select(*[F.col(c).alias(f"{c}_{s}" if c != "k" else c) for c in held.columns]) for s in "xy")
+    pairs = x.join(y, "k").where(f"node_x < node_y and comp_x <> comp_y and least(n_x, n_y) * 100 >= {PERCENT} * greatest(n_x, n_y)")
+    pairs = pairs.groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(F.count("*").alias("c"), F.first("n_x").alias("n"), F.first("n_y").alias("m"), F.least(F.first("h_x"), F.first("h_y")).alias("h"))
+    # sets up to L may share a single subset only, so one key is enough for them
+    pairs = pairs.where((F.least("n", "m") <= most) | (F.col("c") + F.col("h") >= least_shared(F.col("n"), F.col("m")))).select("a", "b")
+
+    def behind(n: np.ndarray) -> np.ndarray:
+        return need(n) - share(n)
+
+    def meet(table: pa.Table) -> pa.Table:
+        node, n, comp = (table.column(c).to_numpy() for c in ("node", "n", "comp"))
+        key = table.column("k")[0].as_py()
+        lists = table.column("keys").combine_chunks()
+        words, at = np.unique(lists.values.to_numpy(), return_inverse=True)
+        row = np.repeat(np.arange(len(node)), np.diff(lists.offsets.to_numpy()))
+        grid = np.zeros((len(node), len(words)), np.float32)
+        grid[row, at] = 1
+        before = grid[:, : int(np.searchsorted(words, key))]
+        out = []
+        for lo in range(0, len(node), 1024):
+            i = slice(lo, lo + 1024)
+            low, high = np.minimum.outer(n[i], n), np.maximum.outer(n[i], n)
+            least = -(-(np.add.outer(n[i], n) * PERCENT) // (100 + PERCENT)) - np.maximum.outer(behind(n[i]), behind(n))
+            good = (np.less.outer(node[i], node)) & (np.not_equal.outer(comp[i], comp)) & (low * 100 >= PERCENT * high)
+            good &= ((grid[i] @ grid.T >= least) | (low <= most)) & (before[i] @ before.T == 0)
+            a, b = np.nonzero(good)
+            out.append(np.stack([node[i][a], node[b]]))
+        a, b = np.concatenate(out, axis=1)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return pairs.union(heavy.join(own, "node").groupBy("k").applyInArrow(meet, "a long, b long")).distinct()
+
+
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach); one row for each row of docs."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
@@ -309,11 +361,7 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     placed = placed.repartition("k").dropDuplicates(["k", "node"])  # this one exchange serves the next two steps too
     mixed = placed.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("k")
     left = settle(placed.join(mixed, "k"))
-    x, y = (left.select(*[F.col(c).alias(f"{c}_{s}" if c != "k" else c) for c in left.columns]) for s in "xy")
-    cross = x.join(y, "k").where(f"node_x < node_y and comp_x <> comp_y and least(n_x, n_y) * 100 >= {PERCENT} * greatest(n_x, n_y)")
-    cross = cross.groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("n_x", "n_y")).alias("n"))
-    # sets up to L may share a single subset only, so one key is enough for them
-    cross = cross.where(F.col("c") >= F.when(F.col("n") <= most, 1).otherwise(1 + F.floor(F.col("n") / 20)))
+    cross = settle(candidates(left, most))
     again = verify(docs, cross)
     links = settle(links.union(again.select("b", "a")))
     comp = components(links)
