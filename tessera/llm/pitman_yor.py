@@ -31,6 +31,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -330,32 +332,43 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     chain = sc.broadcast(models)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value[0]
-        for tok, before, doc, train in pieces(batches, True):
+        """Packed tokens for each bucket, and for each lot of documents that was read together its ids, once."""
+        own, part = shared.value[0], TaskContext.get().partitionId()
+        for lot, (tok, before, doc, train) in enumerate(pieces(batches, True), part << 32):
             ctx = contexts(before, own)
+            ids, one, doc = np.unique(doc, return_index=True, return_inverse=True)
+            train = train[one]
             order = np.argsort(tok, kind="stable")
-            tok, ctx, doc, train = tok[order], ctx[order], doc[order], train[order]
+            tok, ctx, doc = tok[order], ctx[order], doc[order]
             order, ptr = by_bucket(_bucket(tok, ctx, own, n_buckets), n_buckets)
-            out = []
+            out = [(lot % n_buckets, 1, pack(ids, ~train))]
             for i in np.flatnonzero(np.diff(ptr)):
                 k = order[ptr[i] : ptr[i + 1]]
                 at = np.flatnonzero(np.append(True, tok[k][1:] != tok[k][:-1]))
-                who, one, local = np.unique(doc[k], return_index=True, return_inverse=True)
-                out.append((int(i), pack(tok[k][at], small(np.diff(np.append(at, len(k)))), ctx[k], who, train[k][one], small(local))))
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "packed"])
+                who, local = np.unique(doc[k], return_inverse=True)
+                out.append((int(i), 0, pack(tok[k][at], small(np.diff(np.append(at, len(k)))), ctx[k], small(who), np.packbits(train[who]), small(local))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([lot] * len(out), pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "kind", "lot", "packed"])
 
     def rate(group: pa.Table) -> pa.Table:
         frequent, frequent_n = shared.value
-        ws, cs, ds, ts = [], [], [], []
+        back = group.filter(pc.equal(group.column("kind"), 1)).select(["lot", "kind", "packed"])
+        group = group.filter(pc.equal(group.column("kind"), 0))
+        if not group.num_rows:
+            return back
+        ws, cs, ds, ts, names, docs_upto = [], [], [], [], [], [0]
         for x in group.column("packed"):
             w, k, ctx, who, train, local = unpack(x.as_buffer())
             ws.append(np.repeat(w, k))
             cs.append(ctx)
-            ds.append(who[local])
-            ts.append(train[local])
+            ds.append(local.astype(np.int32) + np.int32(docs_upto[-1]))
+            ts.append(np.unpackbits(train, count=len(who)).astype(bool)[local])
+            names.append(who)
+            docs_upto.append(docs_upto[-1] + len(who))
         w, ctx, doc, train = (np.concatenate(x) for x in (ws, cs, ds, ts))
+        del ws, cs, ds, ts
         order = np.lexsort((ctx, w))
         w, ctx, doc, train = w[order], ctx[order], doc[order], train[order]
+        del order
         new_w = np.ones(len(w), bool)
         new_w[1:] = w[1:] != w[:-1]
         new = new_w.copy()
@@ -372,21 +385,25 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
             mean += (np.maximum(c - m.d * t, 0) + (STRENGTH + m.d * m.tables[kctx]) * prob[of]) / (STRENGTH + m.customers[kctx])
         n = np.add.reduceat(c, ptr[:-1])
         n = np.where(own >= 0, frequent_n[np.maximum(own, 0)], n) if len(frequent) else n
-        who, local = np.unique(doc, return_inverse=True)
-        each = n[of][kind]
-        add = lambda x: np.bincount(local, weights=x, minlength=len(who))
-        cols = [who, add(train) == 0, small(np.bincount(local, minlength=len(who))), small(add(each > 0).astype(np.int64)), add(np.log10(each + 1.0)), add(np.log10(mean / len(chain.value))[kind])]
-        order, ptr = by_bucket((X.mix(who.view(np.uint64)) >> np.uint64(33)).astype(np.int64) % n_buckets, n_buckets)
-        groups = np.flatnonzero(np.diff(ptr))
-        return pa.table({"g": pa.array(groups, pa.int32()), "packed": pa.array([pack(*(c[order[ptr[i] : ptr[i + 1]]] for c in cols)) for i in groups], pa.binary())})
+        each = n[of]
+        add = lambda x: np.bincount(doc, weights=x, minlength=docs_upto[-1])
+        cols = [np.bincount(doc, minlength=docs_upto[-1]), add((each > 0)[kind]).astype(np.int64), add(np.log10(each + 1.0)[kind]), add(np.log10(mean / len(chain.value))[kind]).astype(np.float32)]
+        packed = [pack(who, small(cols[0][a:b]), small(cols[1][a:b]), cols[2][a:b], cols[3][a:b]) for who, a, b in zip(names, docs_upto[:-1], docs_upto[1:], strict=True)]
+        rated = pa.table({"lot": group.column("lot"), "kind": group.column("kind"), "packed": pa.array(packed, pa.binary())})
+        return pa.concat_tables([back.combine_chunks(), rated.combine_chunks()])
 
     def total_up(group: pa.Table) -> pa.Table:
-        cols = [np.concatenate(c) for c in zip(*(unpack(x.as_buffer()) for x in group.column("packed")), strict=True)]
-        who, local = np.unique(cols[0], return_inverse=True)
-        add = lambda x: np.bincount(local, weights=x, minlength=len(who))
-        whole = lambda x: add(x).astype(np.int64)
-        return pa.table({"d": who, "held_out": add(~cols[1]) == 0, "n_tokens": whole(cols[2]), "n_known": whole(cols[3]), "base": add(cols[4]), "score": add(cols[5])})
-
-    parts = rows.mapInArrow(send, "bucket int, packed binary").groupBy("bucket").applyInArrow(rate, "g int, packed binary")
-    out = parts.groupBy("g").applyInArrow(total_up, "d long, held_out boolean, n_tokens long, n_known long, base double, score double")
+        """A lot's documents, and their sums over all buckets."""
+        ids, held_out = unpack(group.filter(pc.equal(group.column("kind"), 1)).column("packed")[0].as_buffer())
+        sums = np.zeros((4, len(ids)))
+        for x in group.filter(pc.equal(group.column("kind"), 0)).column("packed"):
+            who, *cols = unpack(x.as_buffer())
+            for total_, c in zip(sums, cols, strict=True):
+                total_[who] += c
+        return pa.table({"d": ids, "held_out": held_out, "n_tokens": sums[0].astype(np.int64), "n_known": sums[1].astype(np.int64), "base": sums[2], "score": sums[3]})
+
+    parts = rows.mapInArrow(send, "bucket int, kind int, lot long, packed binary").groupBy("bucket").applyInArrow(rate, "lot long, kind int, packed binary")
+    out = parts.groupBy("lot").applyInArrow(total_up, "d long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    # documents whose rows were read in several lots
+    out = out.groupBy("d").agg(F.bool_and("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
     return out.select(F.when(F.col("d") != LAST, F.col("d")).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * math.log10(total + v + 1)).alias("base_score"), "score")
