@@ -45,7 +45,7 @@ CONTEXTS = FREQUENT + SHARED + 1
 STIRLING = 40
 BURN, SAMPLES = 1, 3
 STRENGTH = 4.0
-GATHER = 2_000_000
+GATHER = 1_500_000
 END = np.uint64(0x6A09E667F3BCC909)
 LAST = 2**63 - 1
 FOLDS, HELD = 7, 2
