@@ -179,6 +179,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     counts = apportion(docs, **how)
     counts = counts.select(F.col("doc_id").alias("_d"), "taken", F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "taken")).alias("_j")).where("taken > 0")
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0))
-    own = docs.drop("taken").withColumn("_c", F.col(doc_id).cast("long")).withColumn("_s", size)
-    own = own.withColumn("_i", F.row_number().over(Window.partitionBy("_c").orderBy("_s"))).drop("_s")
-    return own.join(counts.hint("merge"), F.col("_c").eqNullSafe(F.col("_d")) & (F.col("_i") == F.col("_j"))).drop("_c", "_d", "_i", "_j")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "taken"]).alias("_row")  # so that no name of docs meets one of ours
+    own = docs.select(whole, F.col(doc_id).cast("long").alias("_c"), size.alias("_s"))
+    own = own.select("_row", "_c", F.row_number().over(Window.partitionBy("_c").orderBy("_s")).alias("_i"))
+    return own.join(counts.hint("merge"), F.col("_c").eqNullSafe(F.col("_d")) & (F.col("_i") == F.col("_j"))).select("_row.*", "taken")

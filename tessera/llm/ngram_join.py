@@ -371,4 +371,6 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs less those that link, directly or by others, with a smaller doc_id; rows that repeat a kept doc_id, or have none, stay."""
     gone = groups(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # so that no name of docs meets one of ours
+    own = docs.select(whole, F.col("doc_id").cast("long").alias("_id"))
+    return own.join(gone.hint("merge"), F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")

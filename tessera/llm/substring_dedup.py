@@ -118,8 +118,8 @@ def drop_reference(docs: DataFrame, reference: DataFrame, min_words: int = MIN_W
     """
     sc = docs.sparkSession.sparkContext
     ti = docs.columns.index(text)
-    names = [*docs.columns, "_cut"]
-    out = docs.withColumn("_cut", F.lit(None).cast("binary"))
+    names = [*docs.columns, "_tessera_cut"]
+    out = docs.withColumn(names[-1], F.lit(None).cast("binary"))
 
     def parts() -> Iterator[list[list[int]]]:
         shards, shard, size = [], [], 0
