@@ -34,6 +34,7 @@ SHARE = 1.5
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_SOURCES = 1_000_000
 SEED = 17
+ALL_BLOCKS = 1 << 60
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -132,8 +133,11 @@ def apportion(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: in
     w = np.array([weights[i % len(weights)] for i in range(len(found))])
     found["target"] = targets(sizes, w, share * float(sizes.sum()), epochs) if len(found) else np.zeros(0)
     found["n_shards"] = np.maximum(1, -(-sizes // shard_tokens))
-    seats = int(round(found.target.sum() / block))
-    found["quota"] = sainte_lague(found.target.to_numpy(), seats, epochs * -(-sizes // block)) if len(found) else np.zeros(0, np.int64)
+    # a source that stops at its cap gives every block in every epoch; the others share the rest of the blocks
+    capped = found.target.to_numpy() >= epochs * sizes
+    rest = found.target.to_numpy() * ~capped
+    shared = sainte_lague(rest, int(round(rest.sum() / block)), epochs * -(-sizes // block)) if len(found) else np.zeros(0, np.int64)
+    found["quota"] = np.where(capped, ALL_BLOCKS, shared)
     found["at"] = np.arange(len(found))
     plan = spark.createDataFrame(found[["at", "source", "source_size", "target", "n_shards", "quota"]], "at long, source string, source_size long, target double, n_shards long, quota long")
 
