@@ -43,6 +43,7 @@ RAW = frozenset("script style noscript template textarea iframe noframes noembed
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+SMALL = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre td th tr tbody thead tfoot caption table figure figcaption".split())
 ENDS_P = BLOCK - frozenset("body html tbody td tfoot th thead tr button caption legend option optgroup".split())
 SIBLING = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "tr td th", "tbody": "thead tbody tr td th", "tfoot": "tbody tr td th"}
 SCOPE = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "table", "th": "table", "thead": "table", "tbody": "table", "tfoot": "table", "option": "select"}
@@ -350,7 +351,7 @@ def content(root: Node, found: list[Block], template: list | None) -> str:
     elif found:
         score: dict[int, int] = {}
         for b in found:
-            parent = b.above[-2] if len(b.above) > 1 and b.above[-1].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td") else b.above[-1]
+            parent = next((n for n in reversed(b.above) if n.tag not in SMALL), b.above[0])
             score[id(parent)] = score.get(id(parent), 0) + max(0, len(b.text) - 2 * b.link)
         part = max(score, key=score.get)
         kept = [b for b in found if any(id(n) == part for n in b.above)]
