@@ -91,25 +91,29 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray | None = None)
     return got
 
 
-def take(size: np.ndarray, order: np.ndarray, quota: int, block: int, key: int) -> np.ndarray:
-    """Tokens taken of each document of one shard; order: seeded, ties already broken."""
+def take(size: np.ndarray, order: np.ndarray, quota: int, block: int, key: int, epochs: int = EPOCHS) -> np.ndarray:
+    """Tokens taken of each document of one shard; order: seeded, ties already broken.
+
+    The line is cut into the fewest equal blocks of at most block tokens; the quota's tokens are as many of these as come nearest.
+    """
     out = np.zeros(len(size), dtype=np.int64)
     total = int(size.sum())
     n = -(-total // block)
     if not n or quota <= 0:
         return out
+    quota = min(epochs * n, (2 * quota * block * n + total) // (2 * total))
     times = np.full(n, quota // n, dtype=np.int64)
     rest = quota % n
     if rest:
         rank = scramble(np.arange(n, dtype=np.uint64) ^ scramble(np.array([key & (2**63 - 1)], np.uint64)))
         times[np.argsort(rank, kind="stable")[:rest]] += 1
-    edge = np.minimum(np.arange(n + 1, dtype=np.int64) * block, total)
+    edge = np.arange(n + 1, dtype=np.int64) * total // n
     upto = np.concatenate([[0], np.cumsum(times * np.diff(edge))])
     stop = np.cumsum(size[order])
     start = stop - size[order]
 
     def before(x: np.ndarray) -> np.ndarray:
-        k = np.minimum(x // block, n - 1)
+        k = np.clip(np.searchsorted(edge, x, side="right") - 1, 0, n - 1)
         return upto[k] + times[k] * (x - edge[k])
 
     out[order] = before(stop) - before(start)
@@ -166,7 +170,7 @@ def apportion(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: in
         key = (int(keys[0]) * 1_000_003 + int(keys[1])) * 8191 + seed
         order = np.lexsort((np.arange(len(ids)), scramble(ids.astype(np.uint64) ^ np.uint64(key & (2**63 - 1)))))
         quota = int(right.seats.iloc[0]) if len(right) else 0
-        left["taken"] = take(size, order, quota, block, key)
+        left["taken"] = take(size, order, quota, block, key, epochs)
         return left[["doc_id", "size", "source_size", "target", "taken"]]
 
     picked = dealt.select("doc_id", "size", "source_size", "target", "at", "shard").groupBy("at", "shard").cogroup(by_shard.groupBy("at", "shard")).applyInPandas(pick, "doc_id long, size long, source_size long, target double, taken long")
