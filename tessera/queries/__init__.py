@@ -171,29 +171,33 @@ def _matrices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 _XY = f"{BY_USER}, {_LAB}, x AS (SELECT symbol, trading_date, {FACTORS['ret_1']} AS ret_1, {FACTORS['ma_5']} AS ma_5, row_number() OVER ({W}) > 4 AS warm FROM bars), xf AS (SELECT * FROM x WHERE symbol NOT LIKE '%1'), yl AS (SELECT * FROM lab WHERE symbol NOT LIKE '%2')"
-_OUT = [F.col("symbol"), F.date_format("as_of", "yyyy-MM-dd").alias("trading_date")]
+
+
+def _out() -> list:
+    return [F.col("symbol"), F.date_format("as_of", "yyyy-MM-dd").alias("trading_date")]
+
 
 
 @query(f"WITH {_XY} SELECT symbol, CAST(trading_date AS varchar) AS trading_date, {rounded_sql('ret_1')} AS ret_1, round(ma_5, 6) AS ma_5, round(y, 6) AS fwd_1 FROM xf JOIN yl USING (symbol, trading_date)")
 def train_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = _matrices(spark, sf_dir)
-    return datasets.join(x, y).select(*_OUT, rounded("ret_1").alias("ret_1"), rounded("ma_5").alias("ma_5"), F.round("fwd_1", 6).alias("fwd_1"))
+    return datasets.join(x, y).select(*_out(), rounded("ret_1").alias("ret_1"), rounded("ma_5").alias("ma_5"), F.round("fwd_1", 6).alias("fwd_1"))
 
 
 @query(f"WITH {_XY} SELECT symbol, CAST(trading_date AS varchar) AS trading_date FROM xf ANTI JOIN yl USING (symbol, trading_date)")
 def train_feature_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return datasets.only_features(*_matrices(spark, sf_dir)).select(*_OUT)
+    return datasets.only_features(*_matrices(spark, sf_dir)).select(*_out())
 
 
 @query(f"WITH {_XY} SELECT symbol, CAST(trading_date AS varchar) AS trading_date FROM yl ANTI JOIN xf USING (symbol, trading_date)")
 def train_label_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return datasets.only_labels(*_matrices(spark, sf_dir)).select(*_OUT)
+    return datasets.only_labels(*_matrices(spark, sf_dir)).select(*_out())
 
 
 @query(f"WITH {_XY} SELECT symbol, CAST(trading_date AS varchar) AS trading_date, round(y, 6) AS fwd_1 FROM xf JOIN yl USING (symbol, trading_date) WHERE warm AND y IS NOT NULL")
 def matrix_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, _ = datasets.filtered(datasets.join(*_matrices(spark, sf_dir)), ["fwd_1"])
-    return kept.select(*_OUT, F.round("fwd_1", 6).alias("fwd_1"))
+    return kept.select(*_out(), F.round("fwd_1", 6).alias("fwd_1"))
 
 
 @query(
@@ -263,7 +267,7 @@ def _weights_sql(which: str) -> str:
 
 
 def _weights(spark: SparkSession, sf_dir: str, config: portfolio.PortfolioConfig) -> DataFrame:
-    return portfolio.weights(_scores(spark, sf_dir), config, checked=True).select(*_OUT, F.round("weight", 6).alias("weight"))
+    return portfolio.weights(_scores(spark, sf_dir), config, checked=True).select(*_out(), F.round("weight", 6).alias("weight"))
 
 
 @query(_weights_sql("pos < 10"))
