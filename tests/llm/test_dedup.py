@@ -5,7 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import LOWER, WORD
+from common import LOWER, WORD
 
 from tessera.llm import line_dedup, ngram_join, substring_dedup
 from tessera.llm.components import components

@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import LOWER, WORD
+from common import LOWER, WORD
 
 from tessera.llm import decontaminate, mixing, pitman_yor, quality_rules, token_counts
 from tessera.llm import text as X

@@ -4,7 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
-from conftest import WORD
+from common import WORD
 from test_dedup import boilerplate_removed, linked
 from test_models import base_rules, best_leak
 

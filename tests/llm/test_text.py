@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from conftest import WORD
+from common import WORD
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
