@@ -43,6 +43,8 @@ SMALL_MOST = 12
 BROADCAST_ROWS = 1_000_000
 GATHER = 2_000_000
 LIGHT = 32
+#: A long list is multiplied in pieces of so many documents and keys.
+ROWS, COLUMNS = 512, 1024
 
 
 def need(n):
@@ -312,18 +314,33 @@ def candidates(left: DataFrame, most: int) -> DataFrame:
         node, n, comp = (table.column(c).to_numpy() for c in ("node", "n", "comp"))
         key = table.column("k")[0].as_py()
         lists = table.column("keys").combine_chunks()
-        words, at = np.unique(lists.values.to_numpy(), return_inverse=True)
-        row = np.repeat(np.arange(len(node)), np.diff(lists.offsets.to_numpy()))
-        grid = np.zeros((len(node), len(words)), np.float32)
-        grid[row, at] = 1
-        before = grid[:, : int(np.searchsorted(words, key))]
+        words, at, times = np.unique(lists.values.to_numpy(), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(node), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+        shared = np.flatnonzero(times > 1)  # keys of one document add nothing; the others are taken in order, some at a time
+        place = np.full(len(words), -1, np.int32)
+        place[shared] = np.arange(len(shared), dtype=np.int32)
+        first = int(place[np.searchsorted(words, key)])
+        at = place[at]
+        row, at = row[at >= 0], at[at >= 0]
+        order = np.argsort(at, kind="stable")
+        row, at = row[order], at[order]
+        edges = sorted({*range(0, len(shared), COLUMNS), first, len(shared)})
         out = []
-        for lo in range(0, len(node), 1024):
-            i = slice(lo, lo + 1024)
+        for lo in range(0, len(node), ROWS):
+            i = slice(lo, lo + ROWS)
+            total = np.zeros((len(node[i]), len(node)), np.float32)
+            before = None
+            for left_, right in itertools.pairwise(edges):
+                if left_ == first:
+                    before = total.copy()
+                pick = slice(*np.searchsorted(at, [left_, right]))
+                grid = np.zeros((len(node), right - left_), np.float32)
+                grid[row[pick], at[pick] - left_] = 1
+                total += grid[i] @ grid.T
             low, high = np.minimum.outer(n[i], n), np.maximum.outer(n[i], n)
             least = -(-(np.add.outer(n[i], n) * PERCENT) // (100 + PERCENT)) - np.maximum.outer(behind(n[i]), behind(n))
-            good = (np.less.outer(node[i], node)) & (np.not_equal.outer(comp[i], comp)) & (low * 100 >= PERCENT * high)
-            good &= ((grid[i] @ grid.T >= least) | (low <= most)) & (before[i] @ before.T == 0)
+            good = np.less.outer(node[i], node) & np.not_equal.outer(comp[i], comp) & (low * 100 >= PERCENT * high)
+            good &= ((total >= least) | (low <= most)) & (before == 0)
             a, b = np.nonzero(good)
             out.append(np.stack([node[i][a], node[b]]))
         a, b = np.concatenate(out, axis=1)
