@@ -120,7 +120,7 @@ def linked(rows):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("how", [{}, {"LIGHT": 2}, {"HEAVY": 5}, {"boundary": lambda sizes, scan: 9}])
+@pytest.mark.parametrize("how", [{}, {"LIGHT": 2}, {"LIGHT": 1, "ROWS": 3, "COLUMNS": 2}, {"HEAVY": 5}, {"boundary": lambda sizes, scan: 9}])
 def test_join_matches_brute_force(docs, monkeypatch, how):
     for k, v in how.items():
         monkeypatch.setattr(ngram_join, k, v)
