@@ -1,8 +1,7 @@
 """LM scoring by a hierarchical Pitman-Yor bigram model.
 
-Tokens are lower-cased words and one end for each text. A context restaurant belongs to
-each of the FREQUENT most frequent words, SHARED further ones are shared by all other words by
-hash, and one stands for the start of a text. All share one parent restaurant of
+Tokens are lower-cased words and one end for each text. Every word has a context restaurant, and one
+stands for the start of a text. All share one parent restaurant of
 single words, whose customers are their tables, over a uniform base of the V trained words and one
 more for all others.
 
@@ -10,14 +9,16 @@ Seating is sampled by Gibbs sweeps over tables for each (context, word): given i
 customers, the tables of its context and the parent's probability, the number of its tables has a
 closed conditional through generalised Stirling numbers, drawn by inverting it at a number
 hashed from the pair; above STIRLING customers they are seated one after the other in growing steps.
-Counts are split by word, so a word's parent customers are all in one place; frequent
-words are split by (context, word), and their parent counts, like the tables of each context,
-are vectors of fixed length which every sweep adds up again. The model is thus spread over the cluster and only
-vectors of FREQUENT + SHARED + 1 numbers are broadcast. SAMPLES sweeps after BURN are
-averaged as probabilities.
+Counts are split by word, so a word's parent customers are all in one place; the FREQUENT most frequent
+words are split by (context, word), and their parent counts, like the tables of their contexts,
+are vectors of fixed length which every sweep adds up again. The totals of all other contexts are a table
+that is split by context: buckets ask it for the contexts that they hold. A single customer always has one table, so only
+groups of more in such a context, and the other groups of their words ("hard"), need its totals while tables
+are drawn; these alone are exchanged at each sweep. The model is thus spread over the cluster and only
+vectors of FREQUENT + 1 numbers are broadcast. SAMPLES sweeps after BURN are averaged as probabilities.
 
-A text is scored where its words' counts are: its tokens travel once, packed by word, and sums
-of logarithms come back.
+A text is scored where its words' counts are: its tokens travel once, packed by word, meet the totals of
+their contexts there, and sums of logarithms come back.
 
 Defined results: null or empty text is its end alone; rows that share a doc_id are one
 document, whose tokens are theirs together; rows with a null doc_id train, and are one document; an
@@ -40,8 +41,7 @@ from . import text as X
 from .spread import at_most, buckets, by_bucket, pack, settle, small, unpack
 
 FREQUENT = 32_000
-SHARED = 1_024
-CONTEXTS = FREQUENT + SHARED + 1
+CONTEXTS = FREQUENT + 1
 STIRLING = 40
 BURN, SAMPLES = 1, 3
 STRENGTH = 4.0
@@ -68,22 +68,52 @@ def tokens(t: X.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def contexts(before: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    out = (FREQUENT + 1 + (before >> np.uint64(20)) % np.uint64(SHARED)).astype(np.int64)
-    if len(frequent):
-        i = np.minimum(np.searchsorted(frequent, before), len(frequent) - 1)
-        own = frequent[i] == before
-        out[own] = i[own] + 1
+    """Contexts by number: 0 for the start, then the frequent words, and from CONTEXTS on all other words by their hash."""
+    out = np.where(before < np.uint64(CONTEXTS), before + np.uint64(CONTEXTS), before)
+    own = _index(before, frequent)
+    out[own >= 0] = own[own >= 0] + 1
     out[before == 0] = 0
-    return out.astype(np.uint16)
+    return out
+
+
+def narrow(ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts for an exchange: two bytes each, and the hashes of those that are not frequent."""
+    rare = ctx >= CONTEXTS
+    return np.where(rare, CONTEXTS, ctx).astype(np.uint16), ctx[rare]
+
+
+def local(code: np.ndarray, rare: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Contexts of one bucket: those that are not frequent as CONTEXTS and on, by their place in ids."""
+    out = code.astype(np.int32)
+    out[code == CONTEXTS] = CONTEXTS + np.searchsorted(ids, rare)
+    return out
+
+
+def _home(ids: np.ndarray, n: int) -> np.ndarray:
+    return (ids >> np.uint64(33)).astype(np.int64) % n
 
 
 def _bucket(word: np.ndarray, ctx: np.ndarray, frequent: np.ndarray, n: int) -> np.ndarray:
-    key = word.copy()
-    if len(frequent):
-        i = np.minimum(np.searchsorted(frequent, word), len(frequent) - 1)
-        own = frequent[i] == word
-        key[own] = X.mix(word[own] + ctx[own].astype(np.uint64) + np.uint64(1))
-    return (key >> np.uint64(33)).astype(np.int64) % n
+    own, rare = _index(word, frequent) >= 0, ctx >= CONTEXTS
+    key = np.where(own & rare, ctx, word)
+    own &= ~rare
+    key[own] = X.mix(word[own] + ctx[own] + np.uint64(1))
+    return _home(key, n)
+
+
+def _hard(own: np.ndarray, ptr: np.ndarray, ctx: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Groups whose tables depend on the totals of a context that is not frequent, with all groups of their words."""
+    hard = (ctx >= CONTEXTS) & (c > 1)
+    if len(own):
+        word = np.logical_or.reduceat(hard, ptr[:-1]) & (own < 0)
+        hard |= np.repeat(word, np.diff(ptr))
+    return hard
+
+
+def _part(use: np.ndarray, word: np.ndarray, own: np.ndarray, ptr: np.ndarray, ctx: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+    at = np.repeat(np.arange(len(word)), np.diff(ptr))[use]
+    k = np.bincount(at, minlength=len(word))
+    return word[k > 0], own[k > 0], np.concatenate([[0], np.cumsum(k[k > 0])]), ctx[use], c[use]
 
 
 def stirling(d: float) -> np.ndarray:
@@ -142,10 +172,10 @@ def _inverse_erf(x: np.ndarray) -> np.ndarray:
 class Model:
     """Vectors that hold for all of the cluster, for one sweep."""
 
-    def __init__(self, ctx_customers, ctx_tables, word_customers, d, d1, v, seed) -> None:
+    def __init__(self, ctx_customers, ctx_tables, word_customers, d, d1, v, seed, others=0.0) -> None:
         self.customers, self.tables, self.seed = ctx_customers, ctx_tables, seed
         self.d, self.d1, self.base = d, d1, 1.0 / (v + 1)
-        self.total = float(ctx_tables.sum())
+        self.total = float(ctx_tables.sum()) + others  # others: tables of the contexts that are not frequent
         self.top = self.total  # tables of the parent; set by the sweep
         self.stirling, self.stirling1 = stirling(d), stirling(d1)
         self.word_customers = word_customers
@@ -157,16 +187,20 @@ class Model:
         self.seated = t
         return (customers - self.d1 * t + (STRENGTH + self.d1 * self.top) * self.base) / (STRENGTH + self.total)
 
-    def sweep(self, word: np.ndarray, own: np.ndarray, ptr: np.ndarray, ctx: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tables of each (word, context), and each word's parent probability. own: index among the frequent, or -1."""
-        at = np.repeat(np.arange(len(word)), np.diff(ptr))
-        key = X.mix(word[at] + ctx.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        rest = np.maximum(self.tables[ctx] - 1.0, 0.0)
-        customers = np.add.reduceat(np.minimum(c, 1), ptr[:-1]) if len(word) else np.zeros(0, np.int64)
+    def sweep(self, word: np.ndarray, own: np.ndarray, ptr: np.ndarray, ctx: np.ndarray, c: np.ndarray, ids=(), tables=()) -> tuple[np.ndarray, np.ndarray]:
+        """Tables of each (word, context), and each word's parent probability. own: index among the frequent, or -1;
+        ids, tables: of the contexts from CONTEXTS on."""
+        many = np.flatnonzero(c > 1)  # the others have one table for their customer, if any
+        t, at = np.minimum(c, 1).astype(np.int64), np.searchsorted(ptr, many, side="right") - 1
+        c, ctx = c[many].astype(np.int64), ctx[many]
+        name = np.append(np.arange(CONTEXTS, dtype=np.uint64), np.asarray(ids, np.uint64))
+        key = X.mix(word[at] + name[ctx] * np.uint64(0x9E3779B97F4A7C15))
+        rest = np.maximum(np.append(self.tables, tables)[ctx] - 1.0, 0.0)
+        customers = np.add.reduceat(t, ptr[:-1]) if len(word) else np.zeros(0, np.int64)
         for _ in range(2):
             prob = self.parent(customers, X.mix(word))
             prob = np.where(own >= 0, self.word_prob[np.maximum(own, 0)], prob) if len(self.word_prob) else prob
-            t = seat(c, rest, prob[at], key, self.seed, self.d, STRENGTH, self.stirling)
+            t[many] = seat(c, rest, prob[at], key, self.seed, self.d, STRENGTH, self.stirling)
             customers = np.add.reduceat(t, ptr[:-1]) if len(word) else customers
         prob = self.parent(customers, X.mix(word))
         prob = np.where(own >= 0, self.word_prob[np.maximum(own, 0)], prob) if len(self.word_prob) else prob
@@ -242,9 +276,13 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     shared = sc.broadcast((frequent, frequent_n))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Trained counts of each bucket, and the contexts that held-out tokens ask for there."""
         own = shared.value[0]
-        for tok, before, *_ in pieces(batches, False):
+        for tok, before, _, train in pieces(batches, True):
             ctx = contexts(before, own)
+            held = ~train & (ctx >= CONTEXTS)
+            asked, asked_at = ctx[held], _bucket(tok[held], ctx[held], own, n_buckets)
+            tok, ctx = tok[train], ctx[train]
             order = np.lexsort((ctx, tok))
             tok, ctx = tok[order], ctx[order]
             new = np.ones(len(tok), bool)
@@ -253,82 +291,207 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
             n = np.diff(np.append(at, len(tok)))
             tok, ctx = tok[at], ctx[at]
             order, ptr = by_bucket(_bucket(tok, ctx, own, n_buckets), n_buckets)
+            asked_order, asked_ptr = by_bucket(asked_at, n_buckets)
             out = []
-            for i in np.flatnonzero(np.diff(ptr)):
+            for i in np.flatnonzero(np.diff(ptr) + np.diff(asked_ptr)):
                 k = order[ptr[i] : ptr[i + 1]]
-                start = np.flatnonzero(np.append(True, tok[k][1:] != tok[k][:-1]))
-                out.append((int(i), pack(tok[k][start], small(np.diff(np.append(start, len(k)))), ctx[k], small(n[k]))))
+                w, start = firsts(tok[k])
+                out.append((int(i), pack(w, small(np.diff(np.append(start, len(k)))), *narrow(ctx[k]), small(n[k]), np.unique(asked[asked_order[asked_ptr[i] : asked_ptr[i + 1]]]))))
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "packed"])
 
+    def firsts(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        new = np.ones(len(w), bool)
+        new[1:] = w[1:] != w[:-1]
+        return w[new], np.flatnonzero(new)
+
+    def placed(code: np.ndarray, rare: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return code, small(np.searchsorted(ids, rare))
+
     def gather(group: pa.Table) -> pa.Table:
-        ws, cs, ns = [], [], []
+        ws, cs, ns, asked = [], [], [], []
         for x in group.column("packed"):
-            w, k, ctx, n = unpack(x.as_buffer())
+            w, k, code, rare, n, a = unpack(x.as_buffer())
+            ctx = code.astype(np.uint64)
+            ctx[code == CONTEXTS] = rare
             ws.append(np.repeat(w, k))
             cs.append(ctx)
             ns.append(n.astype(np.int64))
+            asked.append(a)
         w, ctx, n = np.concatenate(ws), np.concatenate(cs), np.concatenate(ns)
+        ids = np.unique(np.concatenate([ctx[ctx >= CONTEXTS], *asked]))
         order = np.lexsort((ctx, w))
         w, ctx, n = w[order], ctx[order], n[order]
         new = np.ones(len(w), bool)
         new[1:] = (w[1:] != w[:-1]) | (ctx[1:] != ctx[:-1])
         at = np.flatnonzero(new)
-        n, w, ctx = np.add.reduceat(n, at), w[at], ctx[at]
-        start = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-        return pa.table({"packed": pa.array([pack(w[start], small(np.diff(np.append(start, len(w)))), ctx, small(n))], pa.binary())})
+        n, w, ctx = np.add.reduceat(n, at) if len(at) else n, w[at], ctx[at]
+        first_w, start = firsts(w)
+        packed = pack(first_w, small(np.diff(np.append(start, len(w)))), *placed(*narrow(ctx), ids), small(n), ids)
+        return pa.table({"bucket": group.column("bucket")[:1], "packed": pa.array([packed], pa.binary())})
 
-    state = settle(rows.mapInArrow(deal, "bucket int, packed binary").groupBy("bucket").applyInArrow(gather, "packed binary"))
+    state = settle(rows.mapInArrow(deal, "bucket int, packed binary").groupBy("bucket").applyInArrow(gather, "bucket int, packed binary"))
 
-    def opened(packed) -> tuple[np.ndarray, ...]:
-        w, k, ctx, n = unpack(packed.as_buffer())
-        ptr = np.concatenate([[0], np.cumsum(k, dtype=np.int64)])
-        return w, _index(w, shared.value[0]), ptr, ctx, n.astype(np.int64)
+    def opened(packed) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+        w, k, code, place, n, ids = unpack(packed.as_buffer())
+        ptr, ctx = np.concatenate([[0], np.cumsum(k, dtype=np.int64)]), code.astype(np.int32)
+        ctx[code == CONTEXTS] += place.astype(np.int32)
+        return (w, _index(w, shared.value[0]), ptr, ctx, n.astype(np.int32)), ids
 
-    slots = 2 * CONTEXTS + FREQUENT + 4
+    slots = 2 * CONTEXTS + FREQUENT + 6
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Customers and least tables of each context; contexts of each frequent word; counts of counts; the parent's tables."""
+        """Customers and least tables of each context; contexts of each frequent word; hard groups and least tables of the
+        contexts that are not frequent; counts of counts; the parent's tables."""
         out = np.zeros(slots, np.int64)
         for b in batches:
-            for x in b.column(0):
-                w, own, ptr, ctx, n = opened(x)
-                out[:CONTEXTS] += np.bincount(ctx, weights=n, minlength=CONTEXTS).astype(np.int64)
-                out[CONTEXTS : 2 * CONTEXTS] += np.bincount(ctx, minlength=CONTEXTS)
+            for x in b.column(1):
+                (w, own, ptr, ctx, n), _ = opened(x)
+                fixed = ctx < CONTEXTS
+                out[:CONTEXTS] += np.bincount(ctx[fixed], weights=n[fixed], minlength=CONTEXTS).astype(np.int64)
+                out[CONTEXTS : 2 * CONTEXTS] += np.bincount(ctx[fixed], minlength=CONTEXTS)
                 k, has = np.diff(ptr), own >= 0
                 out[2 * CONTEXTS : 2 * CONTEXTS + FREQUENT] += np.bincount(own[has], weights=k[has], minlength=FREQUENT).astype(np.int64)
+                out[-6:-4] += [_hard(own, ptr, ctx, n).sum(), (~fixed).sum()]
                 out[-4:-2] += [(n == 1).sum(), (n == 2).sum()]
                 out[-2:] += [(k[~has] == 1).sum(), (k[~has] == 2).sum()]
         yield _blocks(out)
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Contexts of each bucket that are not frequent, with their customers and least tables there and whether hard groups need them."""
+        for b in batches:
+            for bucket, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                (_, own, ptr, ctx, n), ids = opened(x)
+                at = np.where(ctx >= CONTEXTS, ctx - CONTEXTS, len(ids))
+                customers = np.bincount(at, weights=n, minlength=len(ids) + 1)[:-1].astype(np.int64)
+                tables = np.bincount(at, minlength=len(ids) + 1)[:-1]
+                needed = np.bincount(at[_hard(own, ptr, ctx, n)], minlength=len(ids) + 1)[:-1] > 0
+                yield posted(bucket, ids, customers, tables, needed)
+
+    def posted(bucket: int, ids: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+        order, ptr = by_bucket(_home(ids, n_buckets), n_buckets)
+        homes = np.flatnonzero(np.diff(ptr))
+        packed = [pack(ids[k], *[small(v[k]) for v in values]) for k in (order[ptr[i] : ptr[i + 1]] for i in homes)]
+        return pa.RecordBatch.from_arrays([pa.array(homes, pa.int32()), pa.array([bucket] * len(homes), pa.int32()), pa.array(packed, pa.binary())], ["home", "bucket", "packed"])
+
+    def met(group: pa.Table) -> tuple[list, np.ndarray, list]:
+        """Rows that were posted to one home, their contexts, and the place of each row's contexts among these."""
+        posts = [unpack(x.as_buffer()) for x in group.column("packed")]
+        ids, at = np.unique(np.concatenate([p[0] for p in posts]), return_inverse=True)
+        return posts, ids, np.split(at, np.cumsum([len(p[0]) for p in posts])[:-1])
+
+    def added(posts: list, at: list, column: int, size: int) -> np.ndarray:
+        total = np.zeros(size, np.int64)
+        for p, i in zip(posts, at, strict=True):
+            total[i] += p[column].astype(np.int64)
+        return total
+
+    def replied(buckets_, kind: int, packed: list) -> pa.Table:
+        return pa.table({"bucket": buckets_, "kind": pa.array([kind] * len(packed), pa.int32()), "packed": pa.array(packed, pa.binary())})
+
+    def least(group: pa.Table) -> pa.Table:
+        posts, ids, at = met(group)
+        tables = added(posts, at, 2, len(ids))
+        return replied(group.column("bucket"), 1, [pack(p[0][p[3] > 0], small(tables[i][p[3] > 0])) for p, i in zip(posts, at, strict=True)])
+
+    def more(group: pa.Table) -> pa.Table:
+        posts, ids, at = met(group)
+        tables = added(posts, at, 1, len(ids))
+        return replied(group.column("bucket"), 2, [pack(p[0], small(tables[i])) for p, i in zip(posts, at, strict=True)])
+
+    def whole(group: pa.Table) -> pa.Table:
+        """Customers and, for each sample, tables of the contexts that a bucket asked for."""
+        posts, ids, at = met(group)
+        kinds = group.column("kind").to_pylist()
+        of = lambda kind: ([p for p, k in zip(posts, kinds, strict=True) if k == kind], [i for i, k in zip(at, kinds, strict=True) if k == kind])
+        customers, tables = (added(*of(0), column, len(ids)) for column in (1, 2))
+        samples = [tables + added(*of(1 + j), 1, len(ids)) for j in range(SAMPLES)]
+        packed = [pack(p[0], small(customers[i]), *[small(x[i]) for x in samples]) for p, i in zip(*of(0), strict=True)]
+        out = replied(group.filter(pc.equal(group.column("kind"), 0)).column("bucket"), 2, packed)
+        return out.append_column("lot", pa.array([0] * len(packed), pa.int64())).select(["bucket", "kind", "lot", "packed"])
+
+    def set_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The hard groups of each bucket."""
+        for b in batches:
+            for bucket, x in zip(b.column(0), b.column(1), strict=True):
+                groups, ids = opened(x)
+                hard = _hard(*groups[1:])
+                if hard.any():
+                    w, _, ptr, ctx, n = _part(hard, *groups)
+                    rare = ctx >= CONTEXTS
+                    kept, place = np.unique(ctx[rare], return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket.as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([pack(w, small(np.diff(ptr)), np.minimum(ctx, CONTEXTS).astype(np.uint16), small(place), small(n), ids[kept - CONTEXTS])], pa.binary())], ["bucket", "kind", "packed"])
+
     first = _sums(state.mapInArrow(start, "block int, packed binary"), slots)
     share = lambda a, b: min(0.95, max(0.1, a / (a + 2 * b))) if a else 0.5
     d, d1 = share(*map(int, first[-4:-2])), share(*map(int, first[-2:]))
     customers, tables = first[:CONTEXTS].astype(float), first[CONTEXTS : 2 * CONTEXTS].astype(float)
-    word_customers, top = first[2 * CONTEXTS : 2 * CONTEXTS + FREQUENT], float(v)
+    word_customers, top, others = first[2 * CONTEXTS : 2 * CONTEXTS + FREQUENT], float(v), float(first[-5])
+    asks = state.mapInArrow(ask, "home int, bucket int, packed binary")
+    known, extra, has_hard = asks.withColumn("kind", F.lit(0)), None, bool(first[-6])
+    if has_hard:
+        hard = settle(state.mapInArrow(set_apart, "bucket int, kind int, packed binary"))
+        hard = hard.union(settle(asks.groupBy("home").applyInArrow(least, "bucket int, kind int, packed binary")))
+
+    def seated(out: np.ndarray, m: Model, groups: tuple, ids: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Tables of these groups, which are added to the sums in out."""
+        _, own, ptr, ctx, _ = groups
+        if not len(own):
+            return np.zeros(0, np.int64)
+        t, _ = m.sweep(*groups, ids, rest)
+        fixed = ctx < CONTEXTS
+        out[CONTEXTS : 2 * CONTEXTS] += np.bincount(ctx[fixed], weights=t[fixed], minlength=CONTEXTS).astype(np.int64)
+        per, has = np.add.reduceat(t, ptr[:-1]), own >= 0
+        out[2 * CONTEXTS : 2 * CONTEXTS + FREQUENT] += np.bincount(own[has], weights=per[has], minlength=FREQUENT).astype(np.int64)
+        out[-5] += t[~fixed].sum()
+        out[-1] += m.seated[~has].sum()
+        return t
+
     models = []
     for k in range(BURN + SAMPLES):
-        m = Model(customers, tables, word_customers[: len(frequent)], d, d1, v, k)
+        m = Model(customers, tables, word_customers[: len(frequent)], d, d1, v, k, others)
         m.top = top
         m.word_prob = m.parent(m.word_customers, X.mix(frequent))
         frequent_tables = int(m.seated.sum())
+        if k >= BURN:
+            models.append(m)
+            if extra is not None:
+                known = known.union(extra.select("home", "bucket", "packed", F.lit(1 + k - BURN).alias("kind")))
+        if k == BURN + SAMPLES - 1:
+            break
         held = sc.broadcast(m)
 
         def sweep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             out, m = np.zeros(slots, np.int64), held.value
             for b in batches:
-                for x in b.column(0):
-                    w, own, ptr, ctx, n = opened(x)
-                    t, _ = m.sweep(w, own, ptr, ctx, n)
-                    out[CONTEXTS : 2 * CONTEXTS] += np.bincount(ctx, weights=t, minlength=CONTEXTS).astype(np.int64)
-                    per, has = np.add.reduceat(t, ptr[:-1]), own >= 0
-                    out[2 * CONTEXTS : 2 * CONTEXTS + FREQUENT] += np.bincount(own[has], weights=per[has], minlength=FREQUENT).astype(np.int64)
-                    out[-1] += m.seated[~has].sum()
+                for x in b.column(1):
+                    groups, ids = opened(x)
+                    seated(out, m, _part(~_hard(*groups[1:]), *groups), ids, np.zeros(len(ids)))
             yield _blocks(out)
 
-        found = _sums(state.mapInArrow(sweep, "block int, packed binary"), slots)
-        if k >= BURN:
-            models.append(m)
-        tables, word_customers, top = found[CONTEXTS : 2 * CONTEXTS].astype(float), found[2 * CONTEXTS : 2 * CONTEXTS + FREQUENT], float(found[-1] + frequent_tables)
+        def sweep_hard(group: pa.Table) -> pa.Table:  # run at once, so it takes this sweep's model
+            kinds, packed = group.column("kind").to_pylist(), group.column("packed")
+            groups, ids = opened(packed[kinds.index(0)])
+            rest, out = np.zeros(len(ids)), np.zeros(slots, np.int64)
+            for kind, x in zip(kinds, packed, strict=True):
+                if kind:
+                    i, n = unpack(x.as_buffer())
+                    rest[np.searchsorted(ids, i)] += n
+            t, ctx = seated(out, held.value, groups, ids, rest), groups[3]
+            rare = ctx >= CONTEXTS
+            post = posted(group.column("bucket")[0].as_py(), ids, np.bincount(ctx[rare] - CONTEXTS, weights=t[rare] - 1, minlength=len(ids)).astype(np.int64))
+            sums = _blocks(out)
+            sums = pa.RecordBatch.from_arrays([sums.column(0), pa.array([-1] * len(sums), pa.int32()), sums.column(1)], ["home", "bucket", "packed"])
+            return pa.Table.from_batches([post, sums])
+
+        parts = state.mapInArrow(sweep, "block int, packed binary")
+        if has_hard:
+            groups = hard if extra is None else hard.union(extra.groupBy("home").applyInArrow(more, "bucket int, kind int, packed binary"))
+            new = settle(groups.groupBy("bucket").applyInArrow(sweep_hard, "home int, bucket int, packed binary"))
+            parts = parts.union(new.where("bucket < 0").select("home", "packed"))
+            extra = new.where("bucket >= 0")
+        found = _sums(parts, slots)
+        tables, word_customers = found[CONTEXTS : 2 * CONTEXTS].astype(float), found[2 * CONTEXTS : 2 * CONTEXTS + FREQUENT]
+        top, others = float(found[-1] + frequent_tables), float(found[-5])
     chain = sc.broadcast(models)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,22 +509,26 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
                 k = order[ptr[i] : ptr[i + 1]]
                 at = np.flatnonzero(np.append(True, tok[k][1:] != tok[k][:-1]))
                 who, local = np.unique(doc[k], return_inverse=True)
-                out.append((int(i), 0, pack(tok[k][at], small(np.diff(np.append(at, len(k)))), ctx[k], small(who), np.packbits(train[who]), small(local))))
+                out.append((int(i), 0, pack(tok[k][at], small(np.diff(np.append(at, len(k)))), *narrow(ctx[k]), small(who), np.packbits(train[who]), small(local))))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([lot] * len(out), pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "kind", "lot", "packed"])
 
     def rate(group: pa.Table) -> pa.Table:
         frequent, frequent_n = shared.value
         back = group.filter(pc.equal(group.column("kind"), 1)).select(["lot", "kind", "packed"])
+        totals = [unpack(x.as_buffer()) for x in group.filter(pc.equal(group.column("kind"), 2)).column("packed")]
         group = group.filter(pc.equal(group.column("kind"), 0))
         if not group.num_rows:
             return back
+        ids, customers, *tables = (np.concatenate(x) for x in zip(*totals, strict=True)) if totals else [np.zeros(0, np.uint64)] * (2 + SAMPLES)
+        order = np.argsort(ids)
+        ids, customers, tables = ids[order], customers[order], [x[order] for x in tables]
         ws, cs, ds, ts, names, docs_upto = [], [], [], [], [], [0]
         for x in group.column("packed"):
-            w, k, ctx, who, train, local = unpack(x.as_buffer())
+            w, k, code, rare, who, train, at = unpack(x.as_buffer())
             ws.append(np.repeat(w, k))
-            cs.append(ctx)
-            ds.append(local.astype(np.int32) + np.int32(docs_upto[-1]))
-            ts.append(np.unpackbits(train, count=len(who)).astype(bool)[local])
+            cs.append(local(code, rare, ids))
+            ds.append(at.astype(np.int32) + np.int32(docs_upto[-1]))
+            ts.append(np.unpackbits(train, count=len(who)).astype(bool)[at])
             names.append(who)
             docs_upto.append(docs_upto[-1] + len(who))
         w, ctx, doc, train = (np.concatenate(x) for x in (ws, cs, ds, ts))
@@ -380,9 +547,9 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
         own = _index(word, frequent)
         mean = np.zeros(len(at))
         of = np.repeat(np.arange(len(word)), np.diff(ptr))
-        for m in chain.value:
-            t, prob = m.sweep(word, own, ptr, kctx, c)
-            mean += (np.maximum(c - m.d * t, 0) + (STRENGTH + m.d * m.tables[kctx]) * prob[of]) / (STRENGTH + m.customers[kctx])
+        for m, rest in zip(chain.value, tables, strict=True):
+            t, prob = m.sweep(word, own, ptr, kctx, c, ids, rest)
+            mean += (np.maximum(c - m.d * t, 0) + (STRENGTH + m.d * np.append(m.tables, rest)[kctx]) * prob[of]) / (STRENGTH + np.append(m.customers, customers)[kctx])
         n = np.add.reduceat(c, ptr[:-1])
         n = np.where(own >= 0, frequent_n[np.maximum(own, 0)], n) if len(frequent) else n
         each = n[of]
@@ -402,7 +569,8 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
                 total_[who] += c
         return pa.table({"d": ids, "held_out": held_out, "n_tokens": sums[0].astype(np.int64), "n_known": sums[1].astype(np.int64), "base": sums[2], "score": sums[3]})
 
-    parts = rows.mapInArrow(send, "bucket int, kind int, lot long, packed binary").groupBy("bucket").applyInArrow(rate, "lot long, kind int, packed binary")
+    parts = rows.mapInArrow(send, "bucket int, kind int, lot long, packed binary")
+    parts = parts.union(known.groupBy("home").applyInArrow(whole, "bucket int, kind int, lot long, packed binary")).groupBy("bucket").applyInArrow(rate, "lot long, kind int, packed binary")
     out = parts.groupBy("lot").applyInArrow(total_up, "d long, held_out boolean, n_tokens long, n_known long, base double, score double")
     # documents whose rows were read in several lots
     out = out.groupBy("d").agg(F.bool_and("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])

@@ -170,6 +170,15 @@ def test_context_helps_where_words_follow_each_other(docs):
     assert base < -2 and -1.1 < own < -math.log10(4) * 60 / 61 + 0.1  # four words may follow: log10(1/4) a word at best
 
 
+def test_each_word_is_a_context_however_many_there_are(docs):
+    """36,000 equally frequent words in chains of 20, each always followed by the same word."""
+    rows = [(i, " ".join(f"w{i % 1800 * 20 + k}" for k in range(20))) for i in range(1800 * 8)]
+    held = [x for x in pitman_yor.score(docs(rows)).collect() if x.held_out]
+    own = sum(x.score for x in held) / sum(x.n_tokens for x in held)
+    # of about 7 customers at each context, all are the next word: 20 times about (7 - d t) / (7 + strength), once 1 / 1800
+    assert (20 * math.log10(7 / 11) + math.log10(1 / 1800)) / 21 - 0.1 < own < (20 * math.log10(8 / 12) + math.log10(1 / 1800)) / 21 + 0.05
+
+
 def test_seats_follow_their_closed_form():
     """Mean number of tables of 3 customers against the exact weights of 1, 2 and 3 tables."""
     d, strength, prob = 0.5, 1.0, 0.3
