@@ -2,9 +2,10 @@
 
 Pages become trees of their block elements. The trees of a host are aligned by simple tree matching
 and merged to a template, whose nodes count the texts that stand at them: first the pages that one task
-reads, then the tasks' templates, a few at a time. A template has at most TEMPLATE_NODES nodes and
-TEXTS texts for each node, and runs of like siblings share one node, so it stays small however many pages a host
-has. A node whose text is the same on CONSTANT of the host's pages is template; the others are slots
+reads, then the tasks' templates, a few at a time. Counts of nodes and texts are upper bounds by lossy counting: only what
+stands on at most a share LOSS of the pages seen goes, and what comes later is counted as if it had stood on that
+share, so nothing on CONSTANT of the pages is ever lost and a template stays small however many pages a host has; runs of like
+siblings share one node. Of a node's texts the TEXTS most frequent are kept. A node whose text is the same on CONSTANT of the host's pages is template; the others are slots
 that hold content. Each page is then aligned with its host's template, template nodes go, and of the slots
 those in the main part are taken: inside article or main if there is one, else
 the part with most text outside links. Elements that are boilerplate by kind (nav, footer, form, ...) or by the words
@@ -34,7 +35,7 @@ from .spread import settle
 MIN_PAGES = 8
 CONSTANT = 0.8
 TEXTS = 24
-TEMPLATE_NODES = 400
+LOSS = (0.1, 0.3, 0.5)  # in one task's templates, and in the two rounds that merge them; below CONSTANT
 TEMPLATE_BYTES = 64 << 20
 
 # Kinds of HTML elements.
@@ -277,44 +278,45 @@ def match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
     return best[-1][-1], pairs[::-1]
 
 
-def _size(t: list) -> int:
-    return 1 + sum(map(_size, t[3]))
+def _raised(t: list, by: int) -> list:
+    return [t[0], t[1] + by, {k: n + by for k, n in t[2].items()}, [_raised(c, by) for c in t[3]]] if by else t
 
 
-def merge(a: list, b: list) -> list:
-    """Two templates of one host as one; nodes that match are one node, the others stand beside them."""
-    texts = dict(a[2])
+def merge(a: list, b: list, lost_a: int = 0, lost_b: int = 0) -> list:
+    """Two templates of one host as one; nodes that match are one node, the others stand beside them.
+
+    lost_a, lost_b: the pages that a node or text may have stood on which the template no longer has.
+    """
+    texts = {k: n + b[2].get(k, lost_b) for k, n in a[2].items()}
     for k, n in b[2].items():
-        texts[k] = texts.get(k, 0) + n
+        if k not in a[2]:
+            texts[k] = n + lost_a
     if len(texts) > TEXTS:
         texts = dict(sorted(texts.items(), key=lambda x: (-x[1], x[0]))[:TEXTS])
     _, pairs = match(a[3], b[3])
     children, i, j = [], 0, 0
     for x, y in [*pairs, (len(a[3]), len(b[3]))]:
-        children += a[3][i:x] + b[3][j:y]
+        children += [_raised(c, lost_b) for c in a[3][i:x]] + [_raised(c, lost_a) for c in b[3][j:y]]
         if x < len(a[3]):
-            children.append(merge(a[3][x], b[3][y]))
+            children.append(merge(a[3][x], b[3][y], lost_a, lost_b))
         i, j = x + 1, y + 1
     return [a[0], a[1] + b[1], texts, children]
 
 
-def prune(t: list) -> list:
-    """A template cut to TEMPLATE_NODES nodes; those on the fewest pages go, and what stands at them counts as slots."""
-    if _size(t) <= TEMPLATE_NODES:
-        return t
-    counts = sorted((n for n in _counts(t)), reverse=True)
-    least = counts[TEMPLATE_NODES - 1]
+def lost(pages: int, loss: float) -> int:
+    return int(loss * pages)
 
-    def cut(x: list) -> list:
-        return [x[0], x[1], x[2], [cut(c) for c in x[3] if c[1] > least]]
 
-    return cut(t)
+def prune(t: list, least: int) -> list:
+    """A template without the nodes and texts on at most so many pages."""
+    if not least:
+        return t
+    return [t[0], t[1], {k: n for k, n in t[2].items() if n > least}, [prune(c, least) for c in t[3] if c[1] > least]]
 
 
-def _counts(t: list) -> Iterator[int]:
-    yield t[1]
-    for c in t[3]:
-        yield from _counts(c)
+def candidates(t: list, least: float) -> list:
+    """A template with only the texts that may stand on so many pages."""
+    return [t[0], t[1], {k: n for k, n in t[2].items() if n >= least}, [candidates(c, least) for c in t[3]]]
 
 
 def template_blocks(template: list, page: list, pages: int) -> set[tuple[int, ...]]:
@@ -371,7 +373,12 @@ def induce(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
                     continue
                 root = parse(h)
                 one, name = outline(root, blocks(root)), host(u)
-                known[name] = prune(merge(known[name], one)) if name in known else one
+                if name in known:
+                    before = lost(known[name][1], LOSS[0])
+                    one = merge(known[name], one, before)
+                    now = lost(one[1], LOSS[0])
+                    one = prune(one, now) if now > before else one
+                known[name] = one
             if len(known) > 5000:
                 yield rows(known)
                 known = {}
@@ -383,11 +390,17 @@ def induce(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), salt, pa.array([pickle.dumps(known[n]) for n in names], pa.binary())], ["_host", "_salt", "_template"])
 
     def join(salted: bool):
+        loss, part_loss = (LOSS[1], LOSS[0]) if salted else (LOSS[2], LOSS[1])
+
         def add(group: pa.Table) -> pa.Table:
             total = None
             for x in sorted(group.column("_template").to_pylist()):
                 t = pickle.loads(x)
-                total = t if total is None else prune(merge(total, t))
+                if total is not None:
+                    t = merge(total, t, lost(total[1], loss), lost(t[1], part_loss))
+                total = prune(t, lost(t[1], loss))
+            if not salted:
+                total = candidates(total, CONSTANT * total[1])
             first = group.slice(0, 1)
             cols = {"_host": first.column("_host")}
             if salted:
@@ -401,43 +414,53 @@ def induce(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     return parts.groupBy("_host").applyInArrow(join(False), "_host string, _template binary")
 
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
-    templates = settle(induce(pages, url, html))
+def _aligned(pages: DataFrame, templates: DataFrame, columns: list[str], each, out: str) -> DataFrame:
+    """each(rows) for batches of rows (columns of pages, the last two of them url and html; template), packed templates by _host."""
     size = templates.agg(F.sum(F.length("_template") + F.length("_host"))).first()[0] or 0
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("h"))
-    out = "page_id long, url string, text string, n_chars long"
-
-    def read(h: str | None, template: list | None) -> str:
-        if not h:
-            return ""
-        root = parse(h)
-        return content(root, blocks(root), template)
-
-    def finish(b: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+    rows = pages.select(*columns)
 
     if size <= TEMPLATE_BYTES:
         held = pages.sparkSession.sparkContext.broadcast({r._host: bytes(r._template) for r in templates.collect()})
 
         def map_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = {k: pickle.loads(v) for k, v in held.value.items()}
-            for b in batches:
-                yield finish(b, [read(h, known.get(host(u))) for u, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)])
+            yield from each((b, [known.get(host(u)) for u in b.column(len(columns) - 2).to_pylist()]) for b in batches)
 
         return rows.mapInArrow(map_held, out)
 
     name = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern, 1))
 
     def map_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
-        for b in batches:
-            texts = []
-            for h, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if t != last[0]:
-                    last = (t, pickle.loads(t) if t else None)
-                texts.append(read(h, last[1]))
-            yield finish(b, texts)
+        def opened() -> Iterator[tuple[pa.RecordBatch, list]]:
+            last: tuple = (None, None)
+            for b in batches:
+                known = []
+                for t in b.column(len(columns)).to_pylist():
+                    if t != last[0]:
+                        last = (t, pickle.loads(t) if t else None)
+                    known.append(last[1])
+                yield b, known
+
+        yield from each(opened())
 
     joined = rows.withColumn("_h", name).join(templates.hint("merge"), F.col("_h") == F.col("_host"), "left")
-    return joined.select("page_id", "url", "h", "_template").mapInArrow(map_joined, out)
+    return joined.select(*columns, "_template").mapInArrow(map_joined, out)
+
+
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("h"))
+    templates = settle(induce(pages, url, html))
+
+    def read(h: str | None, template: list | None) -> str:
+        if not h:
+            return ""
+        root = parse(h)
+        return content(root, blocks(root), template)
+
+    def finish(batches: Iterator[tuple[pa.RecordBatch, list]]) -> Iterator[pa.RecordBatch]:
+        for b, known in batches:
+            texts = [read(h, t) for h, t in zip(b.column(2).to_pylist(), known, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return _aligned(rows, templates, ["page_id", "url", "h"], finish, "page_id long, url string, text string, n_chars long")

@@ -44,6 +44,12 @@ def test_constant_blocks_of_a_host_are_template(spark):
     assert got[100].text.startswith("Welcome")  # a host of one page has no template
 
 
+def test_templates_of_more_than_400_nodes(spark):
+    terms = "".join(f"<dt>Term {k}<dd>Meaning {k}" for k in range(210))
+    rows = [(i, "http://long.org/", f"<div><dl>{terms}</dl><p>Own text of {i}</p></div>") for i in range(12)]
+    assert {i: r.text for i, r in texts(spark, rows).items()} == {i: f"Own text of {i}" for i in range(12)}
+
+
 def test_odd_pages(spark):
     df = spark.createDataFrame(ODD_PAGES, "page_id long, url string, html string")
     got = sorted((r.page_id, r.text[:30], r.n_chars) for r in html_text.extract(df).collect())
