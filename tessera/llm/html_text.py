@@ -5,7 +5,7 @@ and merged to a template, whose nodes count the texts that stand at them: first
 reads, then the tasks' templates, a few at a time. Counts of nodes and texts are upper bounds by lossy counting: only what
 stands on at most a share LOSS of the pages seen goes, and what comes later is counted as if it had stood on that
 share, so nothing on CONSTANT of the pages is ever lost and a template stays small however many pages a host has; runs of like
-siblings share one node. Of a node's texts the TEXTS most frequent are kept. A node whose text is the same on CONSTANT of the host's pages is template; the others are slots
+siblings share one node. A second pass aligns all pages with their template and counts its texts exactly. A node whose text is the same on CONSTANT of the host's pages is template; the others are slots
 that hold content. Each page is then aligned with its host's template, template nodes go, and of the slots
 those in the main part are taken: inside article or main if there is one, else
 the part with most text outside links. Elements that are boilerplate by kind (nav, footer, form, ...) or by the words
@@ -34,7 +34,6 @@ from .spread import settle
 
 MIN_PAGES = 8
 CONSTANT = 0.8
-TEXTS = 24
 LOSS = (0.1, 0.3, 0.5)  # in one task's templates, and in the two rounds that merge them; below CONSTANT
 TEMPLATE_BYTES = 64 << 20
 
@@ -291,8 +290,6 @@ def merge(a: list, b: list, lost_a: int = 0, lost_b: int = 0) -> list:
     for k, n in b[2].items():
         if k not in a[2]:
             texts[k] = n + lost_a
-    if len(texts) > TEXTS:
-        texts = dict(sorted(texts.items(), key=lambda x: (-x[1], x[0]))[:TEXTS])
     _, pairs = match(a[3], b[3])
     children, i, j = [], 0, 0
     for x, y in [*pairs, (len(a[3]), len(b[3]))]:
@@ -319,6 +316,22 @@ def candidates(t: list, least: float) -> list:
     return [t[0], t[1], {k: n for k, n in t[2].items() if n >= least}, [candidates(c, least) for c in t[3]]]
 
 
+def found_at(template: list, page: list) -> Iterator[tuple[str, int]]:
+    """Nodes, by their places from the root on, and digests of the template's texts that a page has there."""
+    todo: list = [(template, page, "")]
+    while todo:
+        t, p, at = todo.pop()
+        for d in p[2]:
+            if d in t[2]:
+                yield at, d
+        todo += [(t[3][i], p[3][j], f"{at}{i} ") for i, j in match(t[3], p[3])[1]]
+
+
+def counted(t: list, counts: dict[tuple[str, int], int], at: str = "") -> list:
+    """A template with these counts for its texts."""
+    return [t[0], t[1], {k: counts[at, k] for k in t[2] if (at, k) in counts}, [counted(c, counts, f"{at}{i} ") for i, c in enumerate(t[3])]]
+
+
 def template_blocks(template: list, page: list, pages: int) -> set[tuple[int, ...]]:
     """Digests, with their path of labels, that are template: aligned with a node that has this text on most pages."""
     out: set = set()
@@ -447,10 +460,43 @@ def _aligned(pages: DataFrame, templates: DataFrame, columns: list[str], each, o
     return joined.select(*columns, "_template").mapInArrow(map_joined, out)
 
 
+def recount(rows: DataFrame, templates: DataFrame) -> DataFrame:
+    """_host, _template with the exact numbers of pages that have its texts."""
+
+    def tally(batches: Iterator[tuple[pa.RecordBatch, list]]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, str, int], int] = {}
+
+        def told() -> pa.RecordBatch:
+            keys = list(seen)
+            cols = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64()), pa.array(list(seen.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(cols, ["_host", "node", "digest", "n"])
+
+        for b, known in batches:
+            for u, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), known, strict=True):
+                if not h or t is None or t[1] < MIN_PAGES:
+                    continue
+                root, name = parse(h), host(u)
+                for at, d in found_at(t, outline(root, blocks(root))):
+                    seen[name, at, d] = seen.get((name, at, d), 0) + 1
+            if len(seen) > 200_000:
+                yield told()
+                seen.clear()
+        yield told()
+
+    def put(template: pa.Table, counts: pa.Table) -> pa.Table:
+        at = {(node, d): n for node, d, n in zip(*(counts.column(c).to_pylist() for c in ("node", "digest", "n")), strict=True)}
+        packed = [pickle.dumps(counted(pickle.loads(x), at)) for x in template.column("_template").to_pylist()]
+        return pa.table({"_host": template.column("_host"), "_template": pa.array(packed, pa.binary())})
+
+    counts = _aligned(rows, templates, ["url", "h"], tally, "_host string, node string, digest long, n long")
+    counts = counts.groupBy("_host", "node", "digest").agg(F.sum("n").alias("n"))
+    return templates.groupBy("_host").cogroup(counts.groupBy("_host")).applyInArrow(put, "_host string, _template binary")
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("h"))
-    templates = settle(induce(pages, url, html))
+    templates = settle(recount(rows, settle(induce(pages, url, html))))
 
     def read(h: str | None, template: list | None) -> str:
         if not h:

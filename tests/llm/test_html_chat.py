@@ -50,6 +50,16 @@ def test_templates_of_more_than_400_nodes(spark):
     assert {i: r.text for i, r in texts(spark, rows).items()} == {i: f"Own text of {i}" for i in range(12)}
 
 
+@pytest.mark.parametrize("first", [0, 3])
+def test_constant_texts_among_many_others(spark, first):
+    """Texts on 90% of the pages that are missing on the first of them, beside 40 other paragraphs."""
+    own = lambda i: [f"Paragraph {k} of {i}" for k in range(40)]
+    lines = [f"Line {k} that the site repeats" for k in range(8)]
+    rows = [(i, "http://c.org/x", "<div>" + "".join(f"<p>{x}</p>" for x in (lines if i >= first else []) + own(i)) + "</div>") for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {i: "\n\n".join(own(i)) for i in range(30)}
+
+
 def test_odd_pages(spark):
     df = spark.createDataFrame(ODD_PAGES, "page_id long, url string, html string")
     got = sorted((r.page_id, r.text[:30], r.n_chars) for r in html_text.extract(df).collect())
