@@ -3,7 +3,8 @@
 An item has a 64-bit SimHash of its lower-cased words, and a document one of every window of the
 item's length. Fingerprints are cut into BLOCKS blocks; the index holds each item under every
 value within one bit of each of its blocks, so any fingerprint within RADIUS = 2 * BLOCKS - 1 bits shares an
-entry with it (pigeonhole). Candidates are verified on the whole window: the Jaccard
+entry with it (pigeonhole). Similar windows may lie beyond that radius, so those that hold PERCENT of an item's
+shingles, as every window with that similarity must, are candidates too. Candidates are verified on the whole window: the Jaccard
 similarity of the two multisets of five-word shingles, 0.8 or more.
 
 A window without one of the item's shingles has similarity 0, so fingerprints are computed only for windows around
@@ -76,7 +77,10 @@ class Index:
         e, o = np.concatenate(entries), np.concatenate(owner)
         order = np.argsort(e, kind="stable")
         self.entries, self.owner = e[order], o[order]
-        self.known = np.unique(np.concatenate([s[0] for s in self.sums] or [np.zeros(0, np.uint64)]))
+        held = np.concatenate([s[0] for s in self.sums] or [np.zeros(0, np.uint64)])
+        order = np.argsort(held, kind="stable")
+        self.held, self.holder = held[order], np.repeat(np.arange(len(ids)), [len(s[0]) for s in self.sums])[order]
+        self.known = np.unique(held)
         self.marks = np.zeros(1 << 20, bool)
         self.marks[(self.known >> np.uint64(44)).astype(np.int64)] = True
 
@@ -98,6 +102,21 @@ class Index:
         return pair // len(self.ids), pair % len(self.ids)
 
 
+    def rich(self, at: np.ndarray, h: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+        """Every (start, item) whose window of the document (n words; shingles h at at) holds PERCENT of the item's shingles."""
+        lo, hi = np.searchsorted(self.held, h, "left"), np.searchsorted(self.held, h, "right")
+        k = hi - lo
+        item = self.holder[np.repeat(lo - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())] if len(k) else np.zeros(0, np.int64)
+        at = np.repeat(at, k)
+        need = np.maximum(self.sizes - SHINGLE + 1, 1) * PERCENT
+        which, found = np.unique(item, return_counts=True)
+        for i in which[(100 * found >= need[which]) & (self.sizes[which] >= SHINGLE)]:
+            upto = np.concatenate([[0], np.cumsum(np.bincount(at[item == i], minlength=n))])
+            start = np.arange(max(0, n - self.sizes[i]) + 1)
+            inside = upto[np.minimum(start + self.sizes[i] - SHINGLE + 1, n)] - upto[start]
+            yield from ((int(a), int(i)) for a in np.flatnonzero(100 * inside >= need[i]))
+
+
 def shingles(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of a word sequence, sorted, and how often each stands there."""
     k = min(SHINGLE, len(w))
@@ -116,7 +135,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def search(w: np.ndarray, hits: np.ndarray, index: Index) -> list[tuple[int, float, int, int]]:
     """Item, similarity, first word, end of the best window of each item in one document; hits: shingle starts the benchmark holds."""
-    total, n, out = running(w), len(w), []
+    total, n, pairs = running(w), len(w), set()
     for size in np.unique(index.sizes):
         if size >= SHINGLE:
             reach = hits[:, None] + np.arange(SHINGLE - size, 1)[None, :]
@@ -126,10 +145,16 @@ def search(w: np.ndarray, hits: np.ndarray, index: Index) -> list[tuple[int, flo
         stop = np.minimum(start + size, n)
         for r, i in zip(*index.near(fingerprints(total, start, stop)), strict=True):
             if index.sizes[i] == size:
-                a, b = int(start[r]), int(stop[r])
-                both, union = similarity(shingles(w[a:b]), index.sums[i])
-                if both and 100 * both >= PERCENT * union:
-                    out.append((int(i), both / union, a, b))
+                pairs.add((int(start[r]), int(i)))
+    if n >= SHINGLE:
+        at, h = X.windows(X.Words(w, w, np.array([0, n]), w), SHINGLE)
+        pairs.update(index.rich(at, h, n))
+    out = []
+    for a, i in sorted(pairs):
+        b = min(a + int(index.sizes[i]), n)
+        both, union = similarity(shingles(w[a:b]), index.sums[i])
+        if both and 100 * both >= PERCENT * union:
+            out.append((i, both / union, a, b))
     best: dict[int, tuple[int, float, int, int]] = {}
     for x in sorted(out, key=lambda x: (x[0], -x[1], x[2])):
         best.setdefault(x[0], x)

@@ -259,6 +259,21 @@ def test_leaks_match_brute_force(docs, spark):
     assert clean == {k for k, _ in rows} - {k for k, _ in want}
 
 
+def test_leaks_beyond_the_hamming_radius(docs, spark):
+    """Both ends of items replaced up to the limit of similarity; some of these windows are more than RADIUS bits away."""
+    r = random.Random(4)
+    words = lambda k: [f"b{r.randrange(50_000)}" for _ in range(k)]
+    items, rows = {}, []
+    for i in range(500):
+        items[i] = words(r.choice([14, 23, 32, 59]))
+        cut = (len(items[i]) - 4) // 9
+        head = r.randrange(cut + 1)
+        rows.append((i, " ".join(words(9) + words(head) + items[i][head : len(items[i]) - cut + head] + words(cut - head) + words(9))))
+    assert all(best_leak(rows[i][1].split(), items[i]) >= 0.8 for i in items)
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs(rows), table).collect()} == {(i, i) for i in items}
+
+
 def test_leak_passes_and_odd_rows(docs, odd, spark, monkeypatch):
     table = spark.createDataFrame([(1, "one two three four five six"), (2, "some words here"), (2, "some words here")], "item_id long, text string")
     monkeypatch.setattr(decontaminate, "PASS_WORDS", 4)
