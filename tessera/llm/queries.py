@@ -103,11 +103,11 @@ FROM first f FULL OUTER JOIN answer a ON f.conv_id = a.conv_id AND f.call_id = a
 
 @_query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents come in; those labelled toxic go; those of low quality are counted anew as their first line. The second batch is sent twice."""
+    """All documents come in; those labelled toxic go; those of low quality are counted anew as their whole text with its white space made single spaces. The second batch is sent twice."""
     docs = table(spark, sf_dir, "documents")
     whole = token_counts.count_tokens(docs)
-    lead = token_counts.count_tokens(docs.withColumn("text", F.substring_index("text", "\n", 1)))
-    counts = settle(whole.withColumn("part", F.lit("whole")).union(lead.withColumn("part", F.lit("lead"))))
+    tidy = token_counts.count_tokens(docs.withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " "))))
+    counts = settle(whole.withColumn("part", F.lit("whole")).union(tidy.withColumn("part", F.lit("tidy"))))
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_d"), "quality", "toxic")
     of = lambda part, which: counts.where(F.col("part") == part).join(labels.where(which), F.col("doc_id") == F.col("_d"), "left_semi")
     rollup = token_counts.Rollup(spark, shared_dir(spark))
@@ -115,5 +115,5 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         rollup.commit("toxic", token_counts.signed(of("whole", "toxic = 1"), -1))
     poor = "quality = 0 AND toxic = 0"
-    rollup.commit("poor", token_counts.revised(of("whole", poor), of("lead", poor)))
+    rollup.commit("poor", token_counts.revised(of("whole", poor), of("tidy", poor)))
     return rollup.totals()

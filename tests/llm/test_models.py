@@ -328,3 +328,13 @@ def test_rollup_follows_deltas_and_replays(docs, odd, spark, tmp_path):
     assert rollup.commit("none", token_counts.signed(counts.limit(0), 1))
     with pytest.raises(ValueError):
         rollup.commit("../x", token_counts.signed(counts, 1))
+
+
+def test_registered_totals_count_whole_texts(spark, tmp_path):
+    from tessera.llm import queries
+
+    texts = ["one  two\nthree four", "five\n\nsix seven", "gone\nwith all", None, "\n late "]
+    spark.createDataFrame([(i, x, "en", "s") for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 0, 0), (1, 1, 0), (2, 0, 1), (3, 0, 0), (4, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.version: (r.docs, r.tokens) for r in queries.op5_token_counts(spark, str(tmp_path)).collect()}
+    assert got["words"] == (4, 8)
