@@ -1,13 +1,16 @@
 """Vectorised word, line and window hashing over Arrow string columns.
 
 A word is a run of bytes outside {space, tab, LF, VT, FF, CR}. Those six are
-ASCII, so splitting UTF-8 bytes equals splitting code points. Hashes are 64-bit
-polynomials over the bytes (windows: over the word hashes), finished by a
-mixer; they depend on content alone, never on batch or position.
+ASCII, so splitting UTF-8 bytes equals splitting code points. Hashes have 64 bits and
+depend on content alone, never on batch or position. A span is taken eight bytes
+at a time and the state is mixed after each, so that no two texts collide by their structure, as
+they may under polynomials modulo 2**64; spans of more than WIDE bytes use BLAKE2.
+A window is hashed from its halves in the same way.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,22 +23,9 @@ _WS = np.zeros(256, dtype=bool)
 _WS[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-CHUNK = 2 << 20
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64, for i < n at least; kept per process."""
-    got = _tables.get(base)
-    if got is None or len(got[0]) < n:
-        size = max(n, CHUNK + 1024)
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, dtype=np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        got = _tables[base] = (out[0], out[1])
-    return got
+CHUNK = 1 << 19
+WIDE = 256
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -110,11 +100,23 @@ def _spans(sep: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 1) -> np.ndarray:
-    power, inverse = _powers(_B1 if salt == 1 else _B2, len(buf) + 1)
-    total = np.empty(len(buf) + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum((buf.astype(np.uint64) + np.uint64(salt)) * power[: len(buf)], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start])
+    """A hash of each span buf[start:end]; other salts give independent ones."""
+    n = end - start
+    padded = np.zeros(len(buf) + 8, dtype=np.uint8)
+    padded[: len(buf)] = buf
+    at = np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # eight bytes from every byte on
+    state = mix(n.astype(np.uint64) + np.uint64(salt) * np.uint64(_B1 & (2**60 - 1)))
+    state = mix((state ^ (at[start] & _MASK[np.minimum(n, 8)])) * np.uint64(_B2))
+    left, done = np.flatnonzero((n > 8) & (n <= WIDE)), 8
+    while len(left):
+        some = at[start[left] + done] & _MASK[np.minimum(n[left] - done, 8)]
+        state[left] = mix((state[left] ^ some) * np.uint64(_B2))
+        done += 8
+        left = left[n[left] > done]
+    for i in np.flatnonzero(n > WIDE):
+        whole = hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8, salt=bytes([salt]))
+        state[i] = np.frombuffer(whole.digest(), dtype="<u8")[0]
+    return state
 
 
 def words(t: Texts, lower: bool = False) -> Words:
@@ -126,18 +128,26 @@ def words(t: Texts, lower: bool = False) -> Words:
     return Words(start, end, np.searchsorted(start, t.offs), _span_hash(buf, start, end))
 
 
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * np.uint64(_B1) + (b ^ (b >> np.uint64(32))) * np.uint64(_B2))
+
+
 def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Index of the first word, and hash, of every window of k consecutive words of one row."""
     n = len(w.hash)
     if n < k:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    power, inverse = _powers(_B2, n + 1)
-    total = np.empty(n + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum(w.hash * power[:n], out=total[1:])
+    level, size, out, have = w.hash, 1, None, 0
+    while size <= k:
+        if k & size:  # what is there, and a run of that size behind it
+            out = level if out is None else _join(out[: n - have - size + 1], level[have:])
+            have += size
+        if 2 * size <= k:
+            level = _join(level[:-size], level[size:])
+        size *= 2
     stop = np.repeat(w.ptr[1:], np.diff(w.ptr))
     at = np.flatnonzero(np.arange(k, n + k) <= stop)
-    return at, mix((total[at + k] - total[at]) * inverse[at])
+    return at, out[at]
 
 
 @dataclass

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from common import WORD
+from common import WORD, thue_morse
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -40,6 +40,23 @@ def test_hashes_depend_on_content_alone():
     assert a[0][0] == a[1][1] == b[0][1] and a[0][1] == b[0][2]
 
 
+def test_no_collisions_by_structure():
+    rows = [thue_morse(n, *pair) for n in (64, 255, 256, 257, 1024, 4096) for pair in ("ab", "ba")] + ["", "a", "a\0", "a" * 8, "a" * 9, "a" * 16]
+    for t in X.texts(pa.array(rows)):
+        ls, w = X.lines(t), X.words(t)
+        assert len(set(ls.hash)) == len(set(ls.hash2)) == len(rows) and not set(ls.hash) & set(ls.hash2)
+        assert len(set(w.hash)) == len(w.hash) == len(rows) - 1
+    a, b = (" ".join(thue_morse(64, *pair)) for pair in ("ab", "ba"))
+    for k in (3, 5, 20, 64):
+        hashes = {}
+        for t in X.texts(pa.array([a, b])):
+            w = X.words(t)
+            for i, h in zip(*X.windows(w, k)):
+                words = tuple(w.hash[i : i + k])
+                assert hashes.setdefault(h, words) == words
+        assert len(set(hashes.values())) == len(hashes)
+
+
 def test_sliced_and_large_columns():
     column = pa.chunked_array([pa.array(["q", None, "a b"]).slice(1), pa.array(["c"])])
     assert [np.diff(X.words(t).ptr).tolist() for t in X.texts(column)] == [[0, 2, 1]]
