@@ -25,20 +25,43 @@ def buckets(df: DataFrame, each: int = 128 << 20) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir; a local one only where the cluster names none, as in tests."""
+    """A new folder name below spark.checkpoint.dir; a local one only on a local master that names none, as in tests."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
     return f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
+#: Shuffle files go once the query that made them has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df once to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The shuffles behind df are removed, as nothing needs them from then on.
+    """
     spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, was = shared_dir(spark), spark.conf.get(CLEAN)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def discard(*settled: DataFrame) -> None:
+    """Removes what settle() wrote, once no frame that is still to run reads it."""
+    for df in settled:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._settled)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
