@@ -18,7 +18,8 @@ Bound used: if J(a, b) >= 0.8 then |a & b| >= 0.8 max(|a|, |b|), so the first
 Defined results: null or empty texts, and texts without words, have an empty set,
 link with nothing and are their own component; fewer than five words make one shingle;
 rows with equal doc_id count as one document only if their sets are equal too, and
-share a component in any case; an empty table gives an empty result. Rows without doc_id go.
+share a component in any case; rows without doc_id have a set, but link with nothing and have no
+component; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,22 +30,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
 from .components import components
-from .spread import at_most, buckets, by_bucket, pack, settle, small, unpack
+from .spread import at_most, buckets, by_bucket, discard, pack, settle, small, unpack
 
 SHINGLE = 5
 PERCENT = 80
 HEAVY = 400_000
 SMALL_MOST = 12
 BROADCAST_ROWS = 1_000_000
-GATHER = 2_000_000
+GATHER = 1_000_000
 LIGHT = 32
-#: A long list is multiplied in pieces of so many documents and keys.
-ROWS, COLUMNS = 512, 1024
+#: A long list is multiplied in tasks of two blocks of about so many documents, and there in pieces of so many keys.
+ROWS, COLUMNS = 1024, 1024
 
 
 def need(n):
@@ -126,7 +128,9 @@ def _heavy(found: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     h, n = at_most(counts, "k1", "n", HEAVY)
     total = found.where("kind = 0").agg(F.sum("n")).first()[0] or 0
     light = counts.where(F.col("n") < int(n.min())) if len(n) else counts
-    return h, n, float(light.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0) / max(total, 1)
+    scan = float(light.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0) / max(total, 1)
+    discard(counts)
+    return h, n, scan
 
 
 def boundary(sizes: dict[int, int], scan: float) -> int:
@@ -154,20 +158,26 @@ def _keys(s: np.ndarray, rank: np.ndarray, most: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def postings(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], most: int) -> DataFrame:
+_MARK = np.uint64(64 - 23)
+
+
+def marked(heavy: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Heavy shingles, their counts, and bits for a first look at whether a shingle is one."""
+    marks = np.zeros(1 << 23, bool)
+    marks[(heavy[0] >> _MARK).astype(np.int64)] = True
+    return heavy[0], heavy[1], np.packbits(marks)
+
+
+def postings(docs: DataFrame, heavy: Broadcast, most: int) -> DataFrame:
     """kind 0: list key k, document a of b shingles. kind 1: documents a < b share c list keys; from lists of two and more.
 
     A document's sets are dealt in packed rows by key. Kind 1 holds the lists' smallest documents against their others, if they could
-    link by size: for each other document b that a whose lists hold it most often, of each bucket.
+    link by size: for each other document b that a whose lists hold it most often, of each bucket. heavy: see marked().
     """
-    sc = docs.sparkSession.sparkContext
     n_buckets = buckets(docs)
-    marks = np.zeros(1 << 24, bool)
-    marks[(heavy[0] >> np.uint64(40)).astype(np.int64)] = True
-    table = sc.broadcast((heavy[0], heavy[1], np.packbits(marks)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, bits = table.value
+        hashes, counts, bits = heavy.value
         mark = np.unpackbits(bits).astype(bool)
         seen: set[tuple[int, int]] = set()
         ids, sizes, keys, size = [], [], [], 0
@@ -190,7 +200,7 @@ def postings(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], most: int) -
                 p1, p2 = _prints(sets)
                 flat = np.concatenate(sets)
                 rank = np.zeros(len(flat), np.int64)
-                maybe = np.flatnonzero(mark[(flat >> np.uint64(40)).astype(np.int64)])
+                maybe = np.flatnonzero(mark[(flat >> _MARK).astype(np.int64)])
                 if len(maybe) and len(hashes):
                     i = np.minimum(np.searchsorted(hashes, flat[maybe]), len(hashes) - 1)
                     rank[maybe] = np.where(hashes[i] == flat[maybe], counts[i], 0)
@@ -280,7 +290,9 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                         good.append(j)
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
 
-    return rows.mapInArrow(hold, "a long, b long")
+    out = settle(rows.mapInArrow(hold, "a long, b long"))
+    discard(pairs, dealt)
+    return out
 
 
 def least_shared(n, m):
@@ -289,16 +301,16 @@ def least_shared(n, m):
     return F.greatest(F.lit(1), F.ceil((n + m) * PERCENT / (100.0 + PERCENT)) - F.greatest(behind(n), behind(m))).cast("long")
 
 
-def candidates(left: DataFrame, most: int) -> DataFrame:
-    """a < b of different components that share enough list keys; left: k, node, n, comp.
+def candidates(left: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """a < b of different components that share enough list keys, and a settled table behind them; left: k, node, n, comp.
 
     Keys of lists up to LIGHT documents are joined, and counted for each pair, beside the most keys of long lists that
-    it could share. Pairs that share keys of long lists alone are counted for a whole list at once,
+    it could share. Pairs that share keys of long lists alone are counted for two blocks of a list at once,
     by a product of matrices, and leave a list only if they pass and it is the first that they share.
     """
     sizes = left.groupBy("k").agg(F.count("*").alias("m"))
     sized = settle(left.join(sizes, "k"))
-    light, heavy = sized.where(F.col("m") <= LIGHT).drop("m"), sized.where(F.col("m") > LIGHT).drop("m")
+    light, heavy = sized.where(F.col("m") <= LIGHT).drop("m"), sized.where(F.col("m") > LIGHT)
     own = heavy.groupBy("node").agg(F.array_sort(F.collect_list("k")).alias("keys"))
     held = light.join(own.select(F.col("node").alias("_o"), F.size("keys").alias("h")), F.col("node") == F.col("_o"), "left").drop("_o").fillna(0, ["h"])
     x, y = (held.select(*[F.col(c).alias(f"{c}_{s}" if c != "k" else c) for c in held.columns]) for s in "xy")
@@ -311,8 +323,9 @@ def candidates(left: DataFrame, most: int) -> DataFrame:
         return need(n) - share(n)
 
     def meet(table: pa.Table) -> pa.Table:
-        node, n, comp = (table.column(c).to_numpy() for c in ("node", "n", "comp"))
-        key = table.column("k")[0].as_py()
+        """Pairs of one document of block i and one of block j that pass and share this list first."""
+        node, n, comp, block = (table.column(c).to_numpy() for c in ("node", "n", "comp", "block"))
+        key, i, j = (table.column(c)[0].as_py() for c in ("k", "i", "j"))
         lists = table.column("keys").combine_chunks()
         words, at, times = np.unique(lists.values.to_numpy(), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(node), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
@@ -320,50 +333,62 @@ def candidates(left: DataFrame, most: int) -> DataFrame:
         place = np.full(len(words), -1, np.int32)
         place[shared] = np.arange(len(shared), dtype=np.int32)
         first = int(place[np.searchsorted(words, key)])
+        if first < 0:  # one document alone
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         at = place[at]
         row, at = row[at >= 0], at[at >= 0]
         order = np.argsort(at, kind="stable")
         row, at = row[order], at[order]
-        edges = sorted({*range(0, len(shared), COLUMNS), first, len(shared)})
-        out = []
-        for lo in range(0, len(node), ROWS):
-            i = slice(lo, lo + ROWS)
-            total = np.zeros((len(node[i]), len(node)), np.float32)
-            before = None
-            for left_, right in itertools.pairwise(edges):
-                if left_ == first:
-                    before = total.copy()
-                pick = slice(*np.searchsorted(at, [left_, right]))
-                grid = np.zeros((len(node), right - left_), np.float32)
-                grid[row[pick], at[pick] - left_] = 1
-                total += grid[i] @ grid.T
-            low, high = np.minimum.outer(n[i], n), np.maximum.outer(n[i], n)
-            least = -(-(np.add.outer(n[i], n) * PERCENT) // (100 + PERCENT)) - np.maximum.outer(behind(n[i]), behind(n))
-            good = np.less.outer(node[i], node) & np.not_equal.outer(comp[i], comp) & (low * 100 >= PERCENT * high)
-            good &= ((total >= least) | (low <= most)) & (before == 0)
-            a, b = np.nonzero(good)
-            out.append(np.stack([node[i][a], node[b]]))
+        left_rows, right_rows = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        out = [np.zeros((2, 0), np.int64)]
+        for lo in range(0, len(left_rows), ROWS):
+            x = left_rows[lo : lo + ROWS]
+            for hi in range(0, len(right_rows), ROWS):
+                y = right_rows[hi : hi + ROWS]
+                total = np.zeros((len(x), len(y)), np.float32)
+                for left_, right in itertools.pairwise(sorted({*range(0, len(shared), COLUMNS), first, len(shared)})):
+                    if left_ == first:
+                        before = total.copy()
+                    pick = slice(*np.searchsorted(at, [left_, right]))
+                    grid = np.zeros((len(node), right - left_), np.float32)
+                    grid[row[pick], at[pick] - left_] = 1
+                    total += grid[x] @ grid[y].T
+                low, high = np.minimum.outer(n[x], n[y]), np.maximum.outer(n[x], n[y])
+                least = -(-(np.add.outer(n[x], n[y]) * PERCENT) // (100 + PERCENT)) - np.maximum.outer(behind(n[x]), behind(n[y]))
+                good = np.not_equal.outer(comp[x], comp[y]) & (low * 100 >= PERCENT * high) & ((total >= least) | (low <= most)) & (before == 0)
+                if i == j:
+                    good &= np.less.outer(node[x], node[y])
+                a, b = np.nonzero(good)
+                out.append(np.stack([np.minimum(node[x][a], node[y][b]), np.maximum(node[x][a], node[y][b])]))
         a, b = np.concatenate(out, axis=1)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return pairs.union(heavy.join(own, "node").groupBy("k").applyInArrow(meet, "a long, b long")).distinct()
+    # a list's documents are dealt in blocks, and every two blocks meet in a task of their own
+    parts = F.ceil(F.col("m") / ROWS).cast("int")
+    dealt = heavy.join(own, "node").withColumn("block", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select("k", "node", "n", "comp", "keys", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return pairs.union(dealt.groupBy("k", "i", "j").applyInArrow(meet, "a long, b long")).distinct(), sized
 
 
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach); one row for each row of docs."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = settle(survey(docs))
+    docs = docs.where("doc_id is not null")
     own = found.where("kind = 0").select("doc_id", "n", "k1", "k2")
     heavy, heavy_n, scan = _heavy(found)
     sizes = {r.n: r.c for r in own.where("n > 0").groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("c")).collect()}
     most = boundary(sizes, scan)
 
-    full = own.where("n > 0")
+    full = own.where("n > 0 and doc_id is not null")
     rep = full.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     member = settle(full.join(rep, ["n", "k1", "k2"]).select("doc_id", "rep").distinct())
     links = member.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
 
-    listed = settle(postings(docs, (heavy, heavy_n), most))
+    table = docs.sparkSession.sparkContext.broadcast(marked((heavy, heavy_n)))
+    listed = settle(postings(docs, table, most))
+    table.unpersist()
     star = listed.where("kind = 1").select("a", "b", "c", F.col("k").alias("n")).repartition("b").groupBy("b", "a").agg(F.sum("c").alias("c"), F.first("n").alias("n"))
     star = star.groupBy("b").agg(F.max_by(F.struct("a", "n"), F.struct("c", -F.col("a"))).alias("x"), F.max("c").alias("c")).select("b", "x.a", "x.n", "c").where(F.col("c") * 2 >= 1 + F.floor(F.col("n") / 20))
     by = member.groupBy("doc_id").agg(F.min("rep").alias("rep"))
@@ -378,10 +403,13 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     placed = placed.repartition("k").dropDuplicates(["k", "node"])  # this one exchange serves the next two steps too
     mixed = placed.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("k")
     left = settle(placed.join(mixed, "k"))
-    cross = settle(candidates(left, most))
+    discard(listed, member, comp, first)
+    cross, sized = candidates(left, most)
     again = verify(docs, cross)
-    links = settle(links.union(again.select("b", "a")))
-    comp = components(links)
+    discard(left, sized)
+    every = settle(links.union(again.select("b", "a")))
+    comp = components(every)
+    discard(links, again, every)
     return own.select("doc_id", F.col("n").alias("n_shingles")).join(comp, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
