@@ -6,8 +6,8 @@ MIN_PAGES of them at least. A line counts once a page. Lines are compared as raw
 
 Every task adds up its own pages before the shuffle, so a line on every page of
 the largest site makes one row for each task. Boilerplate lines of a site number at most
-lines per page / MAX_RATIO. They are broadcast in pieces of PIECE keys: one piece
-for most inputs, and a further pass over the texts for every further piece.
+lines per page / MAX_RATIO. Up to PIECE of them are broadcast. Beyond that, pages and lines are dealt by
+site, a site's pages in groups of about GROUP_PAGES, each beside that site's lines.
 
 Defined results: null text stays null and has no lines; empty text stays empty;
 a null site is a site of its own; rows that repeat count as pages of their own;
@@ -30,6 +30,7 @@ from .spread import settle
 MAX_RATIO = 0.01
 MIN_PAGES = 5
 PIECE = 1_000_000
+GROUP_PAGES = 20_000
 GATHER = 1_000_000
 
 
@@ -52,7 +53,7 @@ def _keys(t: X.Texts, site: np.ndarray) -> tuple[X.Lines, np.ndarray, np.ndarray
 
 
 def boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, text: str = "text", site: str = "source") -> DataFrame:
-    """k1, k2 of each line, within its site, that is to go."""
+    """site (its hash), k1, k2 of each line that is to go, and the site's pages with a text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -96,22 +97,13 @@ def boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
     counts = settle(rows.groupBy("site", "k1", "k2").agg(F.sum("n").alias("n")).where((F.col("n") >= min_pages) | ((F.col("k1") == 0) & (F.col("k2") == 0))))
     pages = counts.where("k1 = 0 and k2 = 0").select(F.col("site").alias("s"), F.col("n").alias("pages"))
     often = counts.where("k1 <> 0 or k2 <> 0").join(pages, F.col("site") == F.col("s"))
-    return often.where(F.col("n") > F.lit(float(max_ratio)) * F.col("pages")).select("k1", "k2")
-
-
-def _pieces(keys: DataFrame) -> list[np.ndarray]:
-    """The keys, sorted, in arrays of at most about PIECE; each is taken to the driver on its own."""
-    keys = settle(keys)
-    n = keys.count()
-    parts = max(1, -(-n // PIECE))
-    out = []
-    for i in range(parts):
-        p = keys if parts == 1 else keys.where(F.pmod(F.col("k1"), F.lit(parts)) == i)
-        t = p.toArrow()
-        k = np.zeros(t.num_rows, dtype=[("a", np.uint64), ("b", np.uint64)])
-        k["a"], k["b"] = t["k1"].to_numpy().view(np.uint64), t["k2"].to_numpy().view(np.uint64)
-        out.append(np.sort(k, order=["a", "b"]))
-    return out
+    return often.where(F.col("n") > F.lit(float(max_ratio)) * F.col("pages")).select("site", "k1", "k2", "pages")
+
+
+def _sorted(k1: pa.ChunkedArray, k2: pa.ChunkedArray) -> np.ndarray:
+    k = np.zeros(len(k1), dtype=[("a", np.uint64), ("b", np.uint64)])
+    k["a"], k["b"] = k1.to_numpy().view(np.uint64), k2.to_numpy().view(np.uint64)
+    return np.sort(k, order=["a", "b"])
 
 
 def _drop(t: X.Texts, sites: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
@@ -120,10 +112,10 @@ def _drop(t: X.Texts, sites: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray,
     n = len(t)
     gone = np.zeros(len(at), bool)
     if len(keys) and len(at):
-        i = np.searchsorted(keys["a"], k1)
-        for step in range(4):  # equal first halves: a few at most
-            j = np.minimum(i + step, len(keys) - 1)
-            gone |= (keys["a"][j] == k1) & (keys["b"][j] == k2)
+        lo, hi = np.searchsorted(keys["a"], k1, "left"), np.searchsorted(keys["a"], k1, "right")
+        for step in range(int((hi - lo).max())):  # all with an equal first half
+            j = np.minimum(lo + step, len(keys) - 1)
+            gone |= (lo + step < hi) & (keys["b"][j] == k2)
     doc = ls.doc
     n_lines, removed = np.bincount(doc[at], minlength=n), np.bincount(doc[at[gone]], minlength=n)
     keep = np.ones(len(doc), bool)
@@ -137,33 +129,57 @@ def _drop(t: X.Texts, sites: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray,
 
 def drop_lines(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, text: str = "text", site: str = "source", counts: tuple[str, str] | None = None) -> DataFrame:
     """docs with the site's boilerplate lines taken out of text; counts: names for lines with a word, before and removed."""
-    pieces = _pieces(boilerplate(docs, max_ratio, min_pages, text, site))
-    sc = docs.sparkSession.sparkContext
+    found = settle(boilerplate(docs, max_ratio, min_pages, text, site))
     ti, si = docs.columns.index(text), docs.columns.index(site)
-    schema = docs.schema
-    out = docs
-    for k, piece in enumerate(pieces):
-        keys = sc.broadcast(piece)
-        first = k == 0
-
-        def clean(batches: Iterator[pa.RecordBatch], keys=keys, first=first) -> Iterator[pa.RecordBatch]:
+    kind = type(docs.schema)(list(docs.schema.fields))
+    for c in counts or ():
+        kind = kind.add(c, "long")
+
+    def cleaned(b: pa.RecordBatch, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sites = _site_hash(b.column(si).cast(pa.string()))
+        for t in X.texts(b.column(ti)):
+            part = b.slice(t.first, len(t))
+            n_lines, removed, new = _drop(t, sites, keys)
+            cols = list(part.columns)
+            if removed.any():
+                cols[ti] = pa.array([o if x is None else x.decode() for o, x in zip(cols[ti].to_pylist(), new, strict=True)], cols[ti].type)
+            yield pa.RecordBatch.from_arrays(cols + ([pa.array(n_lines), pa.array(removed)] if counts else []), kind.names)
+
+    if found.count() <= PIECE:
+        lines = found.select("k1", "k2").toArrow()
+        held = docs.sparkSession.sparkContext.broadcast(_sorted(lines["k1"], lines["k2"]))
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                sites = _site_hash(b.column(si).cast(pa.string()))
-                for t in X.texts(b.column(ti)):
-                    part = b.slice(t.first, len(t))
-                    n_lines, removed, new = _drop(t, sites, keys.value)
-                    cols = list(part.columns)
-                    if removed.any():
-                        cols[ti] = pa.array([o if x is None else x.decode() for o, x in zip(cols[ti].to_pylist(), new, strict=True)], cols[ti].type)
-                    if counts and first:
-                        cols += [pa.array(n_lines), pa.array(removed)]
-                    elif counts:
-                        cols[-1] = pa.array(cols[-1].to_numpy() + removed)
-                    names = [*schema.names, *(counts or ())]
-                    yield pa.RecordBatch.from_arrays(cols, names)
-
-        kind = schema
-        for c in counts or ():
-            kind = type(schema)(list(kind.fields)).add(c, "long")
-        out = out.mapInArrow(clean, kind)
-    return out
+                yield from cleaned(b, held.value)
+
+        return docs.mapInArrow(clean, kind)
+
+    names = [*docs.columns, "_tessera_site", "_tessera_roll"]
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with the hash of their site, and a number by their content that deals a site's pages."""
+        for b in batches:
+            sites, texts = _site_hash(b.column(si).cast(pa.string())), _site_hash(b.column(ti))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sites.view(np.int64)), pa.array((texts >> np.uint64(33)).astype(np.int64))], names)
+
+    sites = found.groupBy("site").agg(F.ceil(F.first("pages") / GROUP_PAGES).alias("parts"))
+    rows = docs.mapInArrow(named, type(docs.schema)(list(docs.schema.fields)).add(names[-2], "long").add(names[-1], "long"))
+    rows = rows.join(sites.withColumnRenamed("site", "_tessera_s"), F.col(names[-2]) == F.col("_tessera_s"), "left")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    others = rows.where("parts is null").select(*own)  # pages of sites that lose nothing
+    rows = rows.where("parts is not null").select(*own, F.xxhash64(names[-2], F.pmod(names[-1], "parts")).alias("_tessera_g"))
+    keys = found.join(sites, "site").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    keys = keys.select(F.xxhash64("site", "part").alias("_tessera_k"), "k1", "k2")
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        lines = _sorted(right.column("k1"), right.column("k2"))
+        batches = left.select(docs.columns).combine_chunks().to_batches()
+        return pa.Table.from_batches([x for b in batches for x in cleaned(b, lines)], schema=pa.schema([(c, f.type) for c, f in zip(docs.columns, left.select(docs.columns).schema, strict=True)] + [(c, pa.int64()) for c in counts or ()]))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, dtype=[("a", np.uint64), ("b", np.uint64)])
+        for b in batches:
+            yield from cleaned(b, none)
+
+    return rows.groupBy("_tessera_g").cogroup(keys.groupBy("_tessera_k")).applyInArrow(cut, kind).union(others.mapInArrow(count, kind))
