@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spread import settle
 from .text import mix as scramble
 
 BLOCK = 64
@@ -126,7 +127,8 @@ def apportion(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: in
     Weights go to the sources by code point, repeating.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    base = settle(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size, F.xxhash64(F.col(text)).alias("print")))
     found = base.groupBy("source").agg(F.sum("size").alias("source_size")).limit(MAX_SOURCES + 1).toPandas()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; mix by a coarser source")
@@ -145,8 +147,9 @@ def apportion(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: in
     found["at"] = np.arange(len(found))
     plan = spark.createDataFrame(found[["at", "source", "source_size", "target", "n_shards", "quota"]], "at long, source string, source_size long, target double, n_shards long, quota long")
 
-    roll = F.xxhash64("doc_id", F.lit(seed))
-    dealt = base.join(plan, base.source.eqNullSafe(plan.source)).select("doc_id", "size", "at", "source_size", "target", "n_shards", "quota", F.pmod(roll, F.col("n_shards")).alias("shard"))
+    roll = F.xxhash64("doc_id", "print", F.lit(seed))  # rows that share an id, or have none, are dealt by their texts
+    every = base.join(plan, base.source.eqNullSafe(plan.source)).select("doc_id", "size", "print", "at", "source_size", "target", "n_shards", "quota", F.pmod(roll, F.col("n_shards")).alias("shard"))
+    dealt, bare = every.where("size > 0"), every.where("size = 0")  # rows without a word take no part
 
     shards = dealt.groupBy("at", "shard").agg(F.sum("size").alias("shard_size"), F.first("n_shards").alias("n_shards"), F.first("quota").alias("quota"))
     shards = shards.withColumn("group", (F.col("shard") / F.ceil(F.sqrt("n_shards"))).cast("long"))
@@ -165,7 +168,7 @@ def apportion(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: in
     by_shard = inner.groupBy("at", "group").applyInPandas(split("shard"), "at long, shard long, seats long")
 
     def pick(keys: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(["doc_id", "size"], kind="stable").reset_index(drop=True)
+        left = left.sort_values(["doc_id", "size", "print"], kind="stable").reset_index(drop=True)
         ids, size = left.doc_id.fillna(-1).to_numpy(dtype=np.int64), left["size"].to_numpy(dtype=np.int64)
         key = (int(keys[0]) * 1_000_003 + int(keys[1])) * 8191 + seed
         order = np.lexsort((np.arange(len(ids)), scramble(ids.astype(np.uint64) ^ np.uint64(key & (2**63 - 1)))))
@@ -173,8 +176,8 @@ def apportion(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: in
         left["taken"] = take(size, order, quota, block, key, epochs)
         return left[["doc_id", "size", "source_size", "target", "taken"]]
 
-    picked = dealt.select("doc_id", "size", "source_size", "target", "at", "shard").groupBy("at", "shard").cogroup(by_shard.groupBy("at", "shard")).applyInPandas(pick, "doc_id long, size long, source_size long, target double, taken long")
-    return picked
+    picked = dealt.select("doc_id", "size", "print", "source_size", "target", "at", "shard").groupBy("at", "shard").cogroup(by_shard.groupBy("at", "shard")).applyInPandas(pick, "doc_id long, size long, source_size long, target double, taken long")
+    return picked.union(bare.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long")))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
