@@ -7,8 +7,8 @@ number, boolean, object, array, null.
 
 Calls and results are reduced to one row for each (conversation, identifier) by partial aggregates and then
 hash-joined on it; a conversation is never gathered, so one that holds a third of all rows is spread like any other.
-A call's level is 0 without dependencies, else one more than the highest level it depends on; levels are settled
-round by round over the edges alone. (level, turn, slot) is a topological order within a conversation; a result stands right after its call.
+A call's level is 0 without dependencies, else one more than the highest level it depends on; chains of calls with one
+dependency are shortened by pointer doubling, and the rest is settled round by round over the edges alone. (level, turn, slot) is a topological order within a conversation; a result stands right after its call.
 
 Defined results. status: linked; unanswered (no result); orphan (no call); early (the result stands before the call).
 The first of several calls or results with one identifier counts, by turn, then slot, then JSON; n_calls and n_results say how many there
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spread import settle
+from .spread import discard, settle
 
 SCHEMA_ROWS = 100_000
 KIND = "CASE WHEN k = 'STRING' THEN 'string' WHEN k = 'BIGINT' THEN 'integer' WHEN k LIKE 'DECIMAL%' OR k IN ('DOUBLE', 'FLOAT') THEN 'number' WHEN k = 'BOOLEAN' THEN 'boolean' WHEN k LIKE 'OBJECT%' THEN 'object' WHEN k LIKE 'ARRAY%' THEN 'array' ELSE 'null' END"
@@ -62,28 +62,58 @@ def violations(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return every.select("conv_id", "call_id", F.when(~F.col("_object") | F.col("_must").isNull(), F.lit(1)).otherwise(missing + F.coalesce("_wrong", F.lit(0))).alias("bad"))
 
 
+def _same(a: str, b: str):
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def _jumps(edges: DataFrame) -> DataFrame:
+    """Calls with one dependency: to, the first call behind them that has not just one (or isn't there), and d, the steps to it.
+
+    Pointers double until none moves, so a chain of n calls takes log2(n) rounds; those that then still move are in or
+    behind a cycle, and to is null.
+    """
+    one = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.min("dep").alias("to"))
+    now = settle(one.where("n = 1").select("conv_id", "call_id", "to", F.lit(1).cast("long").alias("d"), F.lit(True).alias("moves")))
+    for _ in range(now.count().bit_length() + 1):
+        step = now.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), F.col("to").alias("_to"), F.col("d").alias("_d"))
+        new = now.join(step, _same("conv_id", "_c") & (F.col("to") == F.col("_i")), "left")
+        new = settle(new.select("conv_id", "call_id", F.coalesce("_to", "to").alias("to"), (F.col("d") + F.coalesce("_d", F.lit(0))).alias("d"), F.col("_i").isNotNull().alias("moves")))
+        discard(now)
+        now = new
+        if now.where("moves").isEmpty():
+            break
+    return now.withColumn("to", F.when(~F.col("moves"), F.col("to"))).drop("moves")
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level of calls that have dependencies; without level where these can't be met."""
+    """conv_id, call_id, level of calls that have dependencies; without level where these can't be met.
+
+    Chains are first made one step each; then calls with several dependencies are settled round by round.
+    """
     edges = settle(calls.select("conv_id", "call_id", F.explode("depends_on").alias("dep")).distinct())
     if edges.isEmpty():
         return edges.select("conv_id", "call_id", F.lit(None).cast("long").alias("level"))
-    nodes = calls.select("conv_id", "call_id")
-    on = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    waits = edges.select("conv_id", "call_id").distinct()
-    done = settle(nodes.join(waits.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i")), on("conv_id", "_c") & on("call_id", "_i"), "left_anti").withColumn("level", F.lit(0).cast("long")))
-    open_ = edges
-    while True:
+    waits = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"))
+    jumps = _jumps(edges)
+    step = jumps.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), "to", "d")
+    many = edges.join(waits.where("n > 1").select(F.col("conv_id").alias("_wc"), F.col("call_id").alias("_wi")), _same("conv_id", "_wc") & (F.col("call_id") == F.col("_wi")), "left_semi")
+    many = many.join(step, _same("conv_id", "_c") & (F.col("dep") == F.col("_i")), "left")
+    # a dependency in a cycle has no target, and is never met
+    open_ = settle(many.select("conv_id", "call_id", F.when(F.col("_i").isNotNull(), F.col("to")).otherwise(F.col("dep")).alias("dep"), (F.coalesce("d", F.lit(0)) + 1).alias("w")))
+    none = waits.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"))
+    done = settle(calls.select("conv_id", "call_id").join(none, _same("conv_id", "_c") & (F.col("call_id") == F.col("_i")), "left_anti").withColumn("level", F.lit(0).cast("long")))
+    while not open_.isEmpty():
         known = done.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), "level")
-        state = open_.join(known, on("conv_id", "_c") & on("dep", "_i"), "left").groupBy("conv_id", "call_id").agg(F.bool_and(F.col("level").isNotNull()).alias("ready"), F.max("level").alias("m"))
-        new = settle(state.where("ready").select("conv_id", "call_id", (F.col("m") + 1).alias("level")))
+        state = open_.join(known, _same("conv_id", "_c") & (F.col("dep") == F.col("_i")), "left").groupBy("conv_id", "call_id").agg(F.bool_and(F.col("level").isNotNull()).alias("ready"), F.max(F.col("level") + F.col("w")).alias("level"))
+        new = settle(state.where("ready").select("conv_id", "call_id", "level"))
         if new.isEmpty():
             break
         done = settle(done.union(new))
-        open_ = settle(open_.join(new.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i")), on("conv_id", "_c") & on("call_id", "_i"), "left_anti"))
-        if open_.isEmpty():
-            break
-    known = done.where("level > 0").select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), "level")
-    return waits.join(known, on("conv_id", "_c") & on("call_id", "_i"), "left").select("conv_id", "call_id", "level")
+        open_ = settle(open_.join(new.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i")), _same("conv_id", "_c") & (F.col("call_id") == F.col("_i")), "left_anti"))
+    known = done.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), "level")
+    single = jumps.join(known, _same("conv_id", "_c") & (F.col("to") == F.col("_i")), "left").select("conv_id", "call_id", (F.col("level") + F.col("d")).alias("level"))
+    several = waits.where("n > 1").join(known, _same("conv_id", "_c") & (F.col("call_id") == F.col("_i")), "left").select("conv_id", "call_id", "level")
+    return single.union(several)
 
 
 def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -106,8 +136,15 @@ def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 def as_calls(conversations: DataFrame) -> DataFrame:
-    """A conversation as tool messages: each user turn asks "reply" for an answer to its text, and an assistant turn answers the turn before it."""
-    ask = F.expr("to_json(named_struct('tool_calls', array(named_struct('id', concat(conv_id, ':', turn), 'name', 'reply', 'arguments', named_struct('text', coalesce(text, ''), 'turn', turn)))))")
+    """A conversation as tool messages: each user turn is a call, and an assistant turn answers the turn before it.
+
+    The first user turn calls "ask", the others "follow_up", which depends on the two user turns before it. Arguments: text (unless null), turn,
+    lines if there are several, and from the seventh turn on a limit as text.
+    """
+    call = """named_struct('id', concat(conv_id, ':', turn), 'name', if(turn < 2, 'ask', 'follow_up'),
+      'arguments', named_struct('limit', if(turn >= 6, string(turn), null), 'lines', if(text like '%\\n%', length(text) - length(replace(text, '\\n', '')) + 1, null), 'text', text, 'turn', turn),
+      'depends_on', filter(array(if(turn >= 2, concat(conv_id, ':', turn - 2), null), if(turn >= 4, concat(conv_id, ':', turn - 4), null)), x -> x is not null))"""
+    ask = F.expr(f"to_json(named_struct('tool_calls', array({call})))")
     reply = F.expr("to_json(named_struct('tool_call_id', concat(conv_id, ':', turn - 1), 'content', coalesce(text, '')))")
     rows = conversations.where("role IN ('user', 'assistant')")
     asked = F.col("role") == "user"
