@@ -36,6 +36,8 @@ BITS = (11, 11, 11, 11, 10, 10)
 BLOCKS = len(BITS)
 RADIUS = 2 * BLOCKS - 1
 PASS_WORDS = 4_000_000
+#: Words of one text that are looked at together.
+SEGMENT = 50_000
 
 
 def fingerprints(total: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -110,11 +112,15 @@ class Index:
         at = np.repeat(at, k)
         need = np.maximum(self.sizes - SHINGLE + 1, 1) * PERCENT
         which, found = np.unique(item, return_counts=True)
+        order = np.argsort(item, kind="stable")
+        at, item = at[order], item[order]
         for i in which[(100 * found >= need[which]) & (self.sizes[which] >= SHINGLE)]:
-            upto = np.concatenate([[0], np.cumsum(np.bincount(at[item == i], minlength=n))])
-            start = np.arange(max(0, n - self.sizes[i]) + 1)
-            inside = upto[np.minimum(start + self.sizes[i] - SHINGLE + 1, n)] - upto[start]
-            yield from ((int(a), int(i)) for a in np.flatnonzero(100 * inside >= need[i]))
+            own = np.sort(at[np.searchsorted(item, i) : np.searchsorted(item, i, "right")])
+            low = max(0, int(own[0]) - int(self.sizes[i]))  # no window before that, nor behind the last of them, holds any
+            upto = np.concatenate([[0], np.cumsum(np.bincount(own - low, minlength=int(own[-1]) - low + 1))])
+            start = np.arange(low, min(int(own[-1]), max(0, n - int(self.sizes[i]))) + 1)
+            inside = upto[np.minimum(start - low + int(self.sizes[i]) - SHINGLE + 1, len(upto) - 1)] - upto[start - low]
+            yield from ((int(start[a]), int(i)) for a in np.flatnonzero(100 * inside >= need[i]))
 
 
 def shingles(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,17 +141,25 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def search(w: np.ndarray, hits: np.ndarray, index: Index) -> list[tuple[int, float, int, int]]:
     """Item, similarity, first word, end of the best window of each item in one document; hits: shingle starts the benchmark holds."""
-    total, n, pairs = running(w), len(w), set()
-    for size in np.unique(index.sizes):
-        if size >= SHINGLE:
-            reach = hits[:, None] + np.arange(SHINGLE - size, 1)[None, :]
-            start = np.unique(np.clip(reach, 0, max(0, n - size)))
-        else:
-            start = hits if n >= size else hits[:0]
-        stop = np.minimum(start + size, n)
-        for r, i in zip(*index.near(fingerprints(total, start, stop)), strict=True):
-            if index.sizes[i] == size:
-                pairs.add((int(start[r]), int(i)))
+    n, pairs = len(w), set()
+    for size in np.unique(index.sizes).tolist():
+        if size < SHINGLE and n < size:
+            continue
+        # starts of windows that hold a hit: one more from its first possible start on, one less behind its last one
+        last = max(0, n - size)
+        edge = np.zeros(last + 2, np.int32)
+        np.add.at(edge, np.clip(hits - max(size - SHINGLE, 0), 0, last), 1)
+        np.add.at(edge, np.minimum(hits, last) + 1, -1)
+        starts = np.flatnonzero(np.cumsum(edge[:-1]))
+        for lo in range(0, last + 1, SEGMENT):  # sums of bits take 256 bytes for each word
+            start = starts[np.searchsorted(starts, lo) : np.searchsorted(starts, lo + SEGMENT)]
+            if not len(start):
+                continue
+            total = running(w[lo : lo + SEGMENT + size])
+            prints = fingerprints(total, start - lo, np.minimum(start + size, n) - lo)
+            for r, i in zip(*index.near(prints), strict=True):
+                if index.sizes[i] == size:
+                    pairs.add((int(start[r]), int(i)))
     if n >= SHINGLE:
         at, h = X.windows(X.Words(w, w, np.array([0, n]), w), SHINGLE)
         pairs.update(index.rich(at, h, n))
