@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import random
+import time
 
 import pytest
 
@@ -74,20 +75,104 @@ def test_templates_joined_or_broadcast_agree(spark, monkeypatch, limit):
     assert {i: r.text for i, r in texts(spark, rows).items()} == {i: f"Own {i}" for i in range(24)}
 
 
+PLAIN = 16
+
+
+def plain(i, short=False):
+    """A page of nothing but div, p and ul: menu, notice, teaser, article, foot; what varies beside the article is short, the notice is long."""
+    menu = "".join(f'<div><a href="/{k}">Section {k} of {(i * 7 + k) % 5}</a></div>' for k in range(5))
+    own = [f"Title {i}", f"Short {i}."] if short else [f"Title {i}", *(f"Sentence {k} of article {i}, " + "word " * (5 + i % 3) + "end." for k in range(4))]
+    notice = "We changed our terms; read on to learn what that means for all of our readers, writers and friends. " * 4
+    teaser = f"Weather: {i * 37 % 40} degrees"
+    body = "".join(f"<p>{x}</p>" for x in own[1:])
+    return f"<body><div><div>{menu}</div><div><div>{notice}</div></div><div><div>{teaser}</div></div><div><h1>{own[0]}</h1>{body}</div><div>Page {i} of many</div></div></body>", "\n\n".join(own)
+
+
+def test_templates_find_the_article_on_plain_pages(spark, monkeypatch):
+    rows, want = [], {}
+    for i in range(PLAIN):
+        html, want[i] = plain(i, i % 4 == 0)
+        rows.append((i, "http://plain.org/", html))
+    assert {i: r.text for i, r in texts(spark, rows).items()} == want
+    alone = {i: html_text.content(html_text.parse(h), None) for i, _, h in rows}  # without the host's template
+    assert all(alone[i] != want[i] for i in range(0, PLAIN, 4))
+
+
+def test_constant_and_varying_copies(spark):
+    """Copies of one page are no template of their host, nor are pages of a host with two of them."""
+    twin = "<div><p>The same page, twice</p><p>Word for word</p></div>"
+    got = texts(spark, [(0, "http://two.org/", twin), (1, "http://two.org/", twin), *((10 + i, "http://five.org/", twin) for i in range(5))])
+    assert {r.text for r in got.values()} == {"The same page, twice\n\nWord for word"}
+
+
+def tree(label, *kids, texts=None, pages=1):
+    t = html_text.Tree()
+
+    def put(label, kids):
+        x = t.add(label, False, pages)
+        for k in kids:
+            t.kids[x].append(put(k[0], k[1:]))
+        return x
+
+    put(label, kids)
+    t.texts[0] = dict(texts or {})
+    return t
+
+
+def brute_match(a, x, b, y):
+    """Simple tree matching as it is defined."""
+    best = [[0] * (len(b.kids[y]) + 1) for _ in range(len(a.kids[x]) + 1)]
+    for i, p in enumerate(a.kids[x], 1):
+        for j, q in enumerate(b.kids[y], 1):
+            both = brute_match(a, p, b, q) if a.labels[p] == b.labels[q] else 0
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + both)
+    return 1 + best[-1][-1]
+
+
 def test_simple_tree_matching():
-    leaf = lambda x, *c: [x, 1, {}, list(c)]
-    a = [leaf("p"), leaf("div", leaf("p"), leaf("ul")), leaf("p")]
-    b = [leaf("div", leaf("ul")), leaf("p"), leaf("h1")]
-    assert html_text.match(a, b) == (3, [(1, 0), (2, 1)]) and html_text.match(a, []) == (0, [])
-    one, two = ["#root", 1, {}, a], ["#root", 2, {7: 2}, b]
-    m = html_text.merge(one, two)
-    assert [c[0] for c in m[3]] == ["p", "div", "p", "h1"] and m[1] == 3 and m[2] == {7: 2} and m[3][1][1] == 2
+    r = random.Random(8)
+
+    def grown(depth):
+        return (r.choice("pqs"), *(grown(depth - 1) for _ in range(r.randrange(4) if depth else 0)))
+
+    for _ in range(150):
+        a, b = tree("root", *grown(3)[1:]), tree("root", *grown(3)[1:])
+        pairs = html_text.align(a, b)
+        assert len(pairs) == len(set(pairs)) == brute_match(a, 0, b, 0)
+        up_a, up_b = ({k: x for x in range(len(t)) for k in t.kids[x]} for t in (a, b))
+        mate = dict(pairs)
+        for x, y in pairs:
+            assert a.labels[x] == b.labels[y] and (x == 0 or mate[up_a[x]] == up_b[y])
+    one = tree("root", ("p",), ("div", ("p",), ("ul",)), ("s",))
+    m = html_text.merge(one, tree("root", ("div", ("ul",)), ("p",), ("h1",), texts={7: 2}, pages=2))
+    assert [m.labels[k] for k in m.kids[0]] == ["p", "div", "p", "h1", "s"] and m.pages[0] == 3 and m.texts[0] == {7: 2}
+    assert m.pages[m.kids[0][1]] == 3
+
+
+def test_hard_pages(spark):
+    """Very deep, very wide and never-ending pages; none may take time that grows with the square of its length."""
+    deep = "<div>" * 5000 + "<p>core</p>" + "</div>" * 5000
+    wide = "<div>" + "".join(f"<h2>Head {k}</h2><p>Text {k}</p>" for k in range(5000)) + "</div>"
+    named = "<div>" + "".join(f'<div class="{"abcdefghij"[k % 10] * (k % 7 + 1)}">Part {k}</div>' for k in range(10_000)) + "</div>"
+    rows = [(10 * n + i, f"http://{n}.org/", h) for i in range(4) for n, h in enumerate([deep.replace("core", f"core {i}"), wide, named])]
+    rows += [(100, "http://q.org/", '<a "' * 8000 + ">tail"), (101, "http://q.org/", '<p>before</p><a href="x>in</a><p>after</p>'), (102, "http://q.org/", "<p>x</p>" + "<!-- " * 20_000), (103, "http://q.org/", "</b>" * 50_000 + "<p>end"), (104, "http://q.org/", "<p>&#" + "9" * 6000 + "; &#0000000000065;</p>"), (105, "http://q.org/", "<b>" * 30_000 + "deep<p>er")]
+    began = time.monotonic()
+    got = {i: r.text for i, r in texts(spark, rows).items()}
+    assert [got[10 * 0 + i] for i in range(4)] == [f"core {i}" for i in range(4)]
+    assert got[10].count("\n\n") == 9999 and got[20].count("\n\n") == 9999
+    assert got[101].startswith("before") and got[101].endswith("after") and got[102] == "x" and got[103] == "end" and got[104] == "\ufffd A" and got[105] == "deep\n\ner"
+    assert time.monotonic() - began < 120
+
+
+def test_extra_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "http://h.org/", "<p>x</p>", "mine")], "page_id long, url string, html string, _host string").selectExpr("*", "'a' AS h", "'b' AS _template", "'c' AS u", "1 AS _salt")
+    assert [r.text for r in html_text.extract(df).collect()] == ["x"]
 
 
 def test_character_references_and_broken_ends():
-    read = lambda h: (lambda r: html_text.content(r, html_text.blocks(r), None))(html_text.parse(h))
+    read = lambda h: html_text.content(html_text.parse(h), None)
     assert read("<p>a&nbsp;b &#233; &amp;amp; &unknown; A&B &lt") == "a b é &amp; &unknown; A&B <"
-    assert read("<p>one<p>two</div></p>three") == "one\n\ntwo\n\nthree" or read("<p>one<p>two</div></p>three").startswith("one\n\ntwo")
+    assert read("<p>one<p>two</div></p>three") == "one\n\ntwo\n\nthree"
     assert read("<ul><li>a<li>b<ul><li>c</ul></ul>") == "a\n\nb\n\nc"
     assert read("<p>x <i>y</p> z <!-- no --> <![CDATA[q]]><div hidden>h</div><div style='display: none'>n</div>w") == "x y\n\nz\n\nw"
     assert read("<table><tr><td>a<td>b<tr><td>c</table>") == "a\n\nb\n\nc"
@@ -146,6 +231,31 @@ def test_long_chains_and_empty_tables(spark):
     assert linked(spark, [("c", 1, "user", "x")]) == {}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_levels_are_longest_paths(spark, seed):
+    """Chains, diamonds, cycles and unknown calls, against a plain search."""
+    r = random.Random(seed)
+    deps = {"c0": []}
+    for i in range(1, 40):
+        deps[f"c{i}"] = r.choice([[], [f"c{i - 1}"], [f"c{i - 1}"], [f"c{i - 1}"], r.sample([f"c{k}" for k in range(i)], min(i, 3))])
+    deps |= {"x": ["y"], "y": ["z"], "z": ["x"], "w": ["x", "c3"], "v": ["w"], "u": ["nobody"], "t": ["u"], "s": ["s"], "r": ["c5", "nobody"]}
+
+    def depth(i, seen=()):
+        if i not in deps or i in seen:
+            return None
+        found = [depth(d, (*seen, i)) for d in deps[i]]
+        return None if None in found else 1 + max(found) if found else 0
+
+    got = linked(spark, [("c", 1, "assistant", {"tool_calls": [call(i, {"x": 1}, deps=d) for i, d in sorted(deps.items(), key=lambda x: r.random())]}), ("d", 1, "assistant", {"tool_calls": [call("c1", {"x": 1}, deps=["c0"])]})])
+    assert {i: got["c", i].level for i in deps} == {i: depth(i) for i in deps} and got["d", "c1"].level is None
+
+
+def test_very_long_arguments(spark):
+    long = "word " * 400_000
+    got = linked(spark, [("c", 1, "assistant", {"tool_calls": [call("a", {"x": long})]}), ("c", 2, "tool", {"tool_call_id": "a", "content": long})])
+    assert json.loads(got["c", "a"].json)["result"] == long and got["c", "a"].valid is False
+
+
 def test_main_path_is_native(spark):
     out = tool_calls.link(messages(spark, [("c", 1, "assistant", {"tool_calls": [call("a", {"x": 1})]})]), spark.createDataFrame([SCHEMAS[0]], "name string, field string, type string, required boolean"))
     plan = out._jdf.queryExecution().executedPlan().toString()
