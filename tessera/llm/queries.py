@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_text, line_dedup, mixing, ngram_join, pitman_yor, quality_rules, substring_dedup, token_counts, tool_calls
-from .spread import settle, shared_dir
+from .spread import discard, settle, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,11 +58,35 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op9_ngram_join"] = """
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), p -> array_to_string(w[p : p + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM texts),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT u, v FROM shared JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * common >= 80 * (x.n + y.n - common)),
+reached AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, l.v FROM reached r JOIN links l ON r.v = l.u)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN (SELECT u, min(v) AS component_id FROM reached GROUP BY u) r ON r.u = d.doc_id
+"""
+
+
 @_query
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.drop_repeats(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op7_substring_dedup"] = f"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, p, array_to_string(w[p : p + {substring_dedup.MIN_WORDS - 1}], ' ') AS words FROM (SELECT doc_id, w, unnest(range(1, len(w) - {substring_dedup.MIN_WORDS - 2})) AS p FROM texts)),
+later AS (SELECT doc_id, p FROM windows QUALIFY row_number() OVER (PARTITION BY words ORDER BY doc_id, p) > 1),
+gone AS (SELECT DISTINCT doc_id, p + unnest(range(0, {substring_dedup.MIN_WORDS})) AS i FROM later),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM texts),
+judged AS (SELECT t.doc_id, t.i, t.word, g.i IS NOT NULL AS gone FROM words t LEFT JOIN gone g ON g.doc_id = t.doc_id AND g.i = t.i)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(j.n_removed, 0) AS n_removed, sha256(coalesce(j.kept, '')) AS kept_sha256
+FROM texts d LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM judged GROUP BY doc_id) j ON j.doc_id = d.doc_id
+"""
+
+
 @_query
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(table(spark, sf_dir, "documents"))
@@ -78,26 +102,30 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-REPLY_SCHEMA = [("reply", "text", "string", True), ("reply", "turn", "integer", True)]
+TOOLS = [("ask", "text", "string", True), ("ask", "turn", "integer", True), ("ask", "lines", "integer", False), ("follow_up", "text", "string", True), ("follow_up", "turn", "integer", True), ("follow_up", "limit", "number", False)]
 
 
 @_query
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls are the user turns of conversations, results the assistant turns after them."""
-    schemas = spark.createDataFrame(REPLY_SCHEMA, "name string, field string, type string, required boolean")
+    """Calls of two tools are the user turns of conversations, each behind the two before it; results the assistant turns after them."""
+    schemas = spark.createDataFrame(TOOLS, "name string, field string, type string, required boolean")
     return tool_calls.link(tool_calls.as_calls(table(spark, sf_dir, "conversations")), schemas)
 
 
 ORACLES["op4_tool_calls"] = """
-WITH calls AS (SELECT CAST(conv_id AS varchar) AS conv_id, conv_id || ':' || turn AS call_id, turn, text FROM conversations WHERE role = 'user'),
-answers AS (SELECT CAST(conv_id AS varchar) AS conv_id, conv_id || ':' || (turn - 1) AS call_id, turn, text FROM conversations WHERE role = 'assistant'),
-first AS (SELECT conv_id, call_id, min(turn) AS call_turn, arg_min(coalesce(text, ''), to_json({text: coalesce(text, ''), turn: turn})::varchar) AS text, count(*) AS n_calls FROM calls GROUP BY ALL),
-answer AS (SELECT conv_id, call_id, min(turn) AS result_turn, arg_min(coalesce(text, ''), to_json(coalesce(text, ''))::varchar) AS reply, count(*) AS n_results FROM answers GROUP BY ALL)
-SELECT coalesce(f.conv_id, a.conv_id) AS conv_id, coalesce(f.call_id, a.call_id) AS call_id, CASE WHEN f.call_id IS NOT NULL THEN 'reply' END AS name, call_turn,
-  CASE WHEN f.call_id IS NOT NULL THEN 0 END::bigint AS slot, result_turn, CASE WHEN f.call_id IS NOT NULL THEN 0 END::bigint AS level, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
-  CASE WHEN n_calls IS NULL THEN 'orphan' WHEN n_results IS NULL THEN 'unanswered' ELSE 'linked' END AS status, CASE WHEN f.call_id IS NOT NULL THEN true END AS valid,
-  to_json({arguments: CASE WHEN f.call_id IS NOT NULL THEN {text: f.text, turn: f.call_turn} END, call_id: coalesce(f.call_id, a.call_id), name: CASE WHEN f.call_id IS NOT NULL THEN 'reply' END, result: a.reply})::varchar AS json
-FROM first f FULL OUTER JOIN answer a ON f.conv_id = a.conv_id AND f.call_id = a.call_id
+WITH RECURSIVE calls AS (SELECT CAST(conv_id AS varchar) AS conv_id, conv_id || ':' || turn AS call_id, turn, text, CASE WHEN contains(text, chr(10)) THEN length(text) - length(replace(text, chr(10), '')) + 1 END AS lines FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+written AS (SELECT *, '{' || concat_ws(',', CASE WHEN turn >= 6 THEN '"limit":"' || turn || '"' END, '"lines":' || lines, '"text":' || to_json(text)::varchar, '"turn":' || turn) || '}' AS arguments FROM calls),
+first AS (SELECT conv_id, call_id, min(turn) AS call_turn, min(arguments) AS arguments, arg_min(text IS NOT NULL AND (turn < 2 OR (lines IS NULL AND turn < 6)), arguments) AS valid, count(*) AS n_calls FROM written GROUP BY ALL),
+leveled AS (SELECT conv_id, call_turn, 0::bigint AS level FROM first WHERE call_turn < 2
+  UNION ALL SELECT f.conv_id, f.call_turn, l.level + 1 FROM first f JOIN leveled l ON f.conv_id = l.conv_id AND f.call_turn = l.call_turn + 2),
+answers AS (SELECT CAST(conv_id AS varchar) AS conv_id, conv_id || ':' || (turn - 1) AS call_id, turn, text FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+answer AS (SELECT conv_id, call_id, min(turn) AS result_turn, arg_min(to_json(coalesce(text, ''))::varchar, to_json(coalesce(text, ''))::varchar) AS reply, count(*) AS n_results FROM answers GROUP BY ALL),
+named AS (SELECT *, CASE WHEN call_turn < 2 THEN 'ask' ELSE 'follow_up' END AS name FROM first)
+SELECT coalesce(f.conv_id, a.conv_id) AS conv_id, coalesce(f.call_id, a.call_id) AS call_id, f.name, f.call_turn,
+  CASE WHEN f.call_id IS NOT NULL THEN 0 END::bigint AS slot, result_turn, l.level, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
+  CASE WHEN n_calls IS NULL THEN 'orphan' WHEN n_results IS NULL THEN 'unanswered' ELSE 'linked' END AS status, f.valid,
+  '{"arguments":' || coalesce(f.arguments, 'null') || ',"call_id":' || to_json(coalesce(f.call_id, a.call_id))::varchar || ',"name":' || coalesce('"' || f.name || '"', 'null') || ',"result":' || coalesce(a.reply, 'null') || '}' AS json
+FROM named f FULL OUTER JOIN answer a ON f.conv_id = a.conv_id AND f.call_id = a.call_id LEFT JOIN leveled l ON f.conv_id = l.conv_id AND f.call_turn = l.call_turn
 """
 
 
@@ -105,15 +133,15 @@ FROM first f FULL OUTER JOIN answer a ON f.conv_id = a.conv_id AND f.call_id = a
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents come in; those labelled toxic go; those of low quality are counted anew as their whole text with its white space made single spaces. The second batch is sent twice."""
     docs = table(spark, sf_dir, "documents")
-    whole = token_counts.count_tokens(docs)
-    tidy = token_counts.count_tokens(docs.withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " "))))
-    counts = settle(whole.withColumn("part", F.lit("whole")).union(tidy.withColumn("part", F.lit("tidy"))))
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_d"), "quality", "toxic")
-    of = lambda part, which: counts.where(F.col("part") == part).join(labels.where(which), F.col("doc_id") == F.col("_d"), "left_semi")
+    of = lambda rows, which: rows.join(labels.where(which), F.col("doc_id") == F.col("_d"), "left_semi")
+    poor = "quality = 0 AND toxic = 0"
+    whole = settle(token_counts.count_tokens(docs))
+    tidy = token_counts.count_tokens(of(docs, poor).withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " "))))
     rollup = token_counts.Rollup(spark, shared_dir(spark))
-    rollup.commit("load", token_counts.signed(counts.where("part = 'whole'"), 1))
+    rollup.commit("load", token_counts.signed(whole, 1))
     for _ in range(2):
-        rollup.commit("toxic", token_counts.signed(of("whole", "toxic = 1"), -1))
-    poor = "quality = 0 AND toxic = 0"
-    rollup.commit("poor", token_counts.revised(of("whole", poor), of("tidy", poor)))
+        rollup.commit("toxic", token_counts.signed(of(whole, "toxic = 1"), -1))
+    rollup.commit("poor", token_counts.revised(of(whole, poor), tidy))
+    discard(whole)
     return rollup.totals()
