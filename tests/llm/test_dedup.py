@@ -5,7 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from common import LOWER, WORD
+from common import LOWER, WORD, thue_morse
 
 from tessera.llm import line_dedup, ngram_join, substring_dedup
 from tessera.llm.components import components
@@ -75,6 +75,48 @@ def test_repeats_odd_rows(docs, odd, spark):
     assert [(r.n_removed, r.kept_text) for r in twins] == [(0, text), (0, text), (30, "")]
 
 
+def test_windows_with_one_hash_are_told_apart(docs, monkeypatch):
+    """Under the first salt all windows share a few hashes; under the next ones they don't."""
+    real, rows = substring_dedup.repeats, corpus(4, 30)
+    tried = []
+
+    def weak(*how):
+        tried.append(how[-1])
+        if how[-1] == 0:
+            mask = how[3] and __import__("numpy").uint64(3)
+            monkeypatch.setattr(substring_dedup.X, "windows", lambda w, k, f=substring_dedup.X.windows: (lambda at, h: (at, h & mask))(*f(w, k)))
+            try:
+                return substring_dedup.settle(real(*how))
+            finally:
+                monkeypatch.undo()
+        return real(*how)
+
+    monkeypatch.setattr(substring_dedup, "repeats", weak)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.drop_repeats(docs(rows, 1)).collect()}
+    assert got == windows_removed(rows)
+
+
+def test_confirmation_by_many_small_automata(monkeypatch):
+    r = random.Random(9)
+    texts = [b" ".join(b"%d" % r.randrange(3) for _ in range(r.randrange(4, 40))) for _ in range(12)]
+    asked = [b" ".join(b"%d" % r.randrange(3) for _ in range(r.randrange(4, 30))) for _ in range(12)] + texts[:3]
+    have = {tuple(t.split()[i : i + 4]) for t in texts for i in range(len(t.split()) - 3)}
+    want = [[tuple(a.split()[i : i + 4]) in have for i in range(len(a.split()) - 3)] for a in asked]
+    for words in (5, 60, 10_000):
+        monkeypatch.setattr(substring_dedup, "SHARD_WORDS", words)
+        assert [x.tolist() for x in substring_dedup.confirmed(asked, texts, 4)] == want
+    assert not any(x.any() for x in substring_dedup.confirmed(asked, [], 4))
+
+
+def test_words_of_one_structure_are_not_one(docs):
+    a, b = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    words = [f"w{i}" for i in range(19)]
+    rows = [(1, " ".join([a, *words])), (2, " ".join([b, *words])), (3, " ".join([b, *words]))]
+    assert [r.n_removed for r in substring_dedup.drop_repeats(docs(rows)).orderBy("doc_id").collect()] == [0, 0, 20]
+    sets = [(1, a), (2, b), (3, f"{a} x y z u"), (4, f"{b} x y z u")]
+    assert [r.component_id for r in ngram_join.groups(docs(sets)).orderBy("doc_id").collect()] == [1, 2, 3, 4]
+
+
 def test_reference_spans(docs, spark, monkeypatch):
     passage = " ".join(f"r{i}" for i in range(25))
     reference = spark.createDataFrame([(passage,), (None,), ("too short",)], "text string")
@@ -131,13 +173,22 @@ def test_join_matches_brute_force(docs, monkeypatch, how):
 
 
 def test_join_odd_rows(docs, odd):
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.groups(docs(odd)).collect())
-    assert got == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (5, 1, 5), (6, 1, 6), (6, 1, 6), (7, 1, 7), (8, 1, 8)]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngram_join.groups(docs(odd)).collect())
+    assert got == [(0, 1, 0), (1, 0, 1), (2, 0, 2), (3, 0, 3), (5, 1, 5), (6, 1, 6), (6, 1, 6), (7, 1, 7), (8, 1, 8)]
     assert ngram_join.groups(docs([(1, "x")]).limit(0)).count() == 0
     kept = ngram_join.keep_one(docs([(3, "a b c d e f g"), (1, "A b c d e f g"), (2, "other"), (None, "a b c d e f g")]))
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2] and "node" in kept.columns
 
 
+def test_a_long_list_of_documents_that_do_not_link(spark, monkeypatch):
+    """All share one key, and two of each four documents the other keys that a link takes."""
+    monkeypatch.setattr(ngram_join, "LIGHT", 1)
+    monkeypatch.setattr(ngram_join, "ROWS", 32)
+    rows = [(0, i, 20, i) for i in range(400)] + [(1 + 3 * (i // 4) + k, i, 20, i) for i in range(400) if i % 4 < 2 for k in range(3)]
+    pairs, _ = ngram_join.candidates(spark.createDataFrame(rows, "k long, node long, n long, comp long"), 0)
+    assert sorted(map(tuple, pairs.collect())) == [(i, i + 1) for i in range(0, 400, 4)]
+
+
 def test_boundary_by_cost():
     assert ngram_join.boundary({2: 100}, 0.0) >= 2
     assert ngram_join.boundary({3: 1000, 12: 1000}, 0.5) >= 3
@@ -182,9 +233,10 @@ def boilerplate_removed(rows, ratio, least):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("piece", [1_000_000, 2])
-def test_lines_match_brute_force(docs, odd, monkeypatch, piece):
+@pytest.mark.parametrize(("piece", "pages"), [(1_000_000, 1), (2, 20_000), (2, 4)])
+def test_lines_match_brute_force(docs, odd, monkeypatch, piece, pages):
     monkeypatch.setattr(line_dedup, "PIECE", piece)
+    monkeypatch.setattr(line_dedup, "GROUP_PAGES", pages)
     r = random.Random(2)
     common = [f"menu {i}" for i in range(6)]
     rows = [(100 + i, "\n".join([*r.sample(common, 3), f"body {i}", "", "same  line "] + (["menu 0"] if i % 3 else [])), r.choice(["s", "t", None])) for i in range(40)] + odd

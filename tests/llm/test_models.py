@@ -125,6 +125,46 @@ def test_mix_meets_its_targets(docs, odd, shard):
     assert {s: (taken[s], want[s], totals[s]) for s in names if abs(taken[s] - want[s]) > 8 * (2 + totals[s] // shard)} == {}
 
 
+def brute_mix(rows):
+    """Every token on its source's line, block by block, for sources of one shard."""
+    names = sorted({s for _, _, s in rows}, key=str.encode)
+    size = {i: len(WORD.findall(t or "")) for i, t, _ in rows}
+    totals = [sum(size[i] for i, _, s in rows if s == name) for name in names]
+    want = mixing.targets(totals, [mixing.WEIGHTS[k % 3] for k in range(len(names))], mixing.SHARE * sum(totals))
+    rest = [t if t < 2 * n else 0.0 for t, n in zip(want, totals)]
+    seats = [0] * len(names)
+    for _ in range(round(sum(rest) / mixing.BLOCK)):
+        at = max(range(len(names)), key=lambda k: (rest[k] / (2 * seats[k] + 1), -k))
+        seats[at] += 1
+    taken = dict.fromkeys(size, 0)
+    for at, name in enumerate(names):
+        key = at * 1_000_003 * 8191 + mixing.SEED
+        scrambled = lambda x: int(mixing.scramble(np.array([x], np.uint64))[0])
+        ids = sorted((i for i, _, s in rows if s == name and size[i]), key=lambda i: scrambled(i ^ key))
+        line = [i for i in ids for _ in range(size[i])]
+        n = -(-len(line) // mixing.BLOCK)
+        quota = 2 * n if want[at] >= 2 * totals[at] else min(2 * n, math.floor(seats[at] * mixing.BLOCK * n / len(line) + 0.5)) if line else 0
+        order = sorted(range(n), key=lambda b: scrambled(b ^ scrambled(key)))
+        times = [quota // n + (order.index(b) < quota % n) for b in range(n)]
+        for b in range(n):
+            for i in line[b * len(line) // n : (b + 1) * len(line) // n]:
+                taken[i] += times[b]
+    return taken
+
+
+def test_mix_matches_brute_force(docs):
+    r = random.Random(16)
+    rows = [(i, t, r.choice(["src0"] * 4 + ["Z", "a", "é"])) for i, t in prose(18, 200)] + [(900, None, "a"), (901, "", "Z")]
+    assert {x.doc_id: x.taken for x in mixing.apportion(docs(rows, 4)).collect()} == brute_mix(rows)
+
+
+def test_rows_without_words_or_ids_are_not_one_shard(docs):
+    rows = [(None, f"w{i} " * 30, "s") for i in range(40)] + [(i, None, "s") for i in range(40)] + [(7, "long " * 60_000, "t")]
+    got = mixing.apportion(docs(rows), shard_tokens=300, block=8).collect()
+    assert len(got) == 81 and sum(x.taken for x in got if x.size == 30) == pytest.approx(got[0].target if got[0].size == 30 else 1e9, rel=1) and all(x.taken == 0 for x in got if x.size == 0)
+    assert {x.taken <= 2 * x.size for x in got} == {True}
+
+
 def test_mix_keeps_rows_and_columns(docs):
     rows = [(1, "a b c"), (1, "a b c"), (None, "d e"), (2, None)]
     out = mixing.mix(docs(rows), block=1)
@@ -274,6 +314,19 @@ def test_leaks_beyond_the_hamming_radius(docs, spark):
     assert {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs(rows), table).collect()} == {(i, i) for i in items}
 
 
+def test_one_long_text_in_segments(docs, spark, monkeypatch):
+    r = random.Random(12)
+    item = [f"b{i}" for i in range(40)]
+    words = [f"w{r.randrange(900)}" for _ in range(30_000)]
+    for at in (0, 990, 15_000, 29_960):
+        words[at : at + 40] = item
+    rows, table = [(1, " ".join(words)), (2, " ".join(words[100:900]))], spark.createDataFrame([(1, " ".join(item)), (2, "w1 w2 w3 zz")], "item_id long, text string")
+    want = sorted(map(tuple, decontaminate.leaks(docs(rows), table).collect()))
+    assert [(x[0], x[1], x[2], x[3], x[4]) for x in want] == [(1, 1, 1.0, 0, 40)]
+    monkeypatch.setattr(decontaminate, "SEGMENT", 64)
+    assert sorted(map(tuple, decontaminate.leaks(docs(rows), table).collect())) == want
+
+
 def test_leak_passes_and_odd_rows(docs, odd, spark, monkeypatch):
     table = spark.createDataFrame([(1, "one two three four five six"), (2, "some words here"), (2, "some words here")], "item_id long, text string")
     monkeypatch.setattr(decontaminate, "PASS_WORDS", 4)
@@ -316,7 +369,7 @@ def test_rollup_follows_deltas_and_replays(docs, odd, spark, tmp_path):
     assert rollup.commit("load", token_counts.signed(counts, 1)) and not rollup.commit("load", token_counts.signed(counts, 1))
     gone, changed = counts.where("doc_id = 0"), counts.where("doc_id = 1")
     rollup.commit("out", token_counts.signed(gone, -1))
-    (tmp_path / "r" / "batch=broken").mkdir()  # a write that broke off has no marker
+    (tmp_path / "r" / "rows" / "broken-1").mkdir()  # a write that broke off has no marker
     rollup.commit("edit", token_counts.revised(changed, changed.withColumn("n_tokens", F.lit(7).cast("long"))))
     got = {(r.source, r.version): (r.docs, r.tokens) for r in token_counts.Rollup(spark, f"file://{tmp_path}/r").totals().collect()}
     for name, n in (("words", words), ("byte_bpe_50k", bpe)):
@@ -330,6 +383,37 @@ def test_rollup_follows_deltas_and_replays(docs, odd, spark, tmp_path):
         rollup.commit("../x", token_counts.signed(counts, 1))
 
 
+def test_long_runs_of_white_space(docs, monkeypatch):
+    import public_tokenizers
+    import tiktoken
+    import base64
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
+    monkeypatch.setattr(token_counts, "_BLANKS", __import__("re").compile(token_counts._BLANKS.pattern.replace(f"{{{token_counts.LONG},}}", "{3,}")))
+    r = random.Random(5)
+    for _ in range(400):
+        text = "".join(r.choice([" ", " ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "a", "Zé", "7", "!", "'s"]) for _ in range(r.randrange(40)))
+        assert token_counts.n_tokens(coder, text) == len(coder.encode_ordinary(text)), repr(text)
+    monkeypatch.undo()
+    rows = [(1, " " * 1_000_000), (2, "a" + "\n" * 300_000 + "b"), (3, "x" * 300_000), (4, None)]
+    got = {x.doc_id: x.n_tokens for x in token_counts.count_tokens(docs(rows).selectExpr("*", "'en' AS lang")).where("version <> 'words'").collect()}
+    assert got[1] == len(coder._encode_single_piece(" " * 1_000_000)) and got[2] == 2 + len(coder._encode_single_piece("\n" * 299_999)) + 1 and got[4] == 0
+
+
+def test_commits_of_one_batch(spark, tmp_path):
+    rows = lambda n: spark.createDataFrame([("s", "en", "words", 1, n), (None, None, "words", 1, 2)], token_counts.SCHEMA)
+    a, b = (token_counts.Rollup(spark, f"file://{tmp_path}/r") for _ in range(2))
+    # two writers that both have seen no marker: one of them commits
+    first, looked = b._marker, []
+    b._marker = lambda batch: first(batch) if looked else looked.append(batch)
+    assert a.commit("one", rows(5)) and not b.commit("one", rows(5))
+    with pytest.raises(token_counts.BatchConflict):
+        a.commit("one", rows(6))
+    assert sorted((x.source or "", x.docs, x.tokens) for x in a.totals().collect()) == [("", 1, 2), ("s", 1, 5)]
+    assert len(list((tmp_path / "r" / "rows").iterdir())) == 1
+
+
 def test_registered_totals_count_whole_texts(spark, tmp_path):
     from tessera.llm import queries
 
