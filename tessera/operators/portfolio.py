@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from decimal import ROUND_FLOOR, Decimal
 from enum import StrEnum
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -101,91 +103,126 @@ def _floor(x: Decimal, lot: int) -> int:
     return int((x / lot).to_integral_value(rounding=ROUND_FLOOR)) * lot
 
 
+class _Day:
+    """One day's bars, and whether any of them comes after some moment."""
+
+    def __init__(self, date, rows: list[dict]) -> None:
+        self.date, self.bars = date, {}
+        for b in rows:
+            if self.bars.setdefault(b["symbol"], b) is not b:
+                raise CodedError("DUPLICATE_DAILY_BAR", f"{b['symbol']} {date}")
+        by_start = sorted(((b["bar_start_time"], b["bar_end_time"]) for b in rows), reverse=True)
+        self._starts = [start for start, _ in reversed(by_start)]
+        self._ends = list(accumulate((end for _, end in by_start), max))[::-1]  # the last end of the bars from here on
+        self.end = self._ends[0]
+
+    def follows(self, as_of, available) -> bool:
+        i = bisect_left(self._starts, available)
+        return i < len(self._starts) and self._ends[i] > as_of
+
+
+class _Goal:
+    """The weights of one as_of, and when the last of them was there."""
+
+    def __init__(self, as_of, rows: list[dict]) -> None:
+        self.as_of = as_of
+        self.weights = {t["symbol"]: (Decimal(str(t["weight"])), t["available_at"]) for t in rows}
+        self.available = max(at for _, at in self.weights.values())
+
+    def quantity(self, bar: dict, nav: Decimal, lot: int) -> int | None:
+        """What to hold of a bar's symbol by its open, or None if the bar comes too early for it."""
+        weight, at = self.weights.get(bar["symbol"], (None, self.available))
+        if bar["bar_end_time"] <= self.as_of or bar["bar_start_time"] < at:
+            return None
+        if bar["open"] <= 0:
+            raise CodedError("INVALID_EXECUTION_PRICE", f"{bar['symbol']} {bar['trading_date']}")
+        return 0 if weight is None else _floor(nav * weight / bar["open"], lot)
+
+
+class _Account:
+    """Cash, quantities and last closes of one run, and the events that they make."""
+
+    def __init__(self, config: BacktestConfig) -> None:
+        self.config, self.cash = config, config.cash
+        self.held: dict[str, int] = {}
+        self.closes: dict[str, Decimal] = {}
+        self.events: list[dict] = []
+        self.fills = 0
+
+    def _event(self, kind: str, day: _Day, at, **values) -> None:
+        self.events.append(dict.fromkeys(("symbol", "side", "quantity", "price", "amount", "cost", "cash", "seq")) | {"kind": kind, "trading_date": day.date, "at": at} | values)
+
+    def worth(self, day: _Day) -> Decimal:
+        """Value at the opens, by the last close where a symbol has no bar."""
+        opens = {s: day.bars[s]["open"] if s in day.bars else self.closes.get(s) for s in self.held}
+        if lack := [s for s, price in opens.items() if price is None]:
+            raise CodedError("MISSING_MARK_PRICE", lack[0])
+        return self.cash + sum(q * opens[s] for s, q in self.held.items())
+
+    def trade(self, day: _Day, symbol: str, change: int) -> None:
+        """As much of a change as the rules and, for a purchase, the cash allow."""
+        bar, side = day.bars[symbol], "BUY" if change > 0 else "SELL"
+        if not self.config.eligible(bar, side):
+            return
+        if change > 0:
+            change = min(change, max(0, _floor(self.cash / (bar["open"] * (1 + self.config.costs.buy_rate)), self.config.lot)))
+        if not change:
+            return
+        amount = bar["open"] * abs(change)
+        cost = self.config.costs.of(side, amount)
+        self.cash -= bar["open"] * change + cost
+        self.held[symbol] = self.held.get(symbol, 0) + change
+        if not self.held[symbol]:
+            del self.held[symbol]
+        self.fills += 1
+        self._event("FILL", day, bar["bar_start_time"], symbol=symbol, side=side, quantity=abs(change), price=bar["open"], amount=amount, cost=cost, cash=self.cash, seq=self.fills)
+
+    def move(self, day: _Day, goal: _Goal, symbols: set[str]) -> set[str]:
+        """Trades towards a goal, sales first and each side by symbol; returns the symbols that are not there yet."""
+        nav = self.worth(day)
+        wanted = {s: goal.quantity(day.bars[s], nav, self.config.lot) for s in sorted(symbols & day.bars.keys())}
+        gap = {s: want - self.held.get(s, 0) for s, want in wanted.items() if want is not None}
+        for s in sorted(gap, key=lambda s: gap[s] > 0):
+            if gap[s]:
+                self.trade(day, s, gap[s])
+        return {s for s in symbols if s not in gap or self.held.get(s, 0) != wanted[s]}
+
+    def close(self, day: _Day) -> None:
+        self.closes |= {s: b["close"] for s, b in day.bars.items()}
+        total = self.cash
+        for s, q in sorted(self.held.items()):
+            total += q * self.closes[s]
+            self._event("POSITION", day, day.end, symbol=s, quantity=q, price=self.closes[s], amount=q * self.closes[s])
+        self._event("NAV", day, day.end, amount=total, cash=self.cash)
+
+
+def _grouped(rows: list[dict], key: str) -> list[tuple]:
+    out: dict = {}
+    for r in rows:
+        out.setdefault(r[key], []).append(r)
+    return sorted(out.items(), key=lambda x: x[0])
+
+
 def simulate(bars: list[dict], targets: list[dict], config: BacktestConfig) -> list[dict]:
-    """FILL, POSITION and NAV events of one run, day by day.
+    """FILL, POSITION and NAV events of one run.
 
-    A target group is ready on the first day with a bar that ends after its as_of and starts at or after its latest available_at;
-    the latest ready one replaces what came before. Symbols held or targeted stay pending until their quantity is
-    reached. Sells come before buys, at the day's open, in whole lots; buys are cut to the cash.
+    Goals stand in the order of their as_of, and a day moves on to the last one that it follows: one of its bars ends after the
+    as_of and starts when all weights were there. Then what is held and what is wanted is open until its quantity is reached.
     """
-    days: dict = {}
-    for b in bars:
-        day = days.setdefault(b["trading_date"], {})
-        if b["symbol"] in day:
-            raise CodedError("DUPLICATE_DAILY_BAR", f"{b['symbol']} {b['trading_date']}")
-        day[b["symbol"]] = b
+    days = [_Day(date, rows) for date, rows in _grouped(bars, "trading_date")]
     if not days:
         raise CodedError("NO_MATCHING_BARS")
-    waiting: dict = {}
-    for t in targets:
-        waiting.setdefault(t["as_of"], {})[t["symbol"]] = t
-    cash, held, marks = config.cash, {}, {}
-    active: dict | None = None
-    pending: set[str] = set()
-    out: list[dict] = []
-    seq = 0
-    for date in sorted(days):
-        day = days[date]
-        ready = [a for a, g in waiting.items() if any(b["bar_end_time"] > a and b["bar_start_time"] >= max(t["available_at"] for t in g.values()) for b in day.values())]
-        if ready:
-            latest = max(ready)
-            active = waiting[latest]
-            waiting = {a: g for a, g in waiting.items() if a > latest}
-            pending = set(held) | set(active)
-        if active is not None and pending:
-            group_at, as_of = max(t["available_at"] for t in active.values()), next(iter(active.values()))["as_of"]
-            nav = cash
-            for s, q in held.items():
-                price = day[s]["open"] if s in day else marks.get(s)
-                if price is None:
-                    raise CodedError("MISSING_MARK_PRICE", s)
-                nav += q * price
-            desired: dict[str, int] = {}
-            for s in sorted(pending):
-                if s not in day:
-                    continue
-                bar, target = day[s], active.get(s)
-                after = group_at if target is None else target["available_at"]
-                if not (bar["bar_end_time"] > as_of and bar["bar_start_time"] >= after):
-                    continue
-                if bar["open"] <= 0:
-                    raise CodedError("INVALID_EXECUTION_PRICE", f"{s} {date}")
-                desired[s] = 0 if target is None else _floor(nav * Decimal(str(target["weight"])) / bar["open"], config.lot)
-
-            def fill(s: str, side: str, q: int, date=date, day=day) -> None:
-                nonlocal cash, seq
-                price = day[s]["open"]
-                amount = price * q
-                cost = config.costs.of(side, amount)
-                cash += amount - cost if side == "SELL" else -(amount + cost)
-                held[s] = held.get(s, 0) + (q if side == "BUY" else -q)
-                if not held[s]:
-                    del held[s]
-                seq += 1
-                out.append({"kind": "FILL", "trading_date": date, "at": day[s]["bar_start_time"], "symbol": s, "side": side, "quantity": q, "price": price, "amount": amount, "cost": cost, "cash": cash, "seq": seq})
-
-            for s in [s for s in desired if held.get(s, 0) > desired[s]]:
-                if config.eligible(day[s], "SELL"):
-                    fill(s, "SELL", held[s] - desired[s])
-                    pending.discard(s)
-            for s in list(desired):
-                have = held.get(s, 0)
-                if have == desired[s]:
-                    pending.discard(s)
-                elif have < desired[s] and config.eligible(day[s], "BUY"):
-                    price = day[s]["open"] * (1 + config.costs.buy_rate)
-                    q = min(desired[s] - have, max(0, _floor(cash / price, config.lot)))
-                    if q > 0:
-                        fill(s, "BUY", q)
-                    if held.get(s, 0) >= desired[s]:
-                        pending.discard(s)
-        for s, b in day.items():
-            marks[s] = b["close"]
-        at = max(b["bar_end_time"] for b in day.values())
-        for s in sorted(held):
-            out.append({"kind": "POSITION", "trading_date": date, "at": at, "symbol": s, "side": None, "quantity": held[s], "price": marks[s], "amount": held[s] * marks[s], "cost": None, "cash": None, "seq": None})
-        out.append({"kind": "NAV", "trading_date": date, "at": at, "symbol": None, "side": None, "quantity": None, "price": None, "amount": cash + sum(q * marks[s] for s, q in held.items()), "cost": None, "cash": cash, "seq": None})
-    return out
+    goals = [_Goal(as_of, rows) for as_of, rows in _grouped(targets, "as_of")]
+    account, at, waiting = _Account(config), -1, set()
+    for day in days:
+        due = bisect_left(goals, day.end, key=lambda g: g.as_of)
+        newest = next((i for i in range(due - 1, at, -1) if day.follows(goals[i].as_of, goals[i].available)), at)
+        if newest > at:
+            at, waiting = newest, account.held.keys() | goals[newest].weights.keys()
+        if waiting:
+            waiting = account.move(day, goals[at], waiting)
+        account.close(day)
+    return account.events
 
 
 def backtest(bars: DataFrame, targets: DataFrame, config: BacktestConfig) -> DataFrame:
