@@ -172,10 +172,12 @@ def drop_lines(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = M
     keys = found.join(sites, "site").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     keys = keys.select(F.xxhash64("site", "part").alias("_tessera_k"), "k1", "k2")
 
+    columns = docs.columns
+
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        lines = _sorted(right.column("k1"), right.column("k2"))
-        batches = left.select(docs.columns).combine_chunks().to_batches()
-        return pa.Table.from_batches([x for b in batches for x in cleaned(b, lines)], schema=pa.schema([(c, f.type) for c, f in zip(docs.columns, left.select(docs.columns).schema, strict=True)] + [(c, pa.int64()) for c in counts or ()]))
+        lines, own = _sorted(right.column("k1"), right.column("k2")), left.select(columns).combine_chunks()
+        kinds = pa.schema([*own.schema, *(pa.field(c, pa.int64()) for c in counts or ())])
+        return pa.Table.from_batches([x for b in own.to_batches() for x in cleaned(b, lines)], schema=kinds)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, dtype=[("a", np.uint64), ("b", np.uint64)])
