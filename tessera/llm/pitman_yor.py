@@ -18,7 +18,8 @@ are drawn; these alone are exchanged at each sweep. The model is thus spread ove
 vectors of FREQUENT + 1 numbers are broadcast. SAMPLES sweeps after BURN are averaged as probabilities.
 
 A text is scored where its words' counts are: its tokens travel once, packed by word, meet the totals of
-their contexts there, and sums of logarithms come back.
+their contexts there, and sums of logarithms come back. Tokens of the most frequent pairs stay where they are: there are HOT such pairs
+for each bucket at most, whose probabilities the driver works out and broadcasts, so no pair's tokens gather in one task.
 
 Defined results: null or empty text is its end alone; rows that share a doc_id are one
 document, whose tokens are theirs together; rows with a null doc_id train, and are one document; an
@@ -42,10 +43,12 @@ from .spread import at_most, buckets, by_bucket, pack, settle, small, unpack
 
 FREQUENT = 32_000
 CONTEXTS = FREQUENT + 1
-STIRLING = 40
+STIRLING = 400
 BURN, SAMPLES = 1, 3
+#: A pair of frequent words with more than one in HOT of a bucket's even share of all tokens is scored where it is read.
+HOT = 8
 STRENGTH = 4.0
-GATHER = 1_500_000
+GATHER = 1_000_000
 END = np.uint64(0x6A09E667F3BCC909)
 LAST = 2**63 - 1
 FOLDS, HELD = 7, 2
@@ -121,9 +124,9 @@ def stirling(d: float) -> np.ndarray:
     s = np.full((STIRLING + 1, STIRLING + 1), -np.inf)
     s[0, 0] = 0.0
     for c in range(1, STIRLING + 1):
-        for t in range(1, c + 1):
-            stay = s[c - 1, t] + math.log(c - 1 - d * t) if t < c and c - 1 - d * t > 0 else -np.inf
-            s[c, t] = np.logaddexp(s[c - 1, t - 1], stay)
+        t = np.arange(1, c + 1)
+        stay = np.where(t < c, s[c - 1, 1 : c + 1] + np.log(np.maximum(c - 1 - d * t, 1e-300)), -np.inf)
+        s[c, 1 : c + 1] = np.logaddexp(s[c - 1, :c], stay)
     return s
 
 
@@ -133,15 +136,16 @@ def seat(c: np.ndarray, tables: np.ndarray, prob: np.ndarray, key: np.ndarray, s
     u = X.uniform(key, seed)
     many = np.flatnonzero((c > 1) & (c <= STIRLING))
     many = many[np.argsort(c[many], kind="stable")]
-    edge = np.searchsorted(c[many], np.arange(2, STIRLING + 2))
-    for k in range(2, STIRLING + 1):
-        at = many[edge[k - 2] : edge[k - 1]]
-        for lo in range(0, len(at), 50_000):
-            i = at[lo : lo + 50_000]
-            rise = np.log(strength + d * (tables[i][:, None] + np.arange(k))).cumsum(axis=1)
-            w = table[k, 1 : k + 1] + rise + np.log(prob[i])[:, None] * np.arange(1, k + 1)
-            w = np.exp(w - w.max(axis=1, keepdims=True)).cumsum(axis=1)
-            t[i] = 1 + (w < u[i][:, None] * w[:, -1:]).sum(axis=1)
+    lo = 0
+    while lo < len(many):  # groups of about one size together, in slabs of bounded size
+        k = int(c[many[lo]])
+        hi = min(int(np.searchsorted(c[many], k + k // 8, side="right")), lo + max(1, 250_000 // k))
+        i = many[lo:hi]
+        k, lo = int(c[i[-1]]), hi
+        rise = np.log(strength + d * (tables[i][:, None] + np.arange(k))).cumsum(axis=1)
+        w = table[c[i], 1 : k + 1] + rise + np.log(prob[i])[:, None] * np.arange(1, k + 1)  # -inf beyond a group's size
+        w = np.exp(w - w.max(axis=1, keepdims=True)).cumsum(axis=1)
+        t[i] = 1 + (w < u[i][:, None] * w[:, -1:]).sum(axis=1)
     i = np.flatnonzero(c > STIRLING)
     if len(i):
         # one customer after the other, in steps that grow with those seated: new tables are Poisson in a step
@@ -494,6 +498,30 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
         top, others = float(found[-1] + frequent_tables), float(found[-5])
     chain = sc.broadcast(models)
 
+    least_hot = max(total / (HOT * n_buckets), 2)
+
+    def most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs of frequent words that are hot, with their customers."""
+        for b in batches:
+            for x in b.column(1):
+                (w, own, ptr, ctx, n), _ = opened(x)
+                at = np.repeat(np.arange(len(w)), np.diff(ptr))
+                hot = (own[at] >= 0) & (ctx < CONTEXTS) & (n >= least_hot) if len(w) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([pa.array(w[at[hot]].view(np.int64)), pa.array(ctx[hot].astype(np.int64)), pa.array(n[hot].astype(np.int64))], ["w", "ctx", "n"])
+
+    hot = state.mapInArrow(most, "w long, ctx long, n long").toArrow()
+    hot_w, hot_ctx, hot_n = (hot[c].to_numpy() for c in ("w", "ctx", "n"))
+    hot_w = hot_w.view(np.uint64)
+    hot_key = X.mix(hot_w + (hot_ctx.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(hot_key)
+    hot_w, hot_ctx, hot_n, hot_key = hot_w[order], hot_ctx[order], hot_n[order], hot_key[order]
+    hot_own, alone, mean = _index(hot_w, frequent), np.arange(len(hot_w) + 1), np.zeros(len(hot_w))
+    for m in models:
+        t, prob = m.sweep(hot_w, hot_own, alone, hot_ctx, hot_n)
+        mean += (np.maximum(hot_n - m.d * t, 0) + (STRENGTH + m.d * m.tables[hot_ctx]) * prob) / (STRENGTH + m.customers[hot_ctx])
+    hot_base = np.log10(frequent_n[np.maximum(hot_own, 0)] + 1.0) if len(hot_w) else mean
+    hottest = sc.broadcast((hot_key, hot_w, hot_ctx, hot_base, np.log10(mean / max(len(models), 1)) if len(hot_w) else mean))
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Packed tokens for each bucket, and for each lot of documents that was read together its ids, once."""
         own, part = shared.value[0], TaskContext.get().partitionId()
@@ -501,10 +529,18 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
             ctx = contexts(before, own)
             ids, one, doc = np.unique(doc, return_index=True, return_inverse=True)
             train = train[one]
+            key, hot_w, hot_ctx, hot_base, hot_score = hottest.value
+            sums = [np.zeros(len(ids))] * 3
+            if len(key):
+                i = np.minimum(np.searchsorted(key, X.mix(tok + (ctx + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))), len(key) - 1)
+                here = (hot_w[i] == tok) & (hot_ctx[i].astype(np.uint64) == ctx)
+                at, i = doc[here], i[here]
+                sums = [np.bincount(at, weights=x, minlength=len(ids)) for x in (None, hot_base[i], hot_score[i])]
+                tok, ctx, doc = tok[~here], ctx[~here], doc[~here]
             order = np.argsort(tok, kind="stable")
             tok, ctx, doc = tok[order], ctx[order], doc[order]
             order, ptr = by_bucket(_bucket(tok, ctx, own, n_buckets), n_buckets)
-            out = [(lot % n_buckets, 1, pack(ids, ~train))]
+            out = [(lot % n_buckets, 1, pack(ids, ~train, small(sums[0].astype(np.int64)), *sums[1:]))]
             for i in np.flatnonzero(np.diff(ptr)):
                 k = order[ptr[i] : ptr[i + 1]]
                 at = np.flatnonzero(np.append(True, tok[k][1:] != tok[k][:-1]))
@@ -561,8 +597,8 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
 
     def total_up(group: pa.Table) -> pa.Table:
         """A lot's documents, and their sums over all buckets."""
-        ids, held_out = unpack(group.filter(pc.equal(group.column("kind"), 1)).column("packed")[0].as_buffer())
-        sums = np.zeros((4, len(ids)))
+        ids, held_out, n_hot, base, score_ = unpack(group.filter(pc.equal(group.column("kind"), 1)).column("packed")[0].as_buffer())
+        sums = np.stack([n_hot, n_hot, base, score_]).astype(float)
         for x in group.filter(pc.equal(group.column("kind"), 0)).column("packed"):
             who, *cols = unpack(x.as_buffer())
             for total_, c in zip(sums, cols, strict=True):

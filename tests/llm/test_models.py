@@ -194,6 +194,17 @@ def test_base_scores_match_brute_force(docs, monkeypatch, lot):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4] and r.base_score == pytest.approx(w[4])
 
 
+def test_hot_pairs_score_alike_wherever_they_are_read(docs, monkeypatch):
+    rows = prose(19, 60) + [(1000 + i, "of the " * 40) for i in range(20)]
+    found = []
+    for hot in (1e-9, pitman_yor.HOT, 1e9):
+        monkeypatch.setattr(pitman_yor, "HOT", hot)
+        found.append({r.doc_id: r for r in pitman_yor.score(docs(rows)).collect()})
+    for i, r in found[0].items():
+        for other in found[1:]:
+            assert r[:5] == other[i][:5] and r.base_score == pytest.approx(other[i].base_score) and r.score == pytest.approx(other[i].score, rel=1e-5)
+
+
 def test_context_helps_where_words_follow_each_other(docs):
     r = random.Random(21)
     after = {k: r.sample(range(200), 4) for k in range(200)}

@@ -75,3 +75,20 @@ def test_mix(stages):
     names = sorted(sizes)
     want = mixing.targets([sizes[s] for s in names], [mixing.WEIGHTS[k % 3] for k in range(len(names))], mixing.SHARE * sum(sizes.values()))
     assert all(abs(taken[s] - t) <= 2 * mixing.BLOCK for s, t in zip(names, want))
+
+
+def test_odd_and_empty_tables(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows and clashing names pass every stage."""
+    good = " ".join(f"word{i % 97} of{i % 53}" for i in range(120))
+    rows = [(1, good, "en", "s", 1), (None, good, None, None, None), (2, None, "en", "s", 0), (3, "", "en", None, 0), (4, good + " and more", "en", "s", 2), (4, good + " and more", "en", "s", 2), (5, " ".join(f"long{i}" for i in range(60_000)), "en", "t", 3)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, some in (("odd", rows), ("none", rows[:0])):
+        sf = f"{tmp_path}/{name}"
+        docs = spark.createDataFrame(some, kind).selectExpr("*", "'mine' AS _row", "'mine' AS _id", "'mine' AS _g", "'mine' AS k1", "'mine' AS site")
+        docs.write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame([(1, None), (2, "long7 long8 long9 long10 long11 long12"), (None, "")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, sf)
+        assert out.columns == [*docs.columns, "taken"]
+        got = sorted(((r.doc_id or 0), r.site, r.n_chars == len(r.text)) for r in out.collect())
+        assert got == ([] if name == "none" else [(0, "mine", True), (1, "mine", True)])
