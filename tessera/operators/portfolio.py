@@ -109,8 +109,9 @@ class _Day:
     def __init__(self, date, rows: list[dict]) -> None:
         self.date, self.bars = date, {}
         for b in rows:
-            if self.bars.setdefault(b["symbol"], b) is not b:
+            if b["symbol"] in self.bars:
                 raise CodedError("DUPLICATE_DAILY_BAR", f"{b['symbol']} {date}")
+            self.bars[b["symbol"]] = b
         by_start = sorted(((b["bar_start_time"], b["bar_end_time"]) for b in rows), reverse=True)
         self._starts = [start for start, _ in reversed(by_start)]
         self._ends = list(accumulate((end for _, end in by_start), max))[::-1]  # the last end of the bars from here on
