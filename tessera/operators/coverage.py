@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from datetime import date
 from enum import StrEnum
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..types import CodedError, Frequency, Severity
@@ -121,7 +121,22 @@ def consumable(request: Request, analysis: Analysis) -> bool:
     return run is not None and run.coverage_ratio >= request.min_ratio and run.missing == 0 and run.unexpected == 0
 
 
-def missing_dates(have: DataFrame, column: str, start: date, end: date) -> DataFrame:
-    """Dates of the range that have lacks."""
-    every = have.sparkSession.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end))).alias("trading_date"))
-    return every.join(have.select(F.col(column).alias("trading_date")), "trading_date", "left_anti")
+def dates(spark: SparkSession, start: date, end: date) -> DataFrame:
+    """trading_date: all dates of the range."""
+    return spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end))).alias("trading_date"))
+
+
+def check_definitions(market: dict, calendar: dict, universe: dict, status: dict) -> None:
+    """What the inputs' definitions say of calendar, zone and asset class must agree where they say it."""
+
+    def differ(*values) -> bool:
+        return len({v for v in values if v is not None}) > 1
+
+    if differ(*(d.get("calendar_id") for d in (market, calendar, universe, status))):
+        raise CodedError("COVERAGE_CALENDAR_MISMATCH")
+    if status.get("calendar_version") is not None and status["calendar_version"] != calendar.get("calendar_version", calendar["version"]):
+        raise CodedError("COVERAGE_CALENDAR_VERSION_MISMATCH")
+    if differ(*(d.get("zone") for d in (market, calendar, status))):
+        raise CodedError("COVERAGE_TIMEZONE_MISMATCH")
+    if differ(*(d.get("asset_class") for d in (market, universe, status))):
+        raise CodedError("COVERAGE_ASSET_CLASS_MISMATCH")

@@ -53,10 +53,12 @@ def filtered(matrix: DataFrame, label_fields: list[str], drop_cold: bool = True,
 
 
 def check_compatible(features: dict, labels: dict) -> None:
-    """Manifests that may be joined: one dataset, frequency, definition and universe; labels span the features."""
+    """Manifests that may be joined: one dataset and frequency, where the labels have just one; one definition of the market data, where
+    both are pinned; the labels' universe, where they have one; and labels that span the features."""
     for key, code in (("dataset_id", "DATASET_ID_MISMATCH"), ("freq", "FREQUENCY_MISMATCH"), ("definition_hash", "MARKET_DATA_DEFINITION_MISMATCH"), ("universe_hash", "UNIVERSE_LINEAGE_MISMATCH")):
-        if features.get(key) != labels.get(key):
-            raise CodedError(code, f"{features.get(key)} and {labels.get(key)}")
+        x, y = features.get(key), labels.get(key)
+        if y is not None and x != y and not (key == "definition_hash" and x is None):
+            raise CodedError(code, f"{x} and {y}")
     if labels["start"] > features["start"] or labels["end"] < features["end"]:
         raise CodedError("LABEL_SOURCE_RANGE_MISMATCH")
     if labels.get("pinned") and not labels["end"] > features["end"]:

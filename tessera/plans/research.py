@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import asdict, dataclass, field
 from datetime import datetime
 
@@ -13,6 +14,7 @@ from ..operators import coverage, datasets, evaluation, factors, features, label
 from ..refs import TableRef, canonical, parquet_path, parquet_ref
 from ..sources.normalize import factor_frame
 from ..store import Store, coverage_gate, feature_gate, label_gate
+from .ingest import file_hash
 from ..types import CURATED_BAR, FEATURE_KEY, LABEL_KEY, CodedError, QualityStatus, RunStatus
 
 
@@ -70,6 +72,22 @@ class _Step:
         raise CodedError(self.code, str(e).splitlines()[0][:500] if str(e) else kind.__name__, self.step) from e
 
 
+def cropped_input(bars: DataFrame, members: DataFrame | None, symbols: tuple[str, ...], end: datetime | None) -> DataFrame:
+    """Bars that a run needs: of those who are members on any day, up to the end; earlier bars stay, as the look-back needs them."""
+    if members is not None:
+        bars = bars.join(members.select("symbol").distinct(), "symbol", "left_semi")
+    if symbols:
+        bars = bars.where(F.col("symbol").isin(*symbols))
+    return bars if end is None else bars.where(F.col("bar_end_time") <= F.lit(end))
+
+
+def cropped_output(values: DataFrame, members: DataFrame | None, start: datetime | None) -> DataFrame:
+    """Values from the start on, on the days of membership."""
+    if start is not None:
+        values = values.where(F.col("as_of") >= F.lit(start))
+    return values if members is None else values.join(members, ["trading_date", "symbol"], "left_semi")
+
+
 @dataclass
 class ResearchRun:
     store: Store
@@ -104,33 +122,38 @@ class ResearchRun:
                 raise CodedError("EMPTY_BAR_INPUT", r.input_ref)
             if one.n > 1:
                 raise CodedError("MULTIPLE_DATASETS", r.input_ref)
-        config = factors.RunConfig(r.run_id, r.feature_set_id, one.d, r.freq, (ref.uri,), pinned and digest([pinned["definition_id"], pinned["version"]]), universe and universe.uri, universe and digest(universe.uri))
+        lineage = _lineage(self.store, ref, universe)
+        config = factors.RunConfig(r.run_id, r.feature_set_id, one.d, r.freq, (ref.uri,), lineage["definition_hash"], lineage["universe_ref"], lineage["universe_hash"])
         with _Step("build_factor_frame", "BUILD_FACTOR_FRAME_FAILED"):
             if members is not None:
+                self._one_asset_class(ref if pinned else None, universe, bars, members)
                 inside = bars if r.as_of_start is None else bars.where(F.col("bar_end_time") >= F.lit(r.as_of_start))
                 inside = inside if r.as_of_end is None else inside.where(F.col("bar_end_time") <= F.lit(r.as_of_end))
                 bare = inside.select("trading_date").distinct().join(members.select("trading_date").distinct(), "trading_date", "left_anti")
                 if not bare.isEmpty():
                     raise CodedError("UNIVERSE_DATE_NOT_COVERED", str(bare.agg(F.min("trading_date")).first()[0]))
-                bars = bars.join(members.select("symbol").distinct(), "symbol", "left_semi")
-            if r.symbols:
-                bars = bars.where(F.col("symbol").isin(*r.symbols))
-            if r.as_of_end is not None:
-                bars = bars.where(F.col("bar_end_time") <= F.lit(r.as_of_end))
-            frame = factor_frame(bars)
+            frame = factor_frame(cropped_input(bars, members, r.symbols, r.as_of_end))
             if frame.isEmpty():
                 raise CodedError("EMPTY_FACTOR_FRAME")
         with _Step("resolve_factors", "RESOLVE_FACTORS_FAILED"):
             found = [self.registry.get(i, freq=r.freq) for i in r.factor_ids]
         with _Step("compute_factors", "COMPUTE_FACTORS_FAILED"):
-            out = factors.run_factors(frame, found, operators=self.operators)
-            if r.as_of_start is not None:
-                out = out.where(F.col("as_of") >= F.lit(r.as_of_start))
-            if members is not None:
-                out = out.join(members, ["trading_date", "symbol"], "left_semi")
+            out = cropped_output(factors.run_factors(frame, found, operators=self.operators), members, r.as_of_start)
         self._frame = frame
         return out, found, config
 
+    def _one_asset_class(self, pinned: TableRef | None, universe: TableRef, bars: DataFrame, members: DataFrame) -> None:
+        """The universe's class against that of the market data's definition, or else of its members' bars."""
+        want = self.store.about(universe.uri).get("asset_class")
+        if want is None:
+            return
+        if pinned is not None:
+            wrong = self.store.about(pinned.uri).get("asset_class") not in (None, want)
+        else:
+            wrong = not bars.where(F.col("asset_class") != want).join(members.select("symbol").distinct(), "symbol", "left_semi").isEmpty()
+        if wrong:
+            raise CodedError("UNIVERSE_ASSET_CLASS_MISMATCH", str(want))
+
     def run(self, r: ResearchRequest) -> RunResult:
         old = self.store.manifest("feature", r.run_id)
         if old is not None and old["status"] != RunStatus.FAILED:
@@ -167,16 +190,30 @@ class ResearchRun:
         return RunResult(r.run_id, str(final), str(status), uri("features"), uri("snapshots"), details={"leak_examples": examples})
 
 
-def label_run(store: Store, run_id: str, input_ref: str, config: labels.ForwardReturn, max_null_ratio: float = 1.0) -> RunResult:
-    """Forward-return labels of bars; a second run of the id replaces the first."""
-    ref = TableRef.parse(input_ref)
+def _lineage(store: Store, ref: TableRef, universe: TableRef | None) -> dict:
+    """Hashes of the market data's definition, if it is pinned, and of the universe, if there is one: its definition and its days."""
+    pinned = store.about(ref.uri) if ref.get("snapshot_set_id") else None
+    found = store.about(universe.uri) if universe else None
+    return {
+        "definition_hash": pinned and digest([pinned["definition_id"], pinned["version"], pinned["definition_hash"]]),
+        "universe_ref": universe and universe.uri,
+        "universe_hash": found and digest([found["definition_id"], found["version"], found["definition_hash"], universe.uri]),
+    }
+
+
+def label_run(store: Store, run_id: str, input_ref: str, config: labels.ForwardReturn, max_null_ratio: float = 1.0, universe_ref: str | None = None) -> RunResult:
+    """Forward-return labels of bars, of the members of a universe if one is named; a second run of the id replaces the first."""
+    ref, universe = TableRef.parse(input_ref), TableRef.parse(universe_ref) if universe_ref else None
+    lineage = _lineage(store, ref, universe)
     bars = store.scan(ref, CURATED_BAR)
+    if universe:
+        bars = bars.join(store.scan(universe).select(F.col("instrument_id").alias("symbol")).distinct(), "symbol", "left_semi")
     if bars.isEmpty():
         raise CodedError("EMPTY_BAR_INPUT", input_ref)
     out = labels.forward_returns(bars, config, run_id)
     features.assert_unique(out, LABEL_KEY, "DUPLICATE_LABEL_KEY")
     span = labels.source_range(bars)
-    store.commit("label", run_id, {"labels": out}, {"config": asdict(config), "input": ref.uri}, dataset_id=span["dataset_id"], freq=span["freq"], start=str(span["start"]), end=str(span["end"]), pinned=bool(ref.get("snapshot_set_id")))
+    store.commit("label", run_id, {"labels": out}, {"config": asdict(config), "input": ref.uri, "universe": universe_ref}, dataset_id=span["dataset_id"], freq=span["freq"], start=str(span["start"]), end=str(span["end"]), pinned=bool(ref.get("snapshot_set_id")), **lineage)
     metrics = labels.quality(store.read("labels", [run_id]), max_null_ratio)
     status = features.overall(metrics)
     store.put_quality("label", run_id, metrics, status, features.summary(metrics))
@@ -188,13 +225,17 @@ def coverage_run(store: Store, run_id: str, request: coverage.Request, calendar_
     config = {"request": {k: str(v) for k, v in asdict(request).items()}, "refs": [canonical(x) for x in (calendar_ref, universe_ref, status_ref, market_ref)]}
     try:
         days, members, state = (store.scan(x) for x in (calendar_ref, universe_ref, status_ref))
-        for df, column, code in ((days, "calendar_date", "CALENDAR_DATE_NOT_COVERED"), (members, "trading_date", "UNIVERSE_DATE_NOT_COVERED"), (state, "trading_date", "STATUS_DATE_NOT_COVERED")):
-            lack = coverage.missing_dates(df, column, request.start, request.end)
-            if not lack.isEmpty():
-                raise CodedError(code, str(lack.agg(F.min("trading_date")).first()[0]))
         bars = store.scan(market_ref, CURATED_BAR)
         if not bars.where(F.col("freq") != request.freq).isEmpty():
             raise CodedError("COVERAGE_FREQUENCY_MISMATCH", request.freq)
+        coverage.check_definitions(*(store.about(x) for x in (market_ref, calendar_ref, universe_ref, status_ref)))
+        market_days = store.spark.createDataFrame([(i["day"],) for i in store.pinned("market_data", TableRef.parse(market_ref).get("snapshot_set_id"))["items"]], "day string").select(F.to_date("day").alias("trading_date"))
+        every = coverage.dates(store.spark, request.start, request.end)
+        opened = every.join(days.where(F.array_contains("states", True)).select(F.col("calendar_date").alias("trading_date")), "trading_date", "left_semi")
+        for want, have, code in ((every, days.select(F.col("calendar_date").alias("trading_date")), "COVERAGE_CALENDAR_DATE_NOT_COVERED"), (opened, members, "COVERAGE_UNIVERSE_DATE_NOT_COVERED"), (opened, state, "COVERAGE_STATUS_DATE_NOT_COVERED"), (opened, market_days, "COVERAGE_MARKET_DATE_NOT_COVERED")):
+            lack = want.join(have.select("trading_date").distinct(), "trading_date", "left_anti").agg(F.min("trading_date")).first()[0]
+            if lack is not None:
+                raise CodedError(code, str(lack))
         analysis = coverage.compare(request, coverage.expected_slots(request, days, members, state), bars)
         good = coverage.consumable(request, analysis)
         m = store.commit("coverage", run_id, {"coverage_metrics": analysis.metrics, "coverage_issues": analysis.issues}, config, "config", "COVERAGE_RUN_CONFLICT", consumable=good)
@@ -237,21 +278,21 @@ def evaluation_metrics(store: Store, run_id: str) -> DataFrame:
 def training_matrix(store: Store, snapshot_ref: str, label_ref: str, feature_fields: list[str] | None = None, label_fields: list[str] | None = None) -> DataFrame:
     """Features joined with labels, behind both gates and the compatibility rules."""
     f, y = feature_gate(store, snapshot_ref), label_gate(store, label_ref)
-    datasets.check_compatible(f, y | {"universe_hash": f.get("universe_hash"), "definition_hash": f.get("definition_hash")})
+    datasets.check_compatible(f, y)
     x = datasets.feature_matrix(store.read("snapshots", [f["run_id"]]), feature_fields)
     return datasets.join(x, datasets.label_matrix(store.read("labels", [y["run_id"]]), label_fields))
 
 
 def materialize(store: Store, dataset_id: str, matrix: DataFrame, label_fields: list[str], path: str, drop_cold: bool = True, drop_null_labels: bool = True) -> dict:
-    """A sorted, filtered matrix as zstd Parquet that is never overwritten, with its hashes.
+    """A sorted, filtered matrix as zstd Parquet that is never overwritten, with the hashes of its definition, rows, schema and bytes.
 
-    The same definition and content is reused after its rows have been checked against the stored hash.
+    It is written under a temporary name and published by a rename; its name has the rows' hash. The same definition and content is
+    reused after its rows have been checked against the stored hash.
     """
     if not dataset_id or "/" in dataset_id or dataset_id.startswith("."):
         raise CodedError("INVALID_DATASET_ID", dataset_id)
     kept, dropped = datasets.filtered(matrix, label_fields, drop_cold, drop_null_labels)
     definition = {"columns": matrix.columns, "labels": sorted(label_fields), "drop_cold": drop_cold, "drop_null_labels": drop_null_labels}
-    target = f"{path.rstrip('/')}/{dataset_id}"
     hashes = {"definition_hash": digest(definition), "content_hash": content_hash(kept), "schema_hash": digest([list(x) for x in kept.dtypes])}
     old = store.manifest("dataset", dataset_id)
     if old is not None:
@@ -263,11 +304,30 @@ def materialize(store: Store, dataset_id: str, matrix: DataFrame, label_fields:
     if kept.isEmpty():
         raise CodedError("EMPTY_TRAINING_DATASET", dataset_id)
     rows = kept.repartitionByRange("dataset_id", "symbol", "freq", "as_of").sortWithinPartitions("dataset_id", "symbol", "freq", "as_of")
-    rows.write.mode("errorifexists").option("compression", "zstd").parquet(target)
-    store.put_manifest("dataset", dataset_id, {"status": str(RunStatus.COMMITTED), "artifact": parquet_ref(target), **hashes, **dropped})
+    folder = path.rstrip("/")
+    target, temporary = f"{folder}/{dataset_id}-{hashes['content_hash'][:16]}", f"{folder}/.{dataset_id}-{uuid.uuid4().hex}.tmp"
+    rows.write.option("compression", "zstd").parquet(temporary)
+    artifact_hash = file_hash(store.spark, temporary)
+    if not store.publish(temporary, target):
+        raise CodedError("MATERIALIZED_ARTIFACT_CONFLICT", target)
+    store.put_manifest("dataset", dataset_id, {"status": str(RunStatus.COMMITTED), "artifact": parquet_ref(target), "artifact_hash": artifact_hash, **hashes, **dropped})
     return store.manifest("dataset", dataset_id) | {"reused": False}
 
 
+def training_manifest(store: Store, dataset_id: str, snapshot_ref: str, label_ref: str, feature_fields: list[str] | None = None, label_fields: list[str] | None = None) -> dict:
+    """The manifest of a training set that is not materialised: its lineage, columns and the hash of its rows. The same content is reused."""
+    f, y = feature_gate(store, snapshot_ref), label_gate(store, label_ref)
+    matrix = training_matrix(store, snapshot_ref, label_ref, feature_fields, label_fields)
+    value = {"features": canonical(snapshot_ref), "labels": canonical(label_ref), "columns": matrix.columns, "definition_hash": f.get("definition_hash"), "universe_hash": f.get("universe_hash"), "inputs": digest([f["config_hash"], y["config_hash"]]), "content_hash": content_hash(matrix)}
+    old = store.manifest("training_set", dataset_id)
+    if old is not None:
+        if any(old[k] != v for k, v in value.items()):
+            raise CodedError("TRAINING_DATASET_CONFLICT", dataset_id)
+        return old | {"reused": True}
+    store.put_manifest("training_set", dataset_id, {"status": str(RunStatus.COMMITTED), **value})
+    return store.manifest("training_set", dataset_id) | {"reused": False}
+
+
 def split(store: Store, dataset_id: str, plan: datasets.SplitPlan, period: str = "as_of") -> DataFrame:
     """Folds of a materialised dataset whose content still is what its manifest says."""
     m = store.manifest("dataset", dataset_id)

@@ -1,13 +1,15 @@
 """A warehouse of Parquet tables with manifests.
 
-Rows are written first, under their run's folder, and the manifest last; readers trust committed manifests
-alone, so a write that broke off is never seen. Manifests are single JSON files, written under a temporary name and
-renamed; row data never passes through the driver.
+Rows are written first, every attempt to a folder of its own, and the manifest last, which names those folders; readers trust
+committed manifests alone, so a write that broke off, or one that is to replace a run, is never half seen. Manifests are
+single JSON files, written under a temporary name and put in place by one rename; row data never passes through the driver.
+Partitions are also listed by their definition, so that looking one up reads no other definition's manifests.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,15 +45,30 @@ class Store:
             stream.close()
 
     def _write_json(self, name: str, value: dict) -> None:
-        tmp = self._path(f"{name}.tmp")
+        folder, _, last = name.rpartition("/")
+        tmp, jvm = self._path(f"{folder}/.{last}.{uuid.uuid4().hex}"), self.spark._jvm
         out = self._fs.create(tmp, True)
         try:
             out.write(bytearray(canonical_json(value).encode()))
         finally:
             out.close()
-        self._fs.delete(self._path(name), False)
-        if not self._fs.rename(tmp, self._path(name)):
-            raise CodedError("STORE_WRITE_FAILED", name)
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(self._fs.makeQualified(tmp), self._fs.makeQualified(self._path(name)), how)
+        except Exception as e:
+            raise CodedError("STORE_WRITE_FAILED", name) from e
+
+    def publish(self, temporary: str, target: str) -> bool:
+        """Renames a finished folder; False, and the folder goes, if the target is there already."""
+        jvm = self.spark._jvm
+        old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (temporary, target))
+        fs = old.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        done = not fs.exists(new) and fs.rename(old, new)
+        if not done:
+            fs.delete(old, True)
+        return done
 
     # -- manifests
     def manifest(self, kind: str, run_id: str) -> dict | None:
@@ -63,7 +80,7 @@ class Store:
         self._write_json(f"_manifests/{kind}/{run_id}.json", {**value, "run_id": run_id})
 
     def manifests(self, kind: str) -> list[dict]:
-        found = (self._read_json(f"_manifests/{kind}/{n}") for n in self._names(f"_manifests/{kind}") if n.endswith(".json"))
+        found = (self._read_json(f"_manifests/{kind}/{n}") for n in self._names(f"_manifests/{kind}") if n.endswith(".json") and not n.startswith("."))
         return [m for m in found if m]
 
     def latest(self, kind: str, **where: Any) -> dict | None:
@@ -72,23 +89,30 @@ class Store:
         return max(found, key=lambda m: (str(m.get("finished_at", "")), m["run_id"]), default=None)
 
     # -- rows
-    def write(self, table: str, run_id: str, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{table}/run={run_id}")
-
-    def drop(self, table: str, run_id: str) -> None:
-        self._fs.delete(self._path(f"{table}/run={run_id}"), True)
+    def write(self, table: str, run_id: str, df: DataFrame) -> str:
+        """Writes rows to a new folder of the run and returns its name, which counts once a manifest has it."""
+        folder = f"{table}/{run_id}/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{folder}")
+        return folder
+
+    def vacuum(self, kind: str, run_id: str) -> list[str]:
+        """Removes the folders of a run that its manifest doesn't name: attempts that broke off or were replaced."""
+        named = set((self.manifest(kind, run_id) or {}).get("folders", {}).values())
+        tables = [t for t, k in _KIND.items() if k == kind] + [f"{kind}_quality"]
+        gone = [f"{t}/{run_id}/{n}" for t in tables for n in self._names(f"{t}/{run_id}") if f"{t}/{run_id}/{n}" not in named]
+        for folder in gone:
+            self._fs.delete(self._path(folder), True)
+        return gone
 
     def read(self, table: str, runs: list[str] | None = None, schema: T.StructType | None = None) -> DataFrame:
         """Rows of committed runs (all of them, or those named); later columns are null in earlier files."""
         kind = _KIND.get(table, table)
-        good = [m["run_id"] for m in self.manifests(kind) if m.get("status") in (RunStatus.COMMITTED, RunStatus.QUALITY_FAILED)]
-        there = set(self._names(table))
-        picked = [r for r in good if (runs is None or r in runs) and f"run={r}" in there]
-        if not picked:
+        found = self.manifests(kind) if runs is None else [m for m in (self.manifest(kind, r) for r in dict.fromkeys(runs)) if m]
+        paths = [f"{self.root}/{m['folders'][table]}" for m in found if m.get("status") in (RunStatus.COMMITTED, RunStatus.QUALITY_FAILED) and table in m.get("folders", {})]
+        if not paths:
             if schema is None:
                 raise CodedError("UNKNOWN_RUN", f"{table} {runs}")
             return self.spark.createDataFrame([], schema)
-        paths = [f"{self.root}/{table}/run={r}" for r in picked]
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read.option("mergeSchema", "true")
         return reader.parquet(*paths)
 
@@ -123,9 +147,8 @@ class Store:
             if old["config_hash"] == config_hash and old["content"] == hashes:
                 return old | {"reused": True}
             raise CodedError(conflict, run_id)
-        for t, df in tables.items():
-            self.write(t, run_id, df)
-        self.put_manifest(kind, run_id, {"status": str(status), "config": config, "config_hash": config_hash, "content": hashes, "tables": sorted(tables), **more})
+        folders = {t: self.write(t, run_id, df) for t, df in tables.items()}
+        self.put_manifest(kind, run_id, {"status": str(status), "config": config, "config_hash": config_hash, "content": hashes, "folders": folders, **more})
         return self.manifest(kind, run_id) | {"reused": False}
 
     def fail(self, kind: str, run_id: str, config: dict, issues: DataFrame | None = None, code: str = "", message: str = "") -> dict:
@@ -134,23 +157,32 @@ class Store:
         if old is not None and old["status"] in (RunStatus.COMMITTED, RunStatus.QUALITY_FAILED):
             raise CodedError("RUN_ALREADY_COMMITTED", run_id)
         if issues is not None:
-            self.write("quality_issues", run_id, issues)
+            self.put_issues(run_id, issues)
         self.put_manifest(kind, run_id, {"status": str(RunStatus.FAILED), "config": config, "config_hash": digest(config), "code": code, "message": message})
         return self.manifest(kind, run_id)
 
+    def put_issues(self, run_id: str, issues: DataFrame) -> None:
+        self.put_manifest("quality_issues", run_id, {"folder": self.write("quality_issues", run_id, issues)})
+
     def put_quality(self, kind: str, run_id: str, metrics: DataFrame, status: str, summary: dict) -> None:
         """Replaces a run's metrics and puts the verdict into its manifest."""
         m = self.manifest(kind, run_id)
         if m is None:
             raise CodedError("UNKNOWN_RUN", run_id)
-        self.write(f"{kind}_quality", run_id, metrics)
-        self.put_manifest(kind, run_id, m | {"quality_status": str(status), "quality_summary": summary})
+        folder = self.write(f"{kind}_quality", run_id, metrics)
+        self.put_manifest(kind, run_id, m | {"folders": m.get("folders", {}) | {f"{kind}_quality": folder}, "quality_status": str(status), "quality_summary": summary})
 
     def quality_metrics(self, kind: str, run_id: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{kind}_quality/run={run_id}")
+        folder = (self.manifest(kind, run_id) or {}).get("folders", {}).get(f"{kind}_quality")
+        if folder is None:
+            raise CodedError("UNKNOWN_RUN", run_id)
+        return self.spark.read.parquet(f"{self.root}/{folder}")
 
     def quality_issues(self, run_id: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/quality_issues/run={run_id}").orderBy("code", "symbol", "source_row_id")
+        m = self.manifest("quality_issues", run_id)
+        if m is None:
+            raise CodedError("UNKNOWN_RUN", run_id)
+        return self.spark.read.parquet(f"{self.root}/{m['folder']}").orderBy("code", "symbol", "source_row_id")
 
     # -- definitions, immutable day partitions, pinned sets
     def register(self, kind: str, definition_id: str, version: str, content: dict) -> str:
@@ -163,46 +195,85 @@ class Store:
             self.put_manifest(f"{kind}_definition", name, {"content": content, "hash": new})
         return new
 
-    def put_partition(self, kind: str, definition_id: str, version: str, day: str, rows: DataFrame, definition_hash: str, columns: list[str] | None = None, **more: Any) -> dict:
-        """A day's rows, once: the same content is reused, other content is a conflict. The id comes from the content."""
-        content = content_hash(rows, columns)
-        for m in self.manifests(kind):
-            if (m.get("definition_id"), m.get("version"), m.get("day")) == (definition_id, version, day) and m["status"] == RunStatus.COMMITTED:
-                if m["content_hash"] == content and m["definition_hash"] == definition_hash:
-                    return m | {"reused": True}
-                raise CodedError("IMMUTABLE_PARTITION_CONFLICT", f"{definition_id} {day}")
+    def put_partition(self, kind: str, definition_id: str, version: str, day: str, rows: DataFrame, definition_hash: str, columns: list[str] | None = None, hashed: DataFrame | None = None, **more: Any) -> dict:
+        """A day's rows, once: the same content is reused, other content is a conflict. The id comes from the content.
+
+        hashed: the rows in the form that counts, if that is not how they are written.
+        """
+        content = content_hash(rows if hashed is None else hashed, columns)
+        if m := self.partition(kind, definition_id, version, day):
+            if m["content_hash"] == content and m["definition_hash"] == definition_hash:
+                return m | {"reused": True}
+            raise CodedError("IMMUTABLE_PARTITION_CONFLICT", f"{definition_id} {day}")
         pid = digest([kind, definition_id, version, day, content, definition_hash])[:32]
-        self.write(_PINNED[kind], pid, rows.withColumn("market_data_partition_id", F.lit(pid)) if kind == "market_data" else rows)
-        self.put_manifest(kind, pid, {"status": str(RunStatus.COMMITTED), "definition_id": definition_id, "version": version, "day": day, "content_hash": content, "definition_hash": definition_hash, **more})
+        folder = self.write(_PINNED[kind], pid, rows.withColumn("market_data_partition_id", F.lit(pid)) if kind == "market_data" else rows)
+        self.put_manifest(kind, pid, {"status": str(RunStatus.COMMITTED), "definition_id": definition_id, "version": version, "day": day, "content_hash": content, "definition_hash": definition_hash, "folders": {_PINNED[kind]: folder}, **more})
+        self._write_json(f"{self._listing(kind, definition_id, version)}/{day}.json", {"partition_id": pid})
         return self.manifest(kind, pid) | {"reused": False}
 
+    def _listing(self, kind: str, definition_id: str, version: str) -> str:
+        return f"_partitions/{kind}/{digest([definition_id, version])[:32]}"
+
+    def partition(self, kind: str, definition_id: str, version: str, day: str) -> dict | None:
+        """A definition's partition of one day."""
+        at = self._read_json(f"{self._listing(kind, definition_id, version)}/{day}.json")
+        return self.manifest(kind, at["partition_id"]) if at else None
+
+    def partitions(self, kind: str, definition_id: str, version: str) -> list[dict]:
+        """All partitions of a definition, by day."""
+        days = [n.removesuffix(".json") for n in self._names(self._listing(kind, definition_id, version)) if n.endswith(".json") and not n.startswith(".")]
+        return [m for m in (self.partition(kind, definition_id, version, d) for d in days) if m]
+
+    def snapshot_set(self, kind: str, set_id: str) -> tuple[dict, list[dict]]:
+        """A set's manifest and its partitions' manifests."""
+        m = self.pinned(kind, set_id)
+        return m, [self.manifest(kind, i["partition_id"]) for i in m["items"]]
+
+    def definition(self, kind: str, definition_id: str, version: str) -> dict | None:
+        return self.manifest(f"{kind}_definition", f"{definition_id}@{version}")
+
     def pin(self, kind: str, definition_id: str, version: str, days: list[str]) -> dict:
         """A set of days' partitions, all of which must be there; its id comes from them, so the same set is the same id."""
         days = sorted(set(days))
-        have = {m["day"]: m for m in self.manifests(kind) if (m.get("definition_id"), m.get("version")) == (definition_id, version) and m["status"] == RunStatus.COMMITTED}
+        have = {d: m for d in days if (m := self.partition(kind, definition_id, version, d))}
         if not days or (lack := [d for d in days if d not in have]):
             raise CodedError("MISSING_PARTITION", ", ".join(lack) if days else "no days")
         items = [{"day": d, "partition_id": have[d]["run_id"], "content_hash": have[d]["content_hash"]} for d in days]
         set_id = digest([kind, definition_id, version, items])[:32]
         old = self.manifest(f"{kind}_set", set_id)
         if old is None:
-            self.put_manifest(f"{kind}_set", set_id, {"definition_id": definition_id, "version": version, "items": items})
+            self.put_manifest(f"{kind}_set", set_id, {"definition_id": definition_id, "version": version, "definition_hash": have[days[0]]["definition_hash"], "items": items})
         return self.manifest(f"{kind}_set", set_id) | {"reused": old is not None}
 
     def pinned(self, kind: str, set_id: str, verify: bool = True) -> dict:
-        """A set's manifest, with its identity and its partitions' hashes checked against their manifests."""
+        """A set's manifest, checked against its definition, and its identity and partitions against theirs."""
         m = self.manifest(f"{kind}_set", set_id)
         if m is None:
             raise CodedError("UNKNOWN_SNAPSHOT_SET", set_id)
         if verify:
             if digest([kind, m["definition_id"], m["version"], m["items"]])[:32] != set_id:
                 raise CodedError("SNAPSHOT_SET_HASH_MISMATCH", set_id)
+            definition = self.definition(kind, m["definition_id"], m["version"])
+            if definition is not None and definition["hash"] != m["definition_hash"]:
+                raise CodedError("DEFINITION_HASH_MISMATCH", set_id)
             for i in m["items"]:
                 part = self.manifest(kind, i["partition_id"])
-                if part is None or part["content_hash"] != i["content_hash"]:
+                if part is None:
+                    raise CodedError("UNKNOWN_PARTITION", i["partition_id"])
+                if (part["definition_id"], part["version"], part["day"], part["definition_hash"]) != (m["definition_id"], m["version"], i["day"], m["definition_hash"]):
+                    raise CodedError("PARTITION_IDENTITY_MISMATCH", i["partition_id"])
+                if part["content_hash"] != i["content_hash"]:
                     raise CodedError("PARTITION_HASH_MISMATCH", i["partition_id"])
         return m
 
+    def about(self, ref: str) -> dict:
+        """What the definition behind a pinned set says, with its id, version and hash."""
+        parsed = TableRef.parse(ref)
+        kind = "market_data" if parsed.table == "bars" else parsed.table
+        m = self.pinned(kind, parsed.get("snapshot_set_id"))
+        definition = self.definition(kind, m["definition_id"], m["version"]) or {"content": {}}
+        return definition["content"] | {"definition_id": m["definition_id"], "version": m["version"], "definition_hash": m["definition_hash"]}
+
 
 #: The manifests that each table's rows belong to, and the tables of pinned assets.
 _KIND = {"bars": "import", "market_data_bars": "market_data", "universe_members": "universe", "calendar_days": "calendar", "daily_statuses": "daily_status", "features": "feature", "snapshots": "feature", "labels": "label", "evaluation_metrics": "evaluation", "coverage_metrics": "coverage", "coverage_issues": "coverage", "fills": "backtest", "positions": "backtest", "nav": "backtest", "backtest_metrics": "backtest"}

@@ -173,7 +173,7 @@ def test_immutable_assets_and_coverage_run(store, tmp_path):
     assert R.coverage_metrics(store, "c").first().scope == "SYMBOL_DATE" and R.coverage_issues(store, "c").count() == 0
     assert code(lambda: ask(coverage.Request(day, day, min_ratio=0.5))) == "COVERAGE_RUN_CONFLICT"
     failed = ask(coverage.Request(day, day + timedelta(1)), "c2")
-    assert failed.status == "FAILED" and failed.error["code"] == "CALENDAR_DATE_NOT_COVERED"
+    assert failed.status == "FAILED" and failed.error["code"] == "COVERAGE_CALENDAR_DATE_NOT_COVERED"
     run = R.ResearchRun(store).run(R.ResearchRequest("p", "s", refs["market_data"], ("true_range",), universe_ref=refs["universe"], coverage_ref=got.details["coverage_ref"]))
     assert run.consumable and store.manifest("feature", "p")["universe_hash"]
 
@@ -185,6 +185,105 @@ def test_tampered_sets_are_found(store, tmp_path):
     assert code(lambda: store.pinned("universe", pin["run_id"])) == "SNAPSHOT_SET_HASH_MISMATCH"
 
 
+def test_lineage_of_labels_is_compared(store, tmp_path):
+    ref = ingest(store, write(tmp_path, 2, "AB")).ref
+    days = ["2026-01-01", "2026-01-02"]
+    for name in ("one", "two"):
+        for d in days:
+            text = f"symbol,trading_date\nA,{d}\n" + (f"B,{d}\n" if name == "two" else "")
+            assert asset(store, tmp_path, "universe", text, date.fromisoformat(d), definition=Definition("universe", name, "v1", {})).status == "COMMITTED"
+    refs = {n: f"tessera://universe?snapshot_set_id={store.pin('universe', n, 'v1', days)['run_id']}" for n in ("one", "two")}
+    x = R.ResearchRun(store).run(R.ResearchRequest("x", "s", ref, ("ret_1",), universe_ref=refs["one"]))
+    y = {n: R.label_run(store, f"y{n}", ref, labels.ForwardReturn("ls", "fwd"), universe_ref=r).details["label_ref"] for n, r in [*refs.items(), ("none", None)]}
+    assert R.training_matrix(store, x.snapshot_ref, y["one"]).count() == 2 and R.training_matrix(store, x.snapshot_ref, y["none"]).count() == 2
+    assert code(lambda: R.training_matrix(store, x.snapshot_ref, y["two"])) == "UNIVERSE_LINEAGE_MISMATCH"
+    one = R.training_manifest(store, "t", x.snapshot_ref, y["one"])
+    assert not one["reused"] and one["universe_hash"] and R.training_manifest(store, "t", x.snapshot_ref, y["one"])["reused"]
+    assert code(lambda: R.training_manifest(store, "t", x.snapshot_ref, y["none"])) == "TRAINING_DATASET_CONFLICT"
+    wrong = store.manifest("universe_definition", "one@v1")
+    store.put_manifest("universe_definition", "one@v1", wrong | {"content": {"asset_class": "FUTURE"}})
+    got = R.ResearchRun(store).run(R.ResearchRequest("z", "s", ref, ("ret_1",), universe_ref=refs["one"]))
+    assert got.error["code"] == "UNIVERSE_ASSET_CLASS_MISMATCH"
+
+
+@pytest.mark.parametrize(
+    ("change", "want"),
+    [
+        ({"market": {"calendar_id": "x"}, "status": {"calendar_id": "y"}}, "COVERAGE_CALENDAR_MISMATCH"),
+        ({"status": {"calendar_version": "v2"}}, "COVERAGE_CALENDAR_VERSION_MISMATCH"),
+        ({"market": {"zone": "UTC"}}, "COVERAGE_TIMEZONE_MISMATCH"),
+        ({"universe": {"asset_class": "FUND"}, "market": {"asset_class": "EQUITY"}}, "COVERAGE_ASSET_CLASS_MISMATCH"),
+        ({}, None),
+    ],
+)
+def test_coverage_inputs_must_agree(change, want):
+    base = {"version": "v1", "zone": "Asia/Shanghai"}
+    inputs = [base | change.get(k, {}) for k in ("market", "calendar", "universe", "status")]
+    if want:
+        assert code(lambda: coverage.check_definitions(*inputs)) == want
+    else:
+        coverage.check_definitions(*inputs)
+
+
+def test_coverage_needs_all_trading_days(store, tmp_path):
+    """Dates without market data, members or states, through the run; a closed day needs none of them."""
+    days = [date(2026, 1, d) for d in (1, 2, 3)]
+    late = {"known_at": datetime(2026, 1, 4, tzinfo=timezone.utc), "source_data_cutoff": datetime(2026, 1, 4, tzinfo=timezone.utc)}
+    texts = {
+        "market_data": lambda d: HEAD + f"A,SZSE,{d},10,11,9,10,100,\n",
+        "universe": lambda d: f"symbol,trading_date\nA,{d}\n",
+        "calendar": lambda d: f"calendar_date,is_trading_day,session_id,session_start,session_end\n{d},{int(d.day < 3)},{'am,09:30,11:30' if d.day < 3 else ',,'}\n",
+        "daily_status": lambda d: f"trading_date,instrument_id,market_state,bar_expectation\n{d},A,active,full_session\n",
+    }
+    for kind, text in texts.items():
+        for d in days[: 3 if kind == "calendar" else 2]:
+            assert asset(store, tmp_path, kind, text(d), d, **late).status == "COMMITTED"
+
+    def refs(**upto):
+        return [f"tessera://{k}?snapshot_set_id={store.pin(k, f'{k}-1', 'v1', [str(d) for d in days[: upto.get(k, 3 if k == 'calendar' else 2)]])['run_id']}" for k in ("calendar", "universe", "daily_status", "market_data")]
+
+    ask = lambda run, **upto: R.coverage_run(store, run, coverage.Request(days[0], days[2]), *refs(**upto))
+    assert ask("all").details["consumable"]
+    for i, (kind, want) in enumerate([("calendar", "CALENDAR"), ("universe", "UNIVERSE"), ("daily_status", "STATUS"), ("market_data", "MARKET")]):
+        got = ask(f"c{i}", **{kind: 2 if kind == "calendar" else 1})
+        assert got.status == "FAILED" and got.error["code"] == f"COVERAGE_{want}_DATE_NOT_COVERED"
+
+
+def test_unknown_states_are_refused(store, tmp_path):
+    for line in ("active,sometimes", "asleep,full_session"):
+        with pytest.raises(Exception, match="INVALID_(BAREXPECTATION|MARKETSTATE)"):
+            asset(store, tmp_path, "daily_status", f"trading_date,instrument_id,market_state,bar_expectation\n2026-01-01,A,{line}\n", date(2026, 1, 1))
+
+
+def test_prices_written_otherwise_are_the_same_partition(store, tmp_path):
+    late = {"known_at": datetime(2026, 1, 2, tzinfo=timezone.utc), "source_data_cutoff": datetime(2026, 1, 2, tzinfo=timezone.utc)}
+    for line in ("10,11,9,10,100,", "10.0,11,9.00,1e1,100,"):
+        got = asset(store, tmp_path, "market_data", HEAD + f"A,SZSE,2026-01-01,{line}\n", date(2026, 1, 1), **late)
+    assert got.reused
+
+
+def test_a_commit_that_breaks_off_leaves_the_old_one(store, spark):
+    store.commit("label", "r", {"labels": spark.range(3)}, {})
+    before = store.manifest("label", "r")["folders"]["labels"]
+    with pytest.raises(Exception):
+        store.commit("label", "r", {"labels": spark.range(5), "broken": spark.range(1).selectExpr("raise_error('no') AS x")}, {})
+    assert store.read("labels", ["r"]).count() == 3 and store.manifest("label", "r")["folders"]["labels"] == before
+    gone = store.vacuum("label", "r")
+    assert len(gone) == 1 and before not in gone and store.read("labels", ["r"]).count() == 3
+    assert not [n for n in store._names("_manifests/label") if n.startswith(".")]
+
+
+def test_lookups(store, tmp_path):
+    for d in (1, 2):
+        asset(store, tmp_path, "universe", f"symbol,trading_date\nA,2026-01-0{d}\n", date(2026, 1, d))
+    assert [p["day"] for p in store.partitions("universe", "universe-1", "v1")] == ["2026-01-01", "2026-01-02"] and store.partition("universe", "universe-1", "v1", "2026-01-03") is None
+    pin = store.pin("universe", "universe-1", "v1", ["2026-01-01", "2026-01-02"])
+    m, parts = store.snapshot_set("universe", pin["run_id"])
+    assert len(parts) == 2 and m["definition_hash"] == store.definition("universe", "universe-1", "v1")["hash"]
+    store.put_manifest("universe", parts[0]["run_id"], parts[0] | {"day": "2026-01-05"})
+    assert code(lambda: store.pinned("universe", pin["run_id"])) == "PARTITION_IDENTITY_MISMATCH"
+
+
 def test_backtest_run_is_reused_or_conflicts(store, tmp_path):
     ref = ingest(store, write(tmp_path, 10, "AB")).ref
     bars = store.scan(ref)
