@@ -25,10 +25,13 @@ class ForwardReturn:
 
 
 def forward_returns(bars: DataFrame, config: ForwardReturn, run_id: str = "run") -> DataFrame:
-    """price[t + horizon] / price[t] - 1 at each bar's end, in decimals; the tail of each series is null."""
-    p = F.col(config.price).cast("decimal(18,6)")
+    """price[t + horizon] / price[t] - 1 at each bar's end; the tail of each series is null.
+
+    The difference is taken in decimals of 18 places, so that it is exact, and then divided by the price.
+    """
+    p = F.col(config.price).cast("decimal(38,18)")
     ahead = F.lead(p, config.horizon).over(by(SERIES, "bar_end_time"))
-    value = F.when(p != 0, F.try_divide(ahead, p) - 1).cast("double")
+    value = F.when(p != 0, (ahead - p).cast("double") / p.cast("double"))
     return bars.select("dataset_id", "symbol", "freq", F.col("bar_end_time").alias("as_of"), F.lit(config.label_set_id).alias("label_set_id"), F.lit(config.label_id).alias("label_id"), F.lit(config.version).alias("label_version"), F.lit(run_id).alias("source_run_id"), value.alias("value_float"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from enum import StrEnum
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +19,8 @@ class SourceType(StrEnum):
 
 
 def csv(spark: SparkSession, path: str) -> DataFrame:
-    """Every column as text, empty ones as ''."""
-    return spark.read.csv(path, header=True, inferSchema=False, nullValue="\u0000", emptyValue="", ignoreLeadingWhiteSpace=False, multiLine=False)
+    """Every column as text, empty ones as ''. A quoted value may hold line ends, so a file is one task's; large sources come in many files."""
+    return spark.read.csv(path, header=True, inferSchema=False, nullValue="\u0000", emptyValue="", ignoreLeadingWhiteSpace=False, multiLine=True, escape='"')
 
 
 def parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -49,13 +50,18 @@ def as_text(c: str, kind: T.DataType) -> Column:
 
 
 def raw_rows(df: DataFrame) -> DataFrame:
-    """All columns as text and source_row_id, from 1 in file order.
+    """All columns as text and source_row_id, from 1 in the order of the files' names and of the rows in each.
 
-    A row's place in a file is its partition and its place there; numbering needs the partitions' sizes
+    A row's place in its piece of a file is its number there less the piece's first; numbering needs the pieces' sizes
     (a count for each), not a global sort.
     """
-    text = df.select(*[as_text(f.name, f.dataType).alias(f.name) for f in df.schema.fields])
-    placed = text.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row for each file split
-    return placed.join(F.broadcast(before), "_part").withColumn("source_row_id", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).drop("_id", "_part", "_before")
+    text = [as_text(f.name, f.dataType).alias(f.name) for f in df.schema.fields]
+    try:
+        piece = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+        placed = df.select(*text, *piece, F.monotonically_increasing_id().alias("_id"))
+    except AnalysisException:  # rows of a reader of the user's own, which come in the order of their partitions
+        placed = df.select(*text, F.lit("").alias("_file"), F.lit(0).cast("long").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    placed = placed.withColumn("_part", F.shiftright("_id", 33))
+    sizes = placed.groupBy("_file", "_block", "_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = sizes.select("_file", "_block", "_part", "_first", (F.sum("_n").over(Window.orderBy("_file", "_block", "_part")) - F.col("_n")).alias("_before"))  # one row for each piece
+    return placed.join(F.broadcast(before), ["_file", "_block", "_part"]).withColumn("source_row_id", F.col("_before") + F.col("_id") - F.col("_first") + 1).drop("_id", "_part", "_before", "_first", "_file", "_block")

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..types import CURATED_BAR, FUTURE_VENUES, CodedError, Frequency
+from ..types import CURATED_BAR, FUTURE_VENUES, Adjustment, AssetClass, BarExpectation, CodedError, Frequency, MarketState
 
 DAY_OPEN, DAY_CLOSE = "09:30:00", "15:00:00"
 BAR_FIELDS = ("symbol", "exchange", "date", "datetime", "open", "high", "low", "close", "volume", "turnover")
@@ -28,6 +28,8 @@ class BarSource:
     def __post_init__(self) -> None:
         if self.freq not in tuple(Frequency):
             raise CodedError("UNSUPPORTED_FREQUENCY", self.freq)
+        if self.adjustment not in tuple(Adjustment):
+            raise CodedError("INVALID_SOURCE_SPEC", self.adjustment)
         if self.convention not in ("START_TIME", "END_TIME"):
             raise CodedError("INVALID_SOURCE_SPEC", self.convention)
 
@@ -39,7 +41,7 @@ def mapped(df: DataFrame, names, mapping: dict[str, str]) -> dict[str, Column]:
 
 
 def asset_class(exchange: Column) -> Column:
-    return F.when(exchange.isin(*FUTURE_VENUES), "FUTURE").otherwise("EQUITY")
+    return F.when(exchange.isin(*FUTURE_VENUES), str(AssetClass.FUTURE)).otherwise(str(AssetClass.EQUITY))
 
 
 def bars(rows: DataFrame, source: BarSource, run_id: str) -> DataFrame:
@@ -122,6 +124,12 @@ def calendar_days(rows: DataFrame, mapping: dict[str, str] | None = None) -> Dat
     return one.groupBy("calendar_date").agg(F.array_sort(F.collect_set("open")).alias("states"), F.array_sort(F.collect_list(F.when(there, F.struct("start", "end", "session_id", "kind")))).alias("sessions"))
 
 
+def _one_of(kind: type, text: Column) -> Column:
+    """A value of an enum, whatever its case; any other is an error."""
+    t = F.upper(F.trim(text))
+    return F.when(t.isin(*[str(x) for x in kind]), t).otherwise(F.raise_error(F.concat(F.lit(f"INVALID_{kind.__name__.upper()}: "), text)).cast("string"))
+
+
 def statuses(rows: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
     """instrument_id, trading_date, market_state, bar_expectation, intervals: array of (start, end) in seconds."""
     c = mapped(rows, ("trading_date", "instrument_id", "market_state", "bar_expectation", "custom_intervals"), mapping or {})
@@ -130,4 +138,4 @@ def statuses(rows: DataFrame, mapping: dict[str, str] | None = None) -> DataFram
     as_json = F.transform(F.from_json(t, f"array<{item}>"), lambda x: F.struct(clock(F.coalesce(x["start_time"], x["start"])).alias("start"), clock(F.coalesce(x["end_time"], x["end"])).alias("end")))
     as_text = F.transform(F.split(t, r"\|"), lambda x: F.struct(clock(F.split(x, "-")[0]).alias("start"), clock(F.split(x, "-")[1]).alias("end")))
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    return rows.select(F.upper(F.trim(c["instrument_id"])).alias("instrument_id"), F.to_date(F.trim(c["trading_date"])).alias("trading_date"), F.upper(F.trim(c["market_state"])).alias("market_state"), F.upper(F.trim(c["bar_expectation"])).alias("bar_expectation"), F.array_sort(F.when(t == "", empty).when(t.startswith("["), as_json).otherwise(as_text)).alias("intervals"))
+    return rows.select(F.upper(F.trim(c["instrument_id"])).alias("instrument_id"), F.to_date(F.trim(c["trading_date"])).alias("trading_date"), _one_of(MarketState, c["market_state"]).alias("market_state"), _one_of(BarExpectation, c["bar_expectation"]).alias("bar_expectation"), F.array_sort(F.when(t == "", empty).when(t.startswith("["), as_json).otherwise(as_text)).alias("intervals"))

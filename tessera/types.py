@@ -68,6 +68,13 @@ class BarExpectation(StrEnum):
     UNKNOWN = "UNKNOWN"
 
 
+class MarketState(StrEnum):
+    ACTIVE = "ACTIVE"
+    SUSPENDED = "SUSPENDED"
+    NOT_LISTED = "NOT_LISTED"
+    UNKNOWN = "UNKNOWN"
+
+
 class MetricStatus(StrEnum):
     COMPUTED = "COMPUTED"
     INSUFFICIENT_SAMPLE = "INSUFFICIENT_SAMPLE"

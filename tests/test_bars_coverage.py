@@ -9,7 +9,7 @@ from tessera.operators import coverage, quality
 from tessera.sources import files, normalize
 from tessera.types import CodedError
 
-DAILY = "symbol,exchange,date,open,high,low,close,volume,turnover\n000001.SZ,SZSE,2026-07-01,10,10.2,9.9,10.1,1000,10100\n000001.SZ,SZSE,2026-07-02,10.1,10.4,10,10.3,1200,\n"
+DAILY = "symbol,exchange,date,open,high,low,close,volume,turnover\n600519.SH,SSE,2026-07-01,10,12.5,9.75,11,800,8640\n600519.SH,SSE,2026-07-02,11,11.25,10.5,10.75,640,\n"
 
 
 def minute(times):
@@ -66,6 +66,14 @@ def test_csv_and_parquet_agree(spark, tmp_path):
         files.read(spark, "x", "DUCKDB_TABLE")
 
 
+def test_row_ids_follow_the_names_of_files(spark, tmp_path):
+    for i, n in enumerate((3, 400, 20)):
+        (tmp_path / f"{i}.csv").write_text("symbol,note\n" + "".join(f'F{i}-{k},"two\nlines"\n' for k in range(n)))
+    got = files.raw_rows(files.read(spark, str(tmp_path), "CSV")).orderBy("source_row_id").collect()
+    assert [r.symbol for r in got] == [f"F{i}-{k}" for i, n in enumerate((3, 400, 20)) for k in range(n)] and [r.source_row_id for r in got] == list(range(1, 424))
+    assert {r.note for r in got} == {"two\nlines"}
+
+
 def test_row_ids_follow_the_file(spark, tmp_path):
     text = "symbol\n" + "".join(f"S{i}\n" for i in range(500))
     got = raw(spark, tmp_path, text).repartition(5).collect()
@@ -161,4 +169,4 @@ def test_comparison(spark):
     assert coverage.consumable(warn, half)
     whole = coverage.compare(request, g, actual(spark, ("A", 1), ("B", 1)))
     assert coverage.consumable(request, whole)
-    assert [str(r[0]) for r in coverage.missing_dates(actual(spark, ("A", 1)), "trading_date", request.start, request.end).collect()] == ["2026-07-02"]
+    assert sorted(str(r[0]) for r in coverage.dates(spark, request.start, request.end).collect()) == ["2026-07-01", "2026-07-02"]

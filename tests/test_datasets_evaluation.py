@@ -18,6 +18,11 @@ def bars(spark, series):
     return spark.createDataFrame(rows, "dataset_id string, symbol string, freq string, bar_start_time timestamp, bar_end_time timestamp, close string")
 
 
+def test_returns_of_very_small_prices(spark):
+    got = labels.forward_returns(bars(spark, {"A": ["0.0000014", "0.0000024"]}), labels.ForwardReturn("set", "fwd")).orderBy("as_of").first()
+    assert got.value_float == pytest.approx(1.0 / 1.4, rel=1e-12)
+
+
 def test_forward_returns_stay_in_their_series(spark):
     got = labels.forward_returns(bars(spark, {"A": ["10.0", "11.0", "12.1"], "B": ["20", "18"]}), labels.ForwardReturn("set", "fwd")).orderBy("symbol", "as_of").collect()
     assert [r.value_float for r in got] == [pytest.approx(0.1), pytest.approx(0.1), None, pytest.approx(-0.1), None]
@@ -111,8 +116,10 @@ def test_matrix_joins_and_filters(spark):
 
 
 def test_compatibility_codes():
-    base = {"dataset_id": "d", "freq": "1d", "definition_hash": None, "universe_hash": None, "start": "1", "end": "5"}
+    base = {"dataset_id": "d", "freq": "1d", "definition_hash": "h", "universe_hash": None, "start": "1", "end": "5"}
     datasets.check_compatible(base, base)
+    datasets.check_compatible(base | {"definition_hash": None}, base)  # only one side is pinned
+    datasets.check_compatible(base | {"universe_hash": "x"}, base)  # the labels name no universe
     for change, code in (({"dataset_id": "e"}, "DATASET_ID_MISMATCH"), ({"freq": "1m"}, "FREQUENCY_MISMATCH"), ({"definition_hash": "x"}, "MARKET_DATA_DEFINITION_MISMATCH"), ({"universe_hash": "x"}, "UNIVERSE_LINEAGE_MISMATCH"), ({"end": "4"}, "LABEL_SOURCE_RANGE_MISMATCH"), ({"pinned": True}, "LABEL_FORWARD_HORIZON_NOT_COVERED")):
         with pytest.raises(CodedError) as e:
             datasets.check_compatible(base, base | change)
