@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime, time, timedelta
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import average_rank
 from ..hashing import content_hash
+from ..plans.research import cropped_input, cropped_output
 from ..operators import coverage, datasets, evaluation, factors, features, labels, portfolio, quality
 from ..sources import normalize
 
+from . import runs
 from .bars import BY_SUPPLIER, BY_TYPE, BY_USER, FACTORS, W, ZONE, by_supplier, by_type, by_user, div, factor_sql, full, rounded, rounded_sql, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,9 +106,12 @@ def feature_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.quality(_long(spark, sf_dir)).select("output_field", "metric", F.round("value", 6).alias("value"), "severity")
 
 
-@query()
+@query(
+    f"WITH {factor_sql()}, {_LONG} SELECT symbol, strftime(trading_date, '%Y-%m-%d') AS trading_date, string_agg(output_field, ',' ORDER BY output_field) AS fields, count(v) AS n_values, round(max(v) FILTER (WHERE output_field = 'ma_5'), 6) AS ma_5, bool_and(warm) AS warmup_complete FROM long GROUP BY symbol, trading_date"
+)
 def snapshot_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.snapshots(_long(spark, sf_dir))
+    values = F.size(F.filter(F.map_values("features"), lambda v: v.isNotNull())).cast("long")
+    return features.snapshots(_long(spark, sf_dir)).select(*_out(), F.array_join(F.array_sort(F.map_keys("features")), ",").alias("fields"), values.alias("n_values"), F.round(F.try_element_at("features", F.lit("ma_5")), 6).alias("ma_5"), "warmup_complete")
 
 
 @query()
@@ -135,7 +140,7 @@ def prefix_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- labels and datasets
 _LABEL = labels.ForwardReturn("labels", "fwd_1", 1)
-_FWD = f"CASE WHEN CAST(close AS decimal(18,6)) <> 0 THEN CAST(CAST(lead(close) OVER ({W}) AS decimal(18,6)) AS double) / CAST(CAST(close AS decimal(18,6)) AS double) - 1 END"
+_FWD = f"CASE WHEN close <> 0 THEN (lead(close) OVER ({W}) - close) / close END"
 _LAB = f"lab AS (SELECT symbol, trading_date, {_FWD} AS y FROM bars)"
 
 
@@ -164,13 +169,17 @@ def _snapshots(spark: SparkSession, sf_dir: str, names: list[str], bars=by_user)
 
 
 def _matrices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Features without symbols that end in 1, labels without those that end in 2, so each side has rows of its own."""
-    x = datasets.feature_matrix(_snapshots(spark, sf_dir, ["ret_1", "ma_5"]), ["ma_5", "ret_1"]).where("symbol NOT LIKE '%1'")
-    y = datasets.label_matrix(_labels(spark, sf_dir), ["fwd_1"]).where("symbol NOT LIKE '%2'")
-    return x, y
+    """Features and labels of all users' bars."""
+    return datasets.feature_matrix(_snapshots(spark, sf_dir, ["ret_1", "ma_5"]), ["ma_5", "ret_1"]), datasets.label_matrix(_labels(spark, sf_dir), ["fwd_1"])
+
+
+def _ready(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Features that are warm and labels that are there: a user's first bars have only a label, the last one only features."""
+    x, y = _matrices(spark, sf_dir)
+    return x.where("warmup_complete"), y.where("fwd_1 IS NOT NULL")
 
 
-_XY = f"{BY_USER}, {_LAB}, x AS (SELECT symbol, trading_date, {FACTORS['ret_1']} AS ret_1, {FACTORS['ma_5']} AS ma_5, row_number() OVER ({W}) > 4 AS warm FROM bars), xf AS (SELECT * FROM x WHERE symbol NOT LIKE '%1'), yl AS (SELECT * FROM lab WHERE symbol NOT LIKE '%2')"
+_XY = f"{BY_USER}, {_LAB}, x AS (SELECT symbol, trading_date, {FACTORS['ret_1']} AS ret_1, {FACTORS['ma_5']} AS ma_5, row_number() OVER ({W}) > 4 AS warm FROM bars), xf AS (SELECT * FROM x WHERE warm), yl AS (SELECT * FROM lab WHERE y IS NOT NULL)"
 
 
 def _out() -> list:
@@ -180,21 +189,20 @@ def _out() -> list:
 
 @query(f"WITH {_XY} SELECT symbol, CAST(trading_date AS varchar) AS trading_date, {rounded_sql('ret_1')} AS ret_1, round(ma_5, 6) AS ma_5, round(y, 6) AS fwd_1 FROM xf JOIN yl USING (symbol, trading_date)")
 def train_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, y = _matrices(spark, sf_dir)
-    return datasets.join(x, y).select(*_out(), rounded("ret_1").alias("ret_1"), rounded("ma_5").alias("ma_5"), F.round("fwd_1", 6).alias("fwd_1"))
+    return datasets.join(*_ready(spark, sf_dir)).select(*_out(), rounded("ret_1").alias("ret_1"), rounded("ma_5").alias("ma_5"), F.round("fwd_1", 6).alias("fwd_1"))
 
 
 @query(f"WITH {_XY} SELECT symbol, CAST(trading_date AS varchar) AS trading_date FROM xf ANTI JOIN yl USING (symbol, trading_date)")
 def train_feature_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return datasets.only_features(*_matrices(spark, sf_dir)).select(*_out())
+    return datasets.only_features(*_ready(spark, sf_dir)).select(*_out())
 
 
 @query(f"WITH {_XY} SELECT symbol, CAST(trading_date AS varchar) AS trading_date FROM yl ANTI JOIN xf USING (symbol, trading_date)")
 def train_label_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return datasets.only_labels(*_matrices(spark, sf_dir)).select(*_out())
+    return datasets.only_labels(*_ready(spark, sf_dir)).select(*_out())
 
 
-@query(f"WITH {_XY} SELECT symbol, CAST(trading_date AS varchar) AS trading_date, round(y, 6) AS fwd_1 FROM xf JOIN yl USING (symbol, trading_date) WHERE warm AND y IS NOT NULL")
+@query(f"WITH {_XY} SELECT symbol, CAST(trading_date AS varchar) AS trading_date, round(y, 6) AS fwd_1 FROM x JOIN lab USING (symbol, trading_date) WHERE warm AND y IS NOT NULL")
 def matrix_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, _ = datasets.filtered(datasets.join(*_matrices(spark, sf_dir)), ["fwd_1"])
     return kept.select(*_out(), F.round("fwd_1", 6).alias("fwd_1"))
@@ -316,45 +324,37 @@ def universe_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of each day are the users with two events on it; the look-back stays in, the crop comes after the windows."""
     bars = by_user(spark, sf_dir)
     first = bars.agg(F.min("trading_date")).first()[0]
+    at = lambda n: datetime.combine(first or date(2024, 1, 1), time()) + timedelta(days=n)
     members = bars.where("volume >= 2").select("trading_date", "symbol")
-    used = bars.join(members.select("symbol").distinct(), "symbol", "left_semi").where(F.col("trading_date") <= F.date_add(F.lit(first), 20))
-    out = factors.run_factors(used, [factors.builtin().get("ret_1")]).where(F.col("trading_date").between(F.date_add(F.lit(first), 10), F.date_add(F.lit(first), 20)))
-    return _day(out.join(members, ["trading_date", "symbol"], "left_semi").select("symbol", "trading_date", rounded("ret_1").alias("ret_1")))
-
-
-@query("WITH items AS (SELECT DISTINCT CAST(ts AS date) AS d FROM events ORDER BY d LIMIT 7) SELECT event_type AS symbol, count(*) AS n, round(sum(value), 4) AS total FROM events JOIN items ON CAST(ts AS date) = d GROUP BY 1")
-def pinned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a pinned set: the first seven days are its items."""
-    ev = table(spark, sf_dir, "events").withColumn("d", F.to_date("ts"))
-    items = ev.select("d").distinct().orderBy("d").limit(7)
-    return ev.join(F.broadcast(items), "d").groupBy(F.col("event_type").alias("symbol")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    out = factors.run_factors(cropped_input(bars, members, (), at(21)), [factors.builtin().get("ret_1")])
+    return _day(cropped_output(out, members, at(10)).select("symbol", "trading_date", rounded("ret_1").alias("ret_1")))
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minute bars of events as curated bars, in the order of event_id: some are repeated, late, or broken."""
+    """Minute bars of events as curated bars; every eight of them change places with the next eight: some are repeated, late, or broken."""
     ev = table(spark, sf_dir, "events")
     minute = F.date_trunc("minute", "ts").cast("timestamp")
     cents = F.round(F.col("value"), 2)
-    return ev.select(F.lit("events").alias("dataset_id"), F.col("event_type").alias("symbol"), F.lit("1m").alias("freq"), F.lit("NONE").alias("adjustment"), F.to_date("ts").alias("trading_date"), minute.alias("bar_start_time"), (minute + F.expr("INTERVAL 1 MINUTE")).alias("bar_end_time"), cents.cast("string").alias("open"), F.when(F.col("user_id") % 7 == 0, F.lit("-1")).otherwise(cents.cast("string")).alias("high"), cents.cast("string").alias("low"), cents.cast("string").alias("close"), F.when(F.col("user_id") % 11 == 0, F.lit("x")).otherwise(F.lit("5")).alias("volume"), F.col("event_id").alias("source_row_id"))
+    return ev.select(F.lit("events").alias("dataset_id"), F.col("event_type").alias("symbol"), F.lit("1m").alias("freq"), F.lit("NONE").alias("adjustment"), F.to_date("ts").alias("trading_date"), minute.alias("bar_start_time"), (minute + F.expr("INTERVAL 1 MINUTE")).alias("bar_end_time"), cents.cast("string").alias("open"), F.when(F.col("user_id") % 7 == 0, F.lit("-1")).otherwise(cents.cast("string")).alias("high"), cents.cast("string").alias("low"), cents.cast("string").alias("close"), F.when(F.col("user_id") % 11 == 0, F.lit("x")).otherwise(F.lit("5")).alias("volume"), F.col("event_id").bitwiseXOR(F.lit(8)).alias("source_row_id"))
 
 
-@query("SELECT event_id AS source_row_id, event_type AS symbol FROM (SELECT *, row_number() OVER (PARTITION BY event_type, date_trunc('minute', ts) ORDER BY event_id) AS n FROM events) WHERE n > 1")
+@query("SELECT xor(event_id, 8) AS source_row_id, event_type AS symbol FROM (SELECT *, row_number() OVER (PARTITION BY event_type, date_trunc('minute', ts) ORDER BY xor(event_id, 8)) AS n FROM events) WHERE n > 1")
 def dup_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.duplicate_bars(_raw(spark, sf_dir)).select("source_row_id", "symbol")
 
 
-@query("SELECT event_id AS source_row_id, event_type AS symbol FROM events WHERE user_id % 7 = 0 AND round(value, 2) > -1")
+@query("SELECT xor(event_id, 8) AS source_row_id, event_type AS symbol FROM events WHERE user_id % 7 = 0 AND round(value, 2) > -1")
 def invalid_ohlc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw(spark, sf_dir).where(~quality.valid_ohlc()).select("source_row_id", "symbol")
 
 
-@query("SELECT event_id AS source_row_id, event_type AS symbol FROM (SELECT *, lag(date_trunc('minute', ts)) OVER (PARTITION BY event_type ORDER BY event_id) AS last FROM events) WHERE date_trunc('minute', ts) < last")
+@query("SELECT xor(event_id, 8) AS source_row_id, event_type AS symbol FROM (SELECT *, lag(date_trunc('minute', ts)) OVER (PARTITION BY event_type ORDER BY xor(event_id, 8)) AS last FROM events) WHERE date_trunc('minute', ts) < last")
 def out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.out_of_order(_raw(spark, sf_dir)).select("source_row_id", "symbol")
 
 
 @query(
-    "WITH m AS (SELECT event_id, event_type, CAST(ts AS date) AS d, date_trunc('minute', ts) AS s FROM events), g AS (SELECT *, epoch(s)::bigint - epoch(lag(s) OVER (PARTITION BY event_type, d ORDER BY s, event_id) + INTERVAL 1 MINUTE)::bigint AS gap FROM m) "
+    "WITH m AS (SELECT event_id, event_type, CAST(ts AS date) AS d, date_trunc('minute', ts) AS s FROM events), g AS (SELECT *, epoch(s)::bigint - epoch(lag(s) OVER (PARTITION BY event_type, d ORDER BY s, xor(event_id, 8)) + INTERVAL 1 MINUTE)::bigint AS gap FROM m) "
     "SELECT event_type AS symbol, CAST(d AS varchar) AS trading_date, count(*) FILTER (WHERE gap < 0) AS overlaps, count(*) FILTER (WHERE gap > 0) AS gaps, CAST(coalesce(sum(greatest(1, gap // 60)) FILTER (WHERE gap > 0), 0) AS bigint) AS missing FROM g WHERE gap <> 0 GROUP BY 1, 2"
 )
 def window_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,8 +363,8 @@ def window_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT code, count(*) AS n FROM (SELECT 'DUPLICATE_BAR' AS code FROM (SELECT row_number() OVER (PARTITION BY event_type, date_trunc('minute', ts) ORDER BY event_id) AS n FROM events) WHERE n > 1 UNION ALL SELECT 'INVALID_OHLC' FROM events WHERE user_id % 7 = 0 AND round(value, 2) > -1 UNION ALL SELECT 'NEGATIVE_VOLUME' FROM events WHERE user_id % 11 = 0 "
-    "UNION ALL SELECT 'OUT_OF_ORDER_BAR' FROM (SELECT date_trunc('minute', ts) AS s, lag(date_trunc('minute', ts)) OVER (PARTITION BY event_type ORDER BY event_id) AS last FROM events) WHERE s < last UNION ALL SELECT CASE WHEN gap < 0 THEN 'OVERLAPPING_BAR_WINDOW' ELSE 'MISSING_BAR_WINDOW' END FROM (SELECT epoch(s)::bigint - epoch(lag(s) OVER (PARTITION BY event_type, d ORDER BY s, event_id) + INTERVAL 1 MINUTE)::bigint AS gap FROM (SELECT event_id, event_type, CAST(ts AS date) AS d, date_trunc('minute', ts) AS s FROM events)) WHERE gap <> 0) GROUP BY 1"
+    "SELECT code, count(*) AS n FROM (SELECT 'DUPLICATE_BAR' AS code FROM (SELECT row_number() OVER (PARTITION BY event_type, date_trunc('minute', ts) ORDER BY xor(event_id, 8)) AS n FROM events) WHERE n > 1 UNION ALL SELECT 'INVALID_OHLC' FROM events WHERE user_id % 7 = 0 AND round(value, 2) > -1 UNION ALL SELECT 'NEGATIVE_VOLUME' FROM events WHERE user_id % 11 = 0 "
+    "UNION ALL SELECT 'OUT_OF_ORDER_BAR' FROM (SELECT date_trunc('minute', ts) AS s, lag(date_trunc('minute', ts)) OVER (PARTITION BY event_type ORDER BY xor(event_id, 8)) AS last FROM events) WHERE s < last UNION ALL SELECT CASE WHEN gap < 0 THEN 'OVERLAPPING_BAR_WINDOW' ELSE 'MISSING_BAR_WINDOW' END FROM (SELECT epoch(s)::bigint - epoch(lag(s) OVER (PARTITION BY event_type, d ORDER BY s, xor(event_id, 8)) + INTERVAL 1 MINUTE)::bigint AS gap FROM (SELECT event_id, event_type, CAST(ts AS date) AS d, date_trunc('minute', ts) AS s FROM events)) WHERE gap <> 0) GROUP BY 1"
 )
 def bar_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.check_bars(_raw(spark, sf_dir)).groupBy("code").agg(F.count("*").alias("n"))
@@ -394,7 +394,7 @@ def _coverage(spark: SparkSession, sf_dir: str, freq: str) -> tuple[coverage.Req
     rows = days.select("calendar_date", opened.alias("o"), F.explode(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("i", "s", "e"), t, strict=True)]) for t in _SESSIONS])).alias("x"))
     raw = rows.select(F.col("calendar_date").cast("string"), F.col("o").cast("string").alias("is_trading_day"), *[F.when(F.col("o"), F.col(f"x.{k}")).otherwise("").alias(n) for k, n in (("i", "session_id"), ("s", "session_start"), ("e", "session_end"))]).distinct()
     calendar = normalize.calendar_days(raw)
-    members = bars.select(F.col("symbol").alias("instrument_id")).distinct().join(days.withColumnRenamed("calendar_date", "trading_date"))
+    members = bars.select(F.col("symbol").alias("instrument_id")).distinct().withColumn("trading_date", F.explode(F.sequence(F.lit(lo), F.lit(hi))))
     kind = F.col("instrument_id").cast("long") % 10
     state = members.select("trading_date", "instrument_id", F.lit("active").alias("market_state"), F.when(kind == 1, "no_bars").when(kind == 2, "custom_intervals").when(kind == 3, "unknown").otherwise("full_session").alias("bar_expectation"), F.when(kind == 2, "10:00-10:10").otherwise("").alias("custom_intervals"))
     request = coverage.Request(lo, hi, freq, timezone=ZONE)
@@ -436,4 +436,7 @@ def coverage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _day(_analysis(spark, sf_dir).metrics.withColumn("coverage_ratio", F.round("coverage_ratio", 6)))
 
 
-del _name, _bars, _cte
+for _name, (_query, _sql) in runs.RUNS.items():
+    query(_sql, _name)(_query)
+
+del _name, _bars, _cte, _query, _sql
