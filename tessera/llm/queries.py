@@ -60,7 +60,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op9_ngram_join"] = """
 WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), p -> array_to_string(w[p : p + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM texts),
+sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p : p + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM texts),
 sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
 shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
 links AS (SELECT u, v FROM shared JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * common >= 80 * (x.n + y.n - common)),
@@ -97,6 +97,23 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+ORACLES["op1_decontamination"] = """
+WITH docs AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark),
+grams AS (SELECT doc_id, p, array_to_string(w[p : p + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS p FROM docs)),
+keys AS (SELECT item_id, n, s, count(*) AS c FROM (SELECT item_id, len(w) AS n, array_to_string(w[p : p + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS p FROM items)) GROUP BY ALL),
+hits AS (SELECT doc_id, item_id, n, p, s, c FROM grams JOIN keys USING (s)),
+pairs AS (SELECT DISTINCT doc_id, item_id, n FROM hits),
+windows AS (SELECT doc_id, item_id, n, a, least(a + n - 1, size) AS z FROM (SELECT p.*, len(d.w) AS size, unnest(range(1, greatest(1, len(d.w) - n + 1) + 1)) AS a FROM pairs p JOIN docs d USING (doc_id))),
+shared AS (SELECT w.doc_id, w.item_id, w.n, w.a, w.z, h.s, least(count(*), max(h.c)) AS k FROM windows w JOIN hits h ON h.doc_id = w.doc_id AND h.item_id = w.item_id AND h.p BETWEEN w.a AND w.z - 4 GROUP BY ALL),
+judged AS (SELECT doc_id, item_id, a, z, sum(k)::bigint AS common, (z - 4 - a + 1) + (n - 4) - sum(k)::bigint AS union_ FROM shared GROUP BY doc_id, item_id, n, a, z),
+short AS (SELECT d.doc_id, i.item_id, 1.0::double AS similarity, min(a) AS a, len(i.w) AS n FROM items i, (SELECT *, unnest(range(1, len(w) + 1)) AS a FROM docs) d WHERE len(i.w) BETWEEN 1 AND 4 AND d.w[a : a + len(i.w) - 1] = i.w GROUP BY ALL)
+SELECT doc_id, item_id, common::double / union_ AS similarity, a - 1 AS first_word, z AS end_word FROM judged WHERE 100 * common >= 80 * union_
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common::double / union_ DESC, a) = 1
+UNION ALL SELECT doc_id, item_id, similarity, a - 1, a - 1 + n FROM short
+"""
+
+
 @_query
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))

@@ -45,7 +45,7 @@ def settle(df: DataFrame) -> DataFrame:
     The shuffles behind df are removed, as nothing needs them from then on.
     """
     spark = df.sparkSession
-    path, was = shared_dir(spark), spark.conf.get(CLEAN)
+    path, was = shared_dir(spark), spark.conf.get(CLEAN, "false")
     spark.conf.set(CLEAN, "true")
     try:
         df.write.parquet(path)
