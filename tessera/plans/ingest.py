@@ -11,7 +11,6 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import canonical_number
 from ..hashing import digest
 from ..operators import quality
 from ..refs import TableRef
@@ -135,19 +134,19 @@ class AssetIngestion:
         if definition.kind == "market_data":
             rows = normalize.bars(files.raw_rows(frame), source, run_id)
             issues = quality.check_partition(rows, {**meta, "dataset_id": source.dataset_id, "freq": source.freq, "adjustment": source.adjustment, **definition.content})
-            canonical = rows.withColumns({c: canonical_number(F.col(c)) for c in (*PRICES, "volume", "turnover")})  # 10, 10.0 and 1e1 are one price
+            numbers = [*PRICES, "volume", "turnover"]  # 10, 10.0 and 1e1 are one price
             hashed = [c for c in rows.columns if c not in ("source_run_id", "raw_ref", "source", "market_data_partition_id", "source_row_id")]
         else:
             make, check, column = _ASSETS[definition.kind]
             rows = make(frame, mapping)
             rows = rows.where(F.col(column) == F.lit(day)) if meta.pop("only_day", False) else rows
-            issues, hashed, canonical = check(rows, meta), None, None
+            issues, hashed, numbers = check(rows, meta), None, None
         config = {"fingerprint": print_, "definition_hash": d_hash}
         n = issues.count()
         if n:
             self.store.fail(f"{definition.kind}_import", run_id, config, issues, "QUALITY_FAILED", f"{n} issues")
             return Result(run_id, str(RunStatus.FAILED), None, False, n)
-        part = self.store.put_partition(definition.kind, definition.definition_id, definition.version, str(day), rows, d_hash, hashed, canonical, known_at=str(meta.get("known_at")), source_data_cutoff=str(meta.get("source_data_cutoff")))
+        part = self.store.put_partition(definition.kind, definition.definition_id, definition.version, str(day), rows, d_hash, hashed, numbers, known_at=str(meta.get("known_at")), source_data_cutoff=str(meta.get("source_data_cutoff")))
         ref = f"{definition.kind}/{part['run_id']}"
         self.store.put_manifest(f"{definition.kind}_import", run_id, {"status": str(RunStatus.COMMITTED), "fingerprint": print_, "partition_id": part["run_id"], "ref": ref, "finished_at": _now()})
         return Result(run_id, str(RunStatus.COMMITTED), ref, part["reused"], 0, {"partition_id": part["run_id"]})

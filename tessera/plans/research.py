@@ -283,16 +283,16 @@ def training_matrix(store: Store, snapshot_ref: str, label_ref: str, feature_fie
     return datasets.join(x, datasets.label_matrix(store.read("labels", [y["run_id"]]), label_fields))
 
 
-def materialize(store: Store, dataset_id: str, matrix: DataFrame, label_fields: list[str], path: str, drop_cold: bool = True, drop_null_labels: bool = True) -> dict:
+def materialize(store: Store, dataset_id: str, matrix: DataFrame, label_fields: list[str], path: str, drop_cold: bool = True, drop_null_labels: bool = True, inputs: dict | None = None) -> dict:
     """A sorted, filtered matrix as zstd Parquet that is never overwritten, with the hashes of its definition, rows, schema and bytes.
 
     It is written under a temporary name and published by a rename; its name has the rows' hash. The same definition and content is
-    reused after its rows have been checked against the stored hash.
+    reused after its rows have been checked against the stored hash. inputs: what the matrix was made of (see training_manifest), part of the definition.
     """
     if not dataset_id or "/" in dataset_id or dataset_id.startswith("."):
         raise CodedError("INVALID_DATASET_ID", dataset_id)
     kept, dropped = datasets.filtered(matrix, label_fields, drop_cold, drop_null_labels)
-    definition = {"columns": matrix.columns, "labels": sorted(label_fields), "drop_cold": drop_cold, "drop_null_labels": drop_null_labels}
+    definition = {"columns": matrix.columns, "labels": sorted(label_fields), "drop_cold": drop_cold, "drop_null_labels": drop_null_labels, "inputs": inputs or {}}
     hashes = {"definition_hash": digest(definition), "content_hash": content_hash(kept), "schema_hash": digest([list(x) for x in kept.dtypes])}
     old = store.manifest("dataset", dataset_id)
     if old is not None:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions import canonical_number
 from .hashing import canonical_json, content_hash, digest
 from .refs import TableRef
 from .types import CodedError, RunStatus
@@ -195,19 +196,20 @@ class Store:
             self.put_manifest(f"{kind}_definition", name, {"content": content, "hash": new})
         return new
 
-    def put_partition(self, kind: str, definition_id: str, version: str, day: str, rows: DataFrame, definition_hash: str, columns: list[str] | None = None, hashed: DataFrame | None = None, **more: Any) -> dict:
+    def put_partition(self, kind: str, definition_id: str, version: str, day: str, rows: DataFrame, definition_hash: str, columns: list[str] | None = None, numbers: list[str] | None = None, **more: Any) -> dict:
         """A day's rows, once: the same content is reused, other content is a conflict. The id comes from the content.
 
-        hashed: the rows in the form that counts, if that is not how they are written.
+        columns: those that count (all, if none are named); numbers: those whose texts count as numbers, however they are written.
         """
-        content = content_hash(rows if hashed is None else hashed, columns)
+        columns, numbers = columns or rows.columns, numbers or []
+        content = _rows_hash(rows, columns, numbers)
         if m := self.partition(kind, definition_id, version, day):
             if m["content_hash"] == content and m["definition_hash"] == definition_hash:
                 return m | {"reused": True}
             raise CodedError("IMMUTABLE_PARTITION_CONFLICT", f"{definition_id} {day}")
         pid = digest([kind, definition_id, version, day, content, definition_hash])[:32]
         folder = self.write(_PINNED[kind], pid, rows.withColumn("market_data_partition_id", F.lit(pid)) if kind == "market_data" else rows)
-        self.put_manifest(kind, pid, {"status": str(RunStatus.COMMITTED), "definition_id": definition_id, "version": version, "day": day, "content_hash": content, "definition_hash": definition_hash, "folders": {_PINNED[kind]: folder}, **more})
+        self.put_manifest(kind, pid, {"status": str(RunStatus.COMMITTED), "definition_id": definition_id, "version": version, "day": day, "content_hash": content, "definition_hash": definition_hash, "columns": columns, "numbers": numbers, "folders": {_PINNED[kind]: folder}, **more})
         self._write_json(f"{self._listing(kind, definition_id, version)}/{day}.json", {"partition_id": pid})
         return self.manifest(kind, pid) | {"reused": False}
 
@@ -266,6 +268,14 @@ class Store:
                     raise CodedError("PARTITION_HASH_MISMATCH", i["partition_id"])
         return m
 
+    def verify_rows(self, kind: str, set_id: str) -> None:
+        """Hashes the stored rows of a set's partitions anew, each against its manifest."""
+        m, parts = self.snapshot_set(kind, set_id)
+        for part in parts:
+            rows = self.spark.read.parquet(f"{self.root}/{part['folders'][_PINNED[kind]]}")
+            if _rows_hash(rows, part["columns"], part["numbers"]) != part["content_hash"]:
+                raise CodedError("PARTITION_CONTENT_MISMATCH", part["run_id"])
+
     def about(self, ref: str) -> dict:
         """What the definition behind a pinned set says, with its id, version and hash."""
         parsed = TableRef.parse(ref)
@@ -275,6 +285,10 @@ class Store:
         return definition["content"] | {"definition_id": m["definition_id"], "version": m["version"], "definition_hash": m["definition_hash"]}
 
 
+def _rows_hash(rows: DataFrame, columns: list[str], numbers: list[str]) -> str:
+    return content_hash(rows.withColumns({c: canonical_number(F.col(c)) for c in numbers}) if numbers else rows, columns)
+
+
 #: The manifests that each table's rows belong to, and the tables of pinned assets.
 _KIND = {"bars": "import", "market_data_bars": "market_data", "universe_members": "universe", "calendar_days": "calendar", "daily_statuses": "daily_status", "features": "feature", "snapshots": "feature", "labels": "label", "evaluation_metrics": "evaluation", "coverage_metrics": "coverage", "coverage_issues": "coverage", "fills": "backtest", "positions": "backtest", "nav": "backtest", "backtest_metrics": "backtest"}
 _PINNED = {"market_data": "market_data_bars", "bars": "market_data_bars", "universe": "universe_members", "calendar": "calendar_days", "daily_status": "daily_statuses"}

@@ -280,6 +280,9 @@ def test_lookups(store, tmp_path):
     pin = store.pin("universe", "universe-1", "v1", ["2026-01-01", "2026-01-02"])
     m, parts = store.snapshot_set("universe", pin["run_id"])
     assert len(parts) == 2 and m["definition_hash"] == store.definition("universe", "universe-1", "v1")["hash"]
+    store.verify_rows("universe", pin["run_id"])
+    store.put_manifest("universe", parts[1]["run_id"], parts[1] | {"folders": parts[0]["folders"]})
+    assert code(lambda: store.verify_rows("universe", pin["run_id"])) == "PARTITION_CONTENT_MISMATCH"
     store.put_manifest("universe", parts[0]["run_id"], parts[0] | {"day": "2026-01-05"})
     assert code(lambda: store.pinned("universe", pin["run_id"])) == "PARTITION_IDENTITY_MISMATCH"
 
