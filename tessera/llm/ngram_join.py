@@ -301,16 +301,49 @@ def least_shared(n, m):
     return F.greatest(F.lit(1), F.ceil((n + m) * PERCENT / (100.0 + PERCENT)) - F.greatest(behind(n), behind(m))).cast("long")
 
 
-def candidates(left: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """a < b of different components that share enough list keys, and a settled table behind them; left: k, node, n, comp.
+def links_of(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which sets link with a set; all sorted."""
+    out = np.zeros(len(others), bool)
+    lo = 0
+    while lo < len(others):
+        hi, size = lo, 0
+        while hi < len(others) and (hi == lo or size + len(others[hi]) <= GATHER):
+            size += len(others[hi])
+            hi += 1
+        flat, sizes = np.concatenate(others[lo:hi]), np.array([len(x) for x in others[lo:hi]])
+        both = np.add.reduceat(own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat, np.cumsum(sizes) - sizes).astype(np.int64)
+        out[lo:hi] = 100 * both >= PERCENT * (len(own) + sizes - both)
+        lo = hi
+    return out
+
+
+def whole_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, set: the sets of the documents that nodes names."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in X.texts(b.column(1)):
+                sets = shingle_sets(t)
+                ends = np.cumsum([0, *map(len, sets)])
+                flat = np.concatenate(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(t.first, len(t)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["node", "set"])
+
+    few = nodes.select(F.col("node").alias("_node")).distinct()
+    return docs.join(few, F.col("doc_id") == F.col("_node"), "left_semi").select("doc_id", "text").mapInArrow(make, "node long, set array<long>")
+
+
+def candidates(docs: DataFrame, left: DataFrame, most: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Pairs a < b of different components: those that share keys of short lists, and may link; those of long lists, which do link;
+    and the settled tables behind them. left: k, node, n, comp.
 
     Keys of lists up to LIGHT documents are joined, and counted for each pair, beside the most keys of long lists that
-    it could share. Pairs that share keys of long lists alone are counted for two blocks of a list at once,
-    by a product of matrices, and leave a list only if they pass and it is the first that they share.
+    it could share. The documents of a long list are dealt, with their whole sets, in blocks of bounded size; two blocks meet in a task, which
+    counts the keys that pairs share by a product of matrices and holds the sets of those that may link against each other. So a pair is a row
+    only if it links, and in the first list alone that it shares.
     """
-    sizes = left.groupBy("k").agg(F.count("*").alias("m"))
+    sizes = left.groupBy("k").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     sized = settle(left.join(sizes, "k"))
-    light, heavy = sized.where(F.col("m") <= LIGHT).drop("m"), sized.where(F.col("m") > LIGHT)
+    light, heavy = sized.where(F.col("m") <= LIGHT).drop("m", "total"), sized.where(F.col("m") > LIGHT)
     own = heavy.groupBy("node").agg(F.array_sort(F.collect_list("k")).alias("keys"))
     held = light.join(own.select(F.col("node").alias("_o"), F.size("keys").alias("h")), F.col("node") == F.col("_o"), "left").drop("_o").fillna(0, ["h"])
     x, y = (held.select(*[F.col(c).alias(f"{c}_{s}" if c != "k" else c) for c in held.columns]) for s in "xy")
@@ -323,25 +356,25 @@ def candidates(left: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
         return need(n) - share(n)
 
     def meet(table: pa.Table) -> pa.Table:
-        """Pairs of one document of block i and one of block j that pass and share this list first."""
+        """Links of one document of block i and one of block j that share this list first."""
         node, n, comp, block = (table.column(c).to_numpy() for c in ("node", "n", "comp", "block"))
         key, i, j = (table.column(c)[0].as_py() for c in ("k", "i", "j"))
-        lists = table.column("keys").combine_chunks()
+        lists, whole = table.column("keys").combine_chunks(), table.column("set").combine_chunks()
         words, at, times = np.unique(lists.values.to_numpy(), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(node), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
         shared = np.flatnonzero(times > 1)  # keys of one document add nothing; the others are taken in order, some at a time
         place = np.full(len(words), -1, np.int32)
         place[shared] = np.arange(len(shared), dtype=np.int32)
         first = int(place[np.searchsorted(words, key)])
-        if first < 0:  # one document alone
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        out = [np.zeros((2, 0), np.int64)]
         at = place[at]
         row, at = row[at >= 0], at[at >= 0]
         order = np.argsort(at, kind="stable")
         row, at = row[order], at[order]
         left_rows, right_rows = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out = [np.zeros((2, 0), np.int64)]
-        for lo in range(0, len(left_rows), ROWS):
+        flat, ends = whole.values.to_numpy().view(np.uint64), whole.offsets.to_numpy()
+        sets = [flat[a:b] for a, b in itertools.pairwise(ends)]
+        for lo in range(0, len(left_rows) if first >= 0 else 0, ROWS):
             x = left_rows[lo : lo + ROWS]
             for hi in range(0, len(right_rows), ROWS):
                 y = right_rows[hi : hi + ROWS]
@@ -358,17 +391,19 @@ def candidates(left: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
                 good = np.not_equal.outer(comp[x], comp[y]) & (low * 100 >= PERCENT * high) & ((total >= least) | (low <= most)) & (before == 0)
                 if i == j:
                     good &= np.less.outer(node[x], node[y])
-                a, b = np.nonzero(good)
-                out.append(np.stack([np.minimum(node[x][a], node[y][b]), np.maximum(node[x][a], node[y][b])]))
+                for r in np.flatnonzero(good.any(axis=1)):
+                    some = y[good[r]]
+                    some = some[links_of(sets[x[r]], [sets[k] for k in some])]
+                    out.append(np.stack([np.minimum(node[x[r]], node[some]), np.maximum(node[x[r]], node[some])]))
         a, b = np.concatenate(out, axis=1)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    # a list's documents are dealt in blocks, and every two blocks meet in a task of their own
-    parts = F.ceil(F.col("m") / ROWS).cast("int")
-    dealt = heavy.join(own, "node").withColumn("block", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    sets = settle(whole_sets(docs, heavy))
+    parts = F.ceil(F.greatest(F.col("m") / ROWS, F.col("total") / GATHER)).cast("int")
+    dealt = heavy.join(own, "node").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), parts).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("k", "node", "n", "comp", "keys", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return pairs.union(dealt.groupBy("k", "i", "j").applyInArrow(meet, "a long, b long")).distinct(), sized
+    dealt = dealt.select("k", "node", "n", "comp", "keys", "set", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return pairs, settle(dealt.groupBy("k", "i", "j").applyInArrow(meet, "a long, b long")), [sized, sets]
 
 
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -404,12 +439,11 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     mixed = placed.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("k")
     left = settle(placed.join(mixed, "k"))
     discard(listed, member, comp, first)
-    cross, sized = candidates(left, most)
-    again = verify(docs, cross)
-    discard(left, sized)
-    every = settle(links.union(again.select("b", "a")))
+    maybe, linked, behind = candidates(docs, left, most)
+    again = verify(docs, maybe)
+    every = settle(links.union(again.union(linked).select("b", "a")))
     comp = components(every)
-    discard(links, again, every)
+    discard(left, *behind, links, linked, again, every)
     return own.select("doc_id", F.col("n").alias("n_shingles")).join(comp, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -184,9 +184,27 @@ def test_a_long_list_of_documents_that_do_not_link(spark, monkeypatch):
     """All share one key, and two of each four documents the other keys that a link takes."""
     monkeypatch.setattr(ngram_join, "LIGHT", 1)
     monkeypatch.setattr(ngram_join, "ROWS", 32)
-    rows = [(0, i, 20, i) for i in range(400)] + [(1 + 3 * (i // 4) + k, i, 20, i) for i in range(400) if i % 4 < 2 for k in range(3)]
-    pairs, _ = ngram_join.candidates(spark.createDataFrame(rows, "k long, node long, n long, comp long"), 0)
-    assert sorted(map(tuple, pairs.collect())) == [(i, i + 1) for i in range(0, 400, 4)]
+    n = 24
+    texts = []
+    for i in range(400):  # of each four documents two are the same but for their last word; all begin alike
+        pair = [f"p{i // 4}x{k}" for k in range(n + 4 - 8)] if i % 4 < 2 else [f"q{i}x{k}" for k in range(n + 4 - 8)]
+        texts.append(" ".join(["all", "begin", "with", "these", "few", "words", *pair, f"z{i}", "end"]))
+    sets = {i: linked([(i, t)])[i][0] for i, t in enumerate(texts)}
+    assert set(sets.values()) == {n}
+    rows = [(0, i, n, i) for i in range(400)] + [(1 + 9 * (i // 4) + k, i, n, i) for i in range(400) if i % 4 < 2 for k in range(9)] + [(-1 - k, i, n, i) for i in range(400) for k in range(5)]
+    maybe, links, _ = ngram_join.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(rows, "k long, node long, n long, comp long"), 0)
+    assert maybe.count() == 0 and sorted(map(tuple, links.collect())) == [(i, i + 1) for i in range(0, 400, 4)]
+
+
+def test_links_of_sets(monkeypatch):
+    r = random.Random(3)
+    np = __import__("numpy")
+    make = lambda: np.array(sorted(r.sample(range(30), r.randrange(1, 25))), np.uint64)
+    for gather in (1, 40, 10_000):
+        monkeypatch.setattr(ngram_join, "GATHER", gather)
+        own, others = make(), [make() for _ in range(50)] + [np.arange(30, dtype=np.uint64)]
+        want = [100 * len(set(own) & set(x)) >= 80 * len(set(own) | set(x)) for x in others]
+        assert ngram_join.links_of(own, others).tolist() == want
 
 
 def test_boundary_by_cost():
