@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .spread import at_most, buckets, by_bucket, pack, settle, small, unpack
+from .spread import at_most, buckets, by_bucket, discard, pack, settle, small, unpack
 
 FREQUENT = 32_000
 CONTEXTS = FREQUENT + 1
@@ -246,7 +246,7 @@ def _blocks(v: np.ndarray) -> pa.RecordBatch:
 def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
-    n_buckets = buckets(docs)
+    n_buckets = 2 * buckets(docs, 64 << 20)  # a task holds one of them
     fold = F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("d"), F.coalesce(fold != HELD, F.lit(True)).alias("train"), F.col(text).alias("x"))
 
@@ -277,6 +277,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     counts = settle(rows.mapInArrow(singles, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     v, total = (int(x or 0) for x in counts.agg(F.count("*"), F.sum("n")).first())
     frequent, frequent_n = at_most(counts, "h", "n", FREQUENT)
+    discard(counts)
     shared = sc.broadcast((frequent, frequent_n))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,11 +431,12 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     d, d1 = share(*map(int, first[-4:-2])), share(*map(int, first[-2:]))
     customers, tables = first[:CONTEXTS].astype(float), first[CONTEXTS : 2 * CONTEXTS].astype(float)
     word_customers, top, others = first[2 * CONTEXTS : 2 * CONTEXTS + FREQUENT], float(v), float(first[-5])
-    asks = state.mapInArrow(ask, "home int, bucket int, packed binary")
+    asks = settle(state.mapInArrow(ask, "home int, bucket int, packed binary"))
+    apart = []
     known, extra, has_hard = asks.withColumn("kind", F.lit(0)), None, bool(first[-6])
     if has_hard:
-        hard = settle(state.mapInArrow(set_apart, "bucket int, kind int, packed binary"))
-        hard = hard.union(settle(asks.groupBy("home").applyInArrow(least, "bucket int, kind int, packed binary")))
+        apart = [settle(state.mapInArrow(set_apart, "bucket int, kind int, packed binary")), settle(asks.groupBy("home").applyInArrow(least, "bucket int, kind int, packed binary"))]
+        hard = apart[0].union(apart[1])
 
     def seated(out: np.ndarray, m: Model, groups: tuple, ids: np.ndarray, rest: np.ndarray) -> np.ndarray:
         """Tables of these groups, which are added to the sums in out."""
@@ -510,6 +512,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(w[at[hot]].view(np.int64)), pa.array(ctx[hot].astype(np.int64)), pa.array(n[hot].astype(np.int64))], ["w", "ctx", "n"])
 
     hot = state.mapInArrow(most, "w long, ctx long, n long").toArrow()
+    discard(state, *apart)  # scoring counts anew, beside the tokens
     hot_w, hot_ctx, hot_n = (hot[c].to_numpy() for c in ("w", "ctx", "n"))
     hot_w = hot_w.view(np.uint64)
     hot_key = X.mix(hot_w + (hot_ctx.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
