@@ -337,9 +337,9 @@ def candidates(docs: DataFrame, left: DataFrame, most: int) -> tuple[DataFrame,
     and the settled tables behind them. left: k, node, n, comp.
 
     Keys of lists up to LIGHT documents are joined, and counted for each pair, beside the most keys of long lists that
-    it could share. The documents of a long list are dealt, with their whole sets, in blocks of bounded size; two blocks meet in a task, which
-    counts the keys that pairs share by a product of matrices and holds the sets of those that may link against each other. So a pair is a row
-    only if it links, and in the first list alone that it shares.
+    it could share. The documents of a long list are dealt in blocks of bounded size; two blocks meet in a task, which
+    counts the keys that pairs share by a product of matrices and names, in one row for each document, the others that it may link with and shares
+    this list with first. Only documents named there are dealt again, with their whole sets, and held against each other. So a pair is a row only if it links.
     """
     sizes = left.groupBy("k").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     sized = settle(left.join(sizes, "k"))
@@ -356,24 +356,22 @@ def candidates(docs: DataFrame, left: DataFrame, most: int) -> tuple[DataFrame,
         return need(n) - share(n)
 
     def meet(table: pa.Table) -> pa.Table:
-        """Links of one document of block i and one of block j that share this list first."""
+        """For documents of block i, those of block j that they may link with and share this list with first (others); and those alone."""
         node, n, comp, block = (table.column(c).to_numpy() for c in ("node", "n", "comp", "block"))
         key, i, j = (table.column(c)[0].as_py() for c in ("k", "i", "j"))
-        lists, whole = table.column("keys").combine_chunks(), table.column("set").combine_chunks()
+        lists = table.column("keys").combine_chunks()
         words, at, times = np.unique(lists.values.to_numpy(), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(node), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
         shared = np.flatnonzero(times > 1)  # keys of one document add nothing; the others are taken in order, some at a time
         place = np.full(len(words), -1, np.int32)
         place[shared] = np.arange(len(shared), dtype=np.int32)
         first = int(place[np.searchsorted(words, key)])
-        out = [np.zeros((2, 0), np.int64)]
+        names, others = [], []
         at = place[at]
         row, at = row[at >= 0], at[at >= 0]
         order = np.argsort(at, kind="stable")
         row, at = row[order], at[order]
         left_rows, right_rows = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        flat, ends = whole.values.to_numpy().view(np.uint64), whole.offsets.to_numpy()
-        sets = [flat[a:b] for a, b in itertools.pairwise(ends)]
         for lo in range(0, len(left_rows) if first >= 0 else 0, ROWS):
             x = left_rows[lo : lo + ROWS]
             for hi in range(0, len(right_rows), ROWS):
@@ -392,18 +390,36 @@ def candidates(docs: DataFrame, left: DataFrame, most: int) -> tuple[DataFrame,
                 if i == j:
                     good &= np.less.outer(node[x], node[y])
                 for r in np.flatnonzero(good.any(axis=1)):
-                    some = y[good[r]]
-                    some = some[links_of(sets[x[r]], [sets[k] for k in some])]
-                    out.append(np.stack([np.minimum(node[x[r]], node[some]), np.maximum(node[x[r]], node[some])]))
-        a, b = np.concatenate(out, axis=1)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                    names.append(node[x[r]])
+                    others.append(node[y[good[r]]])
+        partners = np.unique(np.concatenate(others)) if others else np.zeros(0, np.int64)
+        rows = len(names) + len(partners)
+        return pa.table([pa.array([key] * rows, pa.int64()), pa.array([i] * rows, pa.int32()), pa.array([j] * rows, pa.int32()), pa.array(np.concatenate([np.array(names, np.int64), partners])), pa.array(others + [None] * len(partners), pa.list_(pa.int64()))], names=["k", "i", "j", "node", "others"])
+
+    def judge(table: pa.Table) -> pa.Table:
+        """The pairs that meet() named and that link."""
+        whole = table.column("set").combine_chunks()
+        flat, ends = whole.values.to_numpy().view(np.uint64), whole.offsets.to_numpy()
+        sets: dict[int, list[np.ndarray]] = {}  # rows that share a doc_id each have a set
+        for name, a, b in zip(table.column("node").to_pylist(), ends[:-1], ends[1:], strict=True):
+            if not any(np.array_equal(flat[a:b], x) for x in sets.setdefault(name, [])):
+                sets[name].append(flat[a:b])
+        out = set()
+        for name, others in zip(table.column("node").to_pylist(), table.column("others").to_pylist(), strict=True):
+            own = [(k, x) for k in others or [] for x in sets.get(k, [])]
+            for x in sets[name] if own else []:
+                out.update((min(name, k), max(name, k)) for (k, _), hit in zip(own, links_of(x, [s for _, s in own]), strict=True) if hit)
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    sets = settle(whole_sets(docs, heavy))
     parts = F.ceil(F.greatest(F.col("m") / ROWS, F.col("total") / GATHER)).cast("int")
-    dealt = heavy.join(own, "node").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    dealt = heavy.join(own, "node").withColumn("block", F.pmod(F.xxhash64("node"), parts).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("k", "node", "n", "comp", "keys", "set", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return pairs, settle(dealt.groupBy("k", "i", "j").applyInArrow(meet, "a long, b long")), [sized, sets]
+    dealt = dealt.select("k", "node", "n", "comp", "keys", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    named = settle(dealt.groupBy("k", "i", "j").applyInArrow(meet, "k long, i int, j int, node long, others array<long>"))
+    sets = settle(whole_sets(docs, named))
+    links = settle(named.join(sets, "node").groupBy("k", "i", "j").applyInArrow(judge, "a long, b long"))
+    discard(named, sets)
+    return pairs, links, [sized]
 
 
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
