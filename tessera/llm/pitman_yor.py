@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .spread import at_most, buckets, by_bucket, discard, pack, settle, small, unpack
+from .spread import at_most, buckets, by_bucket, discard, pack, settle, small, squeeze, unpack, unsqueeze
 
 FREQUENT = 32_000
 CONTEXTS = FREQUENT + 1
@@ -301,7 +301,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
             for i in np.flatnonzero(np.diff(ptr) + np.diff(asked_ptr)):
                 k = order[ptr[i] : ptr[i + 1]]
                 w, start = firsts(tok[k])
-                out.append((int(i), pack(w, small(np.diff(np.append(start, len(k)))), *narrow(ctx[k]), small(n[k]), np.unique(asked[asked_order[asked_ptr[i] : asked_ptr[i + 1]]]))))
+                out.append((int(i), squeeze(pack(w, small(np.diff(np.append(start, len(k)))), *narrow(ctx[k]), small(n[k]), np.unique(asked[asked_order[asked_ptr[i] : asked_ptr[i + 1]]])))))
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "packed"])
 
     def firsts(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -315,7 +315,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     def gather(group: pa.Table) -> pa.Table:
         ws, cs, ns, asked = [], [], [], []
         for x in group.column("packed"):
-            w, k, code, rare, n, a = unpack(x.as_buffer())
+            w, k, code, rare, n, a = unsqueeze(x.as_buffer())
             ctx = code.astype(np.uint64)
             ctx[code == CONTEXTS] = rare
             ws.append(np.repeat(w, k))
@@ -331,13 +331,13 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
         at = np.flatnonzero(new)
         n, w, ctx = np.add.reduceat(n, at) if len(at) else n, w[at], ctx[at]
         first_w, start = firsts(w)
-        packed = pack(first_w, small(np.diff(np.append(start, len(w)))), *placed(*narrow(ctx), ids), small(n), ids)
+        packed = squeeze(pack(first_w, small(np.diff(np.append(start, len(w)))), *placed(*narrow(ctx), ids), small(n), ids))
         return pa.table({"bucket": group.column("bucket")[:1], "packed": pa.array([packed], pa.binary())})
 
     state = settle(rows.mapInArrow(deal, "bucket int, packed binary").groupBy("bucket").applyInArrow(gather, "bucket int, packed binary"))
 
     def opened(packed) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
-        w, k, code, place, n, ids = unpack(packed.as_buffer())
+        w, k, code, place, n, ids = unsqueeze(packed.as_buffer())
         ptr, ctx = np.concatenate([[0], np.cumsum(k, dtype=np.int64)]), code.astype(np.int32)
         ctx[code == CONTEXTS] += place.astype(np.int32)
         return (w, _index(w, shared.value[0]), ptr, ctx, n.astype(np.int32)), ids
@@ -424,7 +424,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
                     w, _, ptr, ctx, n = _part(hard, *groups)
                     rare = ctx >= CONTEXTS
                     kept, place = np.unique(ctx[rare], return_inverse=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket.as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([pack(w, small(np.diff(ptr)), np.minimum(ctx, CONTEXTS).astype(np.uint16), small(place), small(n), ids[kept - CONTEXTS])], pa.binary())], ["bucket", "kind", "packed"])
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket.as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([squeeze(pack(w, small(np.diff(ptr)), np.minimum(ctx, CONTEXTS).astype(np.uint16), small(place), small(n), ids[kept - CONTEXTS]))], pa.binary())], ["bucket", "kind", "packed"])
 
     first = _sums(state.mapInArrow(start, "block int, packed binary"), slots)
     share = lambda a, b: min(0.95, max(0.1, a / (a + 2 * b))) if a else 0.5
@@ -548,7 +548,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
                 k = order[ptr[i] : ptr[i + 1]]
                 at = np.flatnonzero(np.append(True, tok[k][1:] != tok[k][:-1]))
                 who, local = np.unique(doc[k], return_inverse=True)
-                out.append((int(i), 0, pack(tok[k][at], small(np.diff(np.append(at, len(k)))), *narrow(ctx[k]), small(who), np.packbits(train[who]), small(local))))
+                out.append((int(i), 0, squeeze(pack(tok[k][at], small(np.diff(np.append(at, len(k)))), *narrow(ctx[k]), small(who), np.packbits(train[who]), small(local)))))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([lot] * len(out), pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "kind", "lot", "packed"])
 
     def rate(group: pa.Table) -> pa.Table:
@@ -563,7 +563,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
         ids, customers, tables = ids[order], customers[order], [x[order] for x in tables]
         ws, cs, ds, ts, names, docs_upto = [], [], [], [], [], [0]
         for x in group.column("packed"):
-            w, k, code, rare, who, train, at = unpack(x.as_buffer())
+            w, k, code, rare, who, train, at = unsqueeze(x.as_buffer())
             ws.append(np.repeat(w, k))
             cs.append(local(code, rare, ids))
             ds.append(at.astype(np.int32) + np.int32(docs_upto[-1]))

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +85,16 @@ def unpack(data) -> list[np.ndarray]:
     return out
 
 
+def squeeze(data: bytes) -> bytes:
+    """Packed arrays, compressed for an exchange or a table that is large."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unsqueeze(data) -> list[np.ndarray]:
+    data = memoryview(data)
+    return unpack(pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd"))
+
+
 def small(a: np.ndarray) -> np.ndarray:
     """Non-negative whole numbers in the narrowest type that holds them."""
     most = int(a.max()) if len(a) else 0
