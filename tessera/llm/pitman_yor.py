@@ -49,6 +49,8 @@ BURN, SAMPLES = 1, 3
 HOT = 8
 STRENGTH = 4.0
 GATHER = 1_000_000
+#: Tokens of a bucket that are scored together.
+SLICE = 500_000
 END = np.uint64(0x6A09E667F3BCC909)
 LAST = 2**63 - 1
 FOLDS, HELD = 7, 2
@@ -246,7 +248,7 @@ def _blocks(v: np.ndarray) -> pa.RecordBatch:
 def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
-    n_buckets = 2 * buckets(docs, 64 << 20)  # a task holds one of them
+    n_buckets = buckets(docs, 64 << 20)
     fold = F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("d"), F.coalesce(fold != HELD, F.lit(True)).alias("train"), F.col(text).alias("x"))
 
@@ -551,30 +553,11 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
                 out.append((int(i), 0, squeeze(pack(tok[k][at], small(np.diff(np.append(at, len(k)))), *narrow(ctx[k]), small(who), np.packbits(train[who]), small(local)))))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([lot] * len(out), pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "kind", "lot", "packed"])
 
-    def rate(group: pa.Table) -> pa.Table:
+    def add_rates(cols: list, w: np.ndarray, ctx: np.ndarray, doc: np.ndarray, train: np.ndarray, ids: np.ndarray, customers: np.ndarray, tables: list) -> None:
+        """Adds all tokens of some words to their documents' numbers of tokens and of known ones, and sums of logarithms."""
         frequent, frequent_n = shared.value
-        back = group.filter(pc.equal(group.column("kind"), 1)).select(["lot", "kind", "packed"])
-        totals = [unpack(x.as_buffer()) for x in group.filter(pc.equal(group.column("kind"), 2)).column("packed")]
-        group = group.filter(pc.equal(group.column("kind"), 0))
-        if not group.num_rows:
-            return back
-        ids, customers, *tables = (np.concatenate(x) for x in zip(*totals, strict=True)) if totals else [np.zeros(0, np.uint64)] * (2 + SAMPLES)
-        order = np.argsort(ids)
-        ids, customers, tables = ids[order], customers[order], [x[order] for x in tables]
-        ws, cs, ds, ts, names, docs_upto = [], [], [], [], [], [0]
-        for x in group.column("packed"):
-            w, k, code, rare, who, train, at = unsqueeze(x.as_buffer())
-            ws.append(np.repeat(w, k))
-            cs.append(local(code, rare, ids))
-            ds.append(at.astype(np.int32) + np.int32(docs_upto[-1]))
-            ts.append(np.unpackbits(train, count=len(who)).astype(bool)[at])
-            names.append(who)
-            docs_upto.append(docs_upto[-1] + len(who))
-        w, ctx, doc, train = (np.concatenate(x) for x in (ws, cs, ds, ts))
-        del ws, cs, ds, ts
         order = np.lexsort((ctx, w))
         w, ctx, doc, train = w[order], ctx[order], doc[order], train[order]
-        del order
         new_w = np.ones(len(w), bool)
         new_w[1:] = w[1:] != w[:-1]
         new = new_w.copy()
@@ -592,9 +575,40 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
         n = np.add.reduceat(c, ptr[:-1])
         n = np.where(own >= 0, frequent_n[np.maximum(own, 0)], n) if len(frequent) else n
         each = n[of]
-        add = lambda x: np.bincount(doc, weights=x, minlength=docs_upto[-1])
-        cols = [np.bincount(doc, minlength=docs_upto[-1]), add((each > 0)[kind]).astype(np.int64), add(np.log10(each + 1.0)[kind]), add(np.log10(mean / len(chain.value))[kind]).astype(np.float32)]
-        packed = [pack(who, small(cols[0][a:b]), small(cols[1][a:b]), cols[2][a:b], cols[3][a:b]) for who, a, b in zip(names, docs_upto[:-1], docs_upto[1:], strict=True)]
+        for total_, x in zip(cols, (None, (each > 0)[kind], np.log10(each + 1.0)[kind], np.log10(mean / len(chain.value))[kind]), strict=True):
+            total_ += np.bincount(doc, weights=x, minlength=len(total_)).astype(total_.dtype)
+
+    def rate(group: pa.Table) -> pa.Table:
+        back = group.filter(pc.equal(group.column("kind"), 1)).select(["lot", "kind", "packed"])
+        totals = [unpack(x.as_buffer()) for x in group.filter(pc.equal(group.column("kind"), 2)).column("packed")]
+        group = group.filter(pc.equal(group.column("kind"), 0))
+        if not group.num_rows:
+            return back
+        ids, customers, *tables = (np.concatenate(x) for x in zip(*totals, strict=True)) if totals else [np.zeros(0, np.uint64)] * (2 + SAMPLES)
+        order = np.argsort(ids)
+        ids, customers, tables = ids[order], customers[order], [x[order] for x in tables]
+        packets = [unsqueeze(x.as_buffer()) for x in group.column("packed")]
+        names = [who for _, _, _, _, who, _, _ in packets]
+        docs_upto = np.concatenate([[0], np.cumsum([len(who) for who in names])])
+        cols = [np.zeros(docs_upto[-1], np.int64), np.zeros(docs_upto[-1], np.int64), np.zeros(docs_upto[-1]), np.zeros(docs_upto[-1])]
+        slices = max(1, -(-sum(len(at) for *_, at in packets) // SLICE))
+        edges = np.array([q * (1 << 64) // slices for q in range(1, slices)], np.uint64)
+        # where each slice of words starts in a packet: among its words, tokens, and tokens whose context is not frequent
+        cuts = [np.concatenate([[0], np.searchsorted(w, edges), [len(w)]]) for w, *_ in packets]
+        tokens_at = [np.concatenate([[0], np.cumsum(k, dtype=np.int64)])[c] for (_, k, *_), c in zip(packets, cuts, strict=True)]
+        rare_at = [np.concatenate([[0], np.cumsum(code == CONTEXTS)])[c] for (_, _, code, *_), c in zip(packets, tokens_at, strict=True)]
+        for q in range(slices):
+            ws, cs, ds, ts = [], [], [], []
+            for (w, k, code, rare, who, train, at), first_doc, c, t, r in zip(packets, docs_upto, cuts, tokens_at, rare_at, strict=False):
+                words, here = slice(c[q], c[q + 1]), slice(t[q], t[q + 1])
+                ws.append(np.repeat(w[words], k[words]))
+                cs.append(local(code[here], rare[r[q] : r[q + 1]], ids))
+                ds.append(at[here].astype(np.int32) + np.int32(first_doc))
+                ts.append(np.unpackbits(train, count=len(who)).astype(bool)[at[here]])
+            w, ctx, doc, train = (np.concatenate(x) for x in (ws, cs, ds, ts))
+            if len(w):
+                add_rates(cols, w, ctx, doc, train, ids, customers, tables)
+        packed = [pack(who, small(cols[0][a:b]), small(cols[1][a:b]), cols[2][a:b], cols[3][a:b].astype(np.float32)) for who, a, b in zip(names, docs_upto[:-1], docs_upto[1:], strict=True)]
         rated = pa.table({"lot": group.column("lot"), "kind": group.column("kind"), "packed": pa.array(packed, pa.binary())})
         return pa.concat_tables([back.combine_chunks(), rated.combine_chunks()])
 
