@@ -124,7 +124,7 @@ TOOLS = [("ask", "text", "string", True), ("ask", "turn", "integer", True), ("as
 
 @_query
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls of two tools are the user turns of conversations, each behind the two before it; results the assistant turns after them."""
+    """Calls of two tools are the user turns of conversations, each behind the one before it and the third behind both; results the assistant turns after them."""
     schemas = spark.createDataFrame(TOOLS, "name string, field string, type string, required boolean")
     return tool_calls.link(tool_calls.as_calls(table(spark, sf_dir, "conversations")), schemas)
 

@@ -138,12 +138,12 @@ def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
 def as_calls(conversations: DataFrame) -> DataFrame:
     """A conversation as tool messages: each user turn is a call, and an assistant turn answers the turn before it.
 
-    The first user turn calls "ask", the others "follow_up", which depends on the two user turns before it. Arguments: text (unless null), turn,
+    The first user turn calls "ask", the others "follow_up", which depends on the user turn before it, the third one on both before it. Arguments: text (unless null), turn,
     lines if there are several, and from the seventh turn on a limit as text.
     """
     call = """named_struct('id', concat(conv_id, ':', turn), 'name', if(turn < 2, 'ask', 'follow_up'),
       'arguments', named_struct('limit', if(turn >= 6, string(turn), null), 'lines', if(text like '%\\n%', length(text) - length(replace(text, '\\n', '')) + 1, null), 'text', text, 'turn', turn),
-      'depends_on', filter(array(if(turn >= 2, concat(conv_id, ':', turn - 2), null), if(turn >= 4, concat(conv_id, ':', turn - 4), null)), x -> x is not null))"""
+      'depends_on', filter(array(if(turn >= 2, concat(conv_id, ':', turn - 2), null), if(turn IN (4, 5), concat(conv_id, ':', turn - 4), null)), x -> x is not null))"""
     ask = F.expr(f"to_json(named_struct('tool_calls', array({call})))")
     reply = F.expr("to_json(named_struct('tool_call_id', concat(conv_id, ':', turn - 1), 'content', coalesce(text, '')))")
     rows = conversations.where("role IN ('user', 'assistant')")
