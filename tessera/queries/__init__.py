@@ -103,7 +103,7 @@ SELECT output_field, m.metric, round(m.value, 6) AS value, CASE WHEN m.metric =
 {{metric: 'row_count', value: n}}, {{metric: 'null_ratio', value: nulls / n}}, {{metric: 'warmup_incomplete_count', value: cold}}, {{metric: 'symbol_count', value: symbols}}, {{metric: 'symbol_coverage_ratio', value: covered / symbols}}, {{metric: 'warmup_drop_count', value: dropped}}, {{metric: 'duplicate_key_count', value: 0::double}}, {{metric: 'extreme_value_count', value: extreme}}, {{metric: 'future_leakage_count', value: 0::double}}]) AS m FROM s)"""
 )
 def feature_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.quality(_long(spark, sf_dir)).select("output_field", "metric", F.round("value", 6).alias("value"), "severity")
+    return features.quality(_long(spark, sf_dir)).select("output_field", "metric", rounded("value").alias("value"), "severity")
 
 
 @query(
@@ -111,7 +111,7 @@ def feature_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def snapshot_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = F.size(F.filter(F.map_values("features"), lambda v: v.isNotNull())).cast("long")
-    return features.snapshots(_long(spark, sf_dir)).select(*_out(), F.array_join(F.array_sort(F.map_keys("features")), ",").alias("fields"), values.alias("n_values"), F.round(F.try_element_at("features", F.lit("ma_5")), 6).alias("ma_5"), "warmup_complete")
+    return features.snapshots(_long(spark, sf_dir)).select(*_out(), F.array_join(F.array_sort(F.map_keys("features")), ",").alias("fields"), values.alias("n_values"), rounded(F.try_element_at("features", F.lit("ma_5"))).alias("ma_5"), "warmup_complete")
 
 
 @query()
@@ -135,7 +135,7 @@ SELECT output_field, m.metric, round(m.value, 6) AS value FROM (SELECT output_fi
 )
 def prefix_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics, _ = features.probe(by_type(spark, sf_dir), _PROBE)
-    return metrics.select("output_field", "metric", F.round("value", 6).alias("value"))
+    return metrics.select("output_field", "metric", rounded("value").alias("value"))
 
 
 # -- labels and datasets
@@ -150,7 +150,7 @@ def _labels(spark: SparkSession, sf_dir: str, bars=by_user) -> DataFrame:
 
 @query(f"WITH {BY_USER}, {_LAB} SELECT symbol, CAST(trading_date AS varchar) AS trading_date, round(y, 6) AS value_float FROM lab")
 def forward_return(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _labels(spark, sf_dir).select("symbol", F.date_format("as_of", "yyyy-MM-dd").alias("trading_date"), F.round("value_float", 6).alias("value_float"))
+    return _labels(spark, sf_dir).select("symbol", F.date_format("as_of", "yyyy-MM-dd").alias("trading_date"), rounded("value_float").alias("value_float"))
 
 
 @query(
@@ -189,7 +189,7 @@ def _out() -> list:
 
 @query(f"WITH {_XY} SELECT symbol, CAST(trading_date AS varchar) AS trading_date, {rounded_sql('ret_1')} AS ret_1, round(ma_5, 6) AS ma_5, round(y, 6) AS fwd_1 FROM xf JOIN yl USING (symbol, trading_date)")
 def train_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return datasets.join(*_ready(spark, sf_dir)).select(*_out(), rounded("ret_1").alias("ret_1"), rounded("ma_5").alias("ma_5"), F.round("fwd_1", 6).alias("fwd_1"))
+    return datasets.join(*_ready(spark, sf_dir)).select(*_out(), rounded("ret_1").alias("ret_1"), rounded("ma_5").alias("ma_5"), rounded("fwd_1").alias("fwd_1"))
 
 
 @query(f"WITH {_XY} SELECT symbol, CAST(trading_date AS varchar) AS trading_date FROM xf ANTI JOIN yl USING (symbol, trading_date)")
@@ -205,7 +205,7 @@ def train_label_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_XY} SELECT symbol, CAST(trading_date AS varchar) AS trading_date, round(y, 6) AS fwd_1 FROM x JOIN lab USING (symbol, trading_date) WHERE warm AND y IS NOT NULL")
 def matrix_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, _ = datasets.filtered(datasets.join(*_matrices(spark, sf_dir)), ["fwd_1"])
-    return kept.select(*_out(), F.round("fwd_1", 6).alias("fwd_1"))
+    return kept.select(*_out(), rounded("fwd_1").alias("fwd_1"))
 
 
 @query(
@@ -233,7 +233,7 @@ def _ic_sql(x: str, y: str) -> str:
 
 def _evaluated(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
     out = evaluation.evaluate(_REQUEST, _snapshots(spark, sf_dir, ["ret_1"]), _labels(spark, sf_dir), checked=True)
-    return out.where(F.col("metric") == metric).select(F.date_format("as_of", "yyyy-MM-dd").alias("trading_date"), "bucket", F.round("value", 6).alias("value"), "sample_count", "status")
+    return out.where(F.col("metric") == metric).select(F.date_format("as_of", "yyyy-MM-dd").alias("trading_date"), "bucket", rounded("value").alias("value"), "sample_count", "status")
 
 
 @query(_ic_sql("x", "y"))
@@ -275,7 +275,7 @@ def _weights_sql(which: str) -> str:
 
 
 def _weights(spark: SparkSession, sf_dir: str, config: portfolio.PortfolioConfig) -> DataFrame:
-    return portfolio.weights(_scores(spark, sf_dir), config, checked=True).select(*_out(), F.round("weight", 6).alias("weight"))
+    return portfolio.weights(_scores(spark, sf_dir), config, checked=True).select(*_out(), rounded("weight").alias("weight"))
 
 
 @query(_weights_sql("pos < 10"))
@@ -315,7 +315,7 @@ def backtest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BY_TYPE}, p AS (SELECT symbol, trading_date, close AS nav, max(close) OVER ({W}) AS peak FROM bars) SELECT symbol AS backtest_run_id, CAST(trading_date AS varchar) AS trading_date, round(peak, 6) AS peak, round(CASE WHEN peak > 0 THEN (peak - nav) / peak ELSE 0 END, 6) AS drawdown FROM p")
 def drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     nav = by_type(spark, sf_dir).select(F.col("symbol").alias("backtest_run_id"), "trading_date", F.col("close").alias("nav"))
-    return _day(portfolio.drawdowns(nav).select("backtest_run_id", "trading_date", F.round("peak", 6).alias("peak"), F.round("drawdown", 6).alias("drawdown")))
+    return _day(portfolio.drawdowns(nav).select("backtest_run_id", "trading_date", rounded("peak").alias("peak"), rounded("drawdown").alias("drawdown")))
 
 
 # -- scans, crops and ingestion
@@ -433,7 +433,7 @@ def coverage_unexpected(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT *, round(CASE WHEN expected > 0 THEN matched / expected WHEN actual > 0 THEN 0.0 ELSE 1.0 END, 6) AS coverage_ratio FROM m"""
 )
 def coverage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _day(_analysis(spark, sf_dir).metrics.withColumn("coverage_ratio", F.round("coverage_ratio", 6)))
+    return _day(_analysis(spark, sf_dir).metrics.withColumn("coverage_ratio", rounded("coverage_ratio")))
 
 
 for _name, (_query, _sql) in runs.RUNS.items():

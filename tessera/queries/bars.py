@@ -75,9 +75,11 @@ def factor_sql(bars: str = BY_TYPE) -> str:
 
 
 def rounded(c: str | Column, digits: int = 6) -> Column:
-    """Rounded; infinities and NaN as they are."""
+    """Rounded as SQL's round() of a double does it, so that halves fall alike: F.round() goes by the decimal digits, SQL by the
+    product with the power of ten. What is infinite or NaN, there or before, stays as it is."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), c).otherwise(F.round(c, digits))
+    scaled = c * 10.0**digits
+    return F.when(F.isnan(scaled) | (F.abs(scaled) == float("inf")), c).otherwise(F.round(scaled) / 10.0**digits)
 
 
 def rounded_sql(e: str, digits: int = 6) -> str:

@@ -53,7 +53,7 @@ def pinned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     for day in days:
         store.put_partition("market_data", "events", "v1", day, _curated(bars.where(F.col("trading_date") == F.lit(day).cast("date"))), hashed)
     ref = TableRef.of("market_data", snapshot_set_id=store.pin("market_data", "events", "v1", days[:7])["run_id"]).uri
-    return store.scan(ref, CURATED_BAR).select("symbol", F.col("trading_date").cast("string").alias("trading_date"), F.round(F.col("open").cast("double"), 6).alias("open"), F.round(F.col("close").cast("double"), 6).alias("close"))
+    return store.scan(ref, CURATED_BAR).select("symbol", F.col("trading_date").cast("string").alias("trading_date"), rounded(F.col("open").cast("double")).alias("open"), rounded(F.col("close").cast("double")).alias("close"))
 
 
 def _ran(spark: SparkSession, sf_dir: str) -> tuple[Store, str, research.RunResult, research.RunResult]:
@@ -75,7 +75,7 @@ def training_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars, features and labels through their runs and gates to a training matrix."""
     store, _, run, made = _ran(spark, sf_dir)
     matrix = research.training_matrix(store, run.snapshot_ref, made.details["label_ref"])
-    return matrix.select("symbol", F.date_format("as_of", "yyyy-MM-dd").alias("trading_date"), rounded("ret_1").alias("ret_1"), rounded("ma_5").alias("ma_5"), F.round("fwd_1", 6).alias("fwd_1"))
+    return matrix.select("symbol", F.date_format("as_of", "yyyy-MM-dd").alias("trading_date"), rounded("ret_1").alias("ret_1"), rounded("ma_5").alias("ma_5"), rounded("fwd_1").alias("fwd_1"))
 
 
 @_run(f"WITH {_FROM} SELECT symbol, CAST(trading_date AS varchar) AS trading_date, round(fwd_1, 6) AS fwd_1 FROM late WHERE warm AND fwd_1 IS NOT NULL")
@@ -84,7 +84,7 @@ def materialized_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, _, run, made = _ran(spark, sf_dir)
     matrix = research.training_matrix(store, run.snapshot_ref, made.details["label_ref"])
     m = research.materialize(store, "set", matrix, ["fwd_1"], f"{store.root}/artifacts")
-    return spark.read.parquet(research.parquet_path(m["artifact"])).select("symbol", F.date_format("as_of", "yyyy-MM-dd").alias("trading_date"), F.round("fwd_1", 6).alias("fwd_1"))
+    return spark.read.parquet(research.parquet_path(m["artifact"])).select("symbol", F.date_format("as_of", "yyyy-MM-dd").alias("trading_date"), rounded("fwd_1").alias("fwd_1"))
 
 
 @_run(

@@ -46,3 +46,14 @@ def test_oracle(spark, name):
     df, sql = queries.QUERIES[name](spark, SF), c.sql(queries.ORACLES[name])
     assert sorted(df.columns) == sorted(sql.columns)
     assert canon(df.collect(), df.columns) == canon(sql.fetchall(), list(sql.columns))
+
+
+def test_halves_are_rounded_as_in_sql(spark, tmp_path):
+    """19.77 / 6.4 - 1 and the like lie by a half of the last digit, give or take the last bit."""
+    pairs = [(6.4, 19.77), (6.4, 217.07), (32.0, 163.17), (1.28, 1.01), (50.0, 0.0), (0.0, 3.5)]
+    rows = [(user, f"2024-01-0{day + 1} 00:00:0{user}", pair[day], "view") for user, pair in enumerate(pairs) for day in range(2)]
+    spark.createDataFrame(rows, "user_id long, ts string, value double, event_type string").selectExpr("user_id", "cast(ts AS timestamp_ntz) AS ts", "value", "event_type").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    df, sql = queries.QUERIES["builtin_factors_by_user"](spark, str(tmp_path)), c.sql(queries.ORACLES["builtin_factors_by_user"])
+    assert canon(df.collect(), df.columns) == canon(sql.fetchall(), list(sql.columns))
