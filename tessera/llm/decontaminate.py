@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
+from .spread import lean
 
 SHINGLE = 5
 PERCENT = 80
@@ -229,7 +230,7 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
-        out = out.union(rows.mapInArrow(look, schema))
+        out = out.union(rows.mapInArrow(lean(look), schema))
     return out
 
 
@@ -246,5 +247,5 @@ def drop_leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
                     keep[[t.first + r for r, _ in _matches(t, held.value)]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(sift, docs.schema)
+        docs = docs.mapInArrow(lean(sift), docs.schema)
     return docs

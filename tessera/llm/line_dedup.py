@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .spread import settle
+from .spread import lean, settle
 
 MAX_RATIO = 0.01
 MIN_PAGES = 5
@@ -93,7 +93,7 @@ def boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
             none = np.zeros(len(s), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(none), pa.array(none), pa.array(np.array(list(pages.values()), np.int64))], ["site", "k1", "k2", "n"])
 
-    rows = docs.select(F.col(text).alias("t"), F.col(site).cast("string").alias("s")).mapInArrow(count, "site long, k1 long, k2 long, n long")
+    rows = docs.select(F.col(text).alias("t"), F.col(site).cast("string").alias("s")).mapInArrow(lean(count), "site long, k1 long, k2 long, n long")
     counts = settle(rows.groupBy("site", "k1", "k2").agg(F.sum("n").alias("n")).where((F.col("n") >= min_pages) | ((F.col("k1") == 0) & (F.col("k2") == 0))))
     pages = counts.where("k1 = 0 and k2 = 0").select(F.col("site").alias("s"), F.col("n").alias("pages"))
     often = counts.where("k1 <> 0 or k2 <> 0").join(pages, F.col("site") == F.col("s"))
@@ -153,7 +153,7 @@ def drop_lines(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = M
             for b in batches:
                 yield from cleaned(b, held.value)
 
-        return docs.mapInArrow(clean, kind)
+        return docs.mapInArrow(lean(clean), kind)
 
     names = [*docs.columns, "_tessera_site", "_tessera_roll"]
 
@@ -164,7 +164,7 @@ def drop_lines(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = M
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sites.view(np.int64)), pa.array((texts >> np.uint64(33)).astype(np.int64))], names)
 
     sites = found.groupBy("site").agg(F.ceil(F.first("pages") / GROUP_PAGES).alias("parts"))
-    rows = docs.mapInArrow(named, type(docs.schema)(list(docs.schema.fields)).add(names[-2], "long").add(names[-1], "long"))
+    rows = docs.mapInArrow(lean(named), type(docs.schema)(list(docs.schema.fields)).add(names[-2], "long").add(names[-1], "long"))
     rows = rows.join(sites.withColumnRenamed("site", "_tessera_s"), F.col(names[-2]) == F.col("_tessera_s"), "left")
     own = [F.col(f"`{c}`") for c in docs.columns]
     others = rows.where("parts is null").select(*own)  # pages of sites that lose nothing
@@ -184,4 +184,4 @@ def drop_lines(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = M
         for b in batches:
             yield from cleaned(b, none)
 
-    return rows.groupBy("_tessera_g").cogroup(keys.groupBy("_tessera_k")).applyInArrow(cut, kind).union(others.mapInArrow(count, kind))
+    return rows.groupBy("_tessera_g").cogroup(keys.groupBy("_tessera_k")).applyInArrow(cut, kind).union(others.mapInArrow(lean(count), kind))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import text as X
 from .components import components
-from .spread import at_most, buckets, by_bucket, discard, pack, settle, small, unpack
+from .spread import at_most, buckets, by_bucket, discard, lean, lean_group, pack, settle, small, unpack
 
 SHINGLE = 5
 PERCENT = 80
@@ -119,7 +119,7 @@ def survey(docs: DataFrame) -> DataFrame:
         if size:
             yield flush()
 
-    return docs.mapInArrow(look, "kind int, doc_id long, n long, k1 long, k2 long")
+    return docs.mapInArrow(lean(look), "kind int, doc_id long, n long, k1 long, k2 long")
 
 
 def _heavy(found: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
@@ -258,7 +258,7 @@ def postings(docs: DataFrame, heavy: Broadcast, most: int) -> DataFrame:
         kind = np.repeat(np.array([0, 1], np.int32), [len(k), len(pair)])
         return pa.table({"kind": kind, "k": np.concatenate([k.view(np.int64), pair[:, 2]]), "a": np.concatenate([b, pair[:, 0]]), "b": np.concatenate([m, pair[:, 1]]), "c": np.concatenate([np.ones(len(k), np.int64), count])})
 
-    return docs.mapInArrow(deal, "bucket int, packed binary").groupBy("bucket").applyInArrow(match, "kind int, k long, a long, b long, c long")
+    return docs.mapInArrow(lean(deal), "bucket int, packed binary").groupBy("bucket").applyInArrow(lean_group(match), "kind int, k long, a long, b long, c long")
 
 
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -290,7 +290,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                         good.append(j)
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
 
-    out = settle(rows.mapInArrow(hold, "a long, b long"))
+    out = settle(rows.mapInArrow(lean(hold), "a long, b long"))
     discard(pairs, dealt)
     return out
 
@@ -329,7 +329,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(t.first, len(t)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["node", "set"])
 
     few = nodes.select(F.col("node").alias("_node")).distinct()
-    return docs.join(few, F.col("doc_id") == F.col("_node"), "left_semi").select("doc_id", "text").mapInArrow(make, "node long, set array<long>")
+    return docs.join(few, F.col("doc_id") == F.col("_node"), "left_semi").select("doc_id", "text").mapInArrow(lean(make), "node long, set array<long>")
 
 
 def candidates(docs: DataFrame, left: DataFrame, most: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
@@ -415,9 +415,9 @@ def candidates(docs: DataFrame, left: DataFrame, most: int) -> tuple[DataFrame,
     dealt = heavy.join(own, "node").withColumn("block", F.pmod(F.xxhash64("node"), parts).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     dealt = dealt.select("k", "node", "n", "comp", "keys", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    named = settle(dealt.groupBy("k", "i", "j").applyInArrow(meet, "k long, i int, j int, node long, others array<long>"))
+    named = settle(dealt.groupBy("k", "i", "j").applyInArrow(lean_group(meet), "k long, i int, j int, node long, others array<long>"))
     sets = settle(whole_sets(docs, named))
-    links = settle(named.join(sets, "node").groupBy("k", "i", "j").applyInArrow(judge, "a long, b long"))
+    links = settle(named.join(sets, "node").groupBy("k", "i", "j").applyInArrow(lean_group(judge), "a long, b long"))
     discard(named, sets)
     return pairs, links, [sized]
 

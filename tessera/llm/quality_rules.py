@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
+from .spread import lean, lean_group
 
 BINS = 1 << 16
 BLOCK = 1 << 12
@@ -74,7 +75,7 @@ def gram_counts(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id:
 
     schema = "block int, counts binary"
     out = np.zeros((2, BINS), dtype=np.int64)
-    for row in rows.mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema).collect():  # BINS / BLOCK rows
+    for row in rows.mapInArrow(lean(count), schema).groupBy("block").applyInArrow(lean_group(add), schema).collect():  # BINS / BLOCK rows
         out[:, row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.counts, dtype=np.int64).reshape(2, BLOCK)
     return out[0], out[1]
 
@@ -143,7 +144,7 @@ def quality(docs: DataFrame, trusted: DataFrame, min_score: float = MIN_SCORE, t
                 names = [x.split()[0] for x in RESULT.split(", ")]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(t.first, len(t)), *(pa.array(f[k]) for k in names[1:])], names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(judge, RESULT)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(judge), RESULT)
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
@@ -158,4 +159,4 @@ def keep_good(docs: DataFrame, trusted: DataFrame, min_score: float = MIN_SCORE)
                 f = row_features(t, ratio.value)
                 yield b.slice(t.first, len(t)).filter(pa.array(~f["base_failed"] & (f["score"] >= floor)))
 
-    return docs.mapInArrow(sift, docs.schema)
+    return docs.mapInArrow(lean(sift), docs.schema)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -121,3 +123,52 @@ def at_most(counts: DataFrame, key: str, n: str, most: int) -> tuple[np.ndarray,
     k = top[key].to_numpy().view(np.uint64)
     order = np.argsort(k)
     return k[order], top[n].to_numpy()[order]
+
+
+_LIBC = ctypes.CDLL(None)
+#: Arrays from this size on are memory of their own, which goes back as soon as they are freed (mallopt's M_MMAP_THRESHOLD is -3).
+APART = 1 << 20
+#: Groups of so many bytes are taken before a worker gives back what it has freed.
+EVERY = 16 << 20
+
+
+def give_back() -> None:
+    """What this Python has freed goes back to the system; a worker would keep it for its next task, beside its executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def _set_apart() -> None:
+    if hasattr(_LIBC, "mallopt"):
+        _LIBC.mallopt(-3, APART)
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for mapInArrow, from a worker that holds on to no memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _set_apart()
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def lean_group(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """f for applyInArrow, likewise."""
+    taken = EVERY
+
+    def run(table: pa.Table) -> pa.Table:
+        nonlocal taken
+        _set_apart()
+        out = f(table)
+        taken += table.nbytes
+        if taken >= EVERY:
+            taken = 0
+            give_back()
+        return out
+
+    return run

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 import pytest
@@ -92,3 +96,34 @@ def test_odd_and_empty_tables(spark, tmp_path):
         assert out.columns == [*docs.columns, "taken"]
         got = sorted(((r.doc_id or 0), r.site, r.n_chars == len(r.text)) for r in out.collect())
         assert got == ([] if name == "none" else [(0, "mine", True), (1, "mine", True)])
+
+
+HELD = r'''
+import re
+import pyarrow as pa
+from pyspark.sql import SparkSession
+from tessera.llm import ngram_join, quality_rules
+
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://" + FOLDER).config("spark.sql.shuffle.partitions", "2").getOrCreate()
+
+def held(batches):
+    for _ in batches:
+        pass
+    yield pa.RecordBatch.from_arrays([pa.array([int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) >> 10])], ["mb"])
+
+def run(n, words):
+    docs = spark.range(n).selectExpr("id AS doc_id", f"array_join(transform(sequence(1, {words}), x -> conv(abs(xxhash64(id, x)) % 1000000, 10, 36)), ' ') AS text").coalesce(1)
+    for df in (ngram_join.survey(docs), quality_rules.quality(docs, docs.limit(2))):
+        df.write.format("noop").mode("overwrite").save()
+    return spark.range(1).mapInArrow(held, "mb long").first().mb
+
+print("HELD", run(3, 10), run(400, 20_000))
+'''
+
+
+def test_a_worker_keeps_no_memory_of_its_last_task(tmp_path):
+    """Workers wait beside their executor, and count in its memory, until the next task."""
+    root = str(Path(__file__).resolve().parents[2])
+    out = subprocess.run([sys.executable, "-c", f"FOLDER = {str(tmp_path)!r}\n{HELD}"], cwd=root, env={**os.environ, "PYTHONPATH": root}, capture_output=True, text=True, timeout=200)
+    first, then = map(int, out.stdout.rpartition("HELD")[2].split())
+    assert then <= first + 6, (first, then)
