@@ -13,6 +13,8 @@ from .spread import discard, settle, shared_dir
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Labelled documents, of one kind, up to which op5 sends their ids to the executors; a bounded table.
+BROADCAST_IDS = 1_000_000
 
 
 def _query(f: Query) -> Query:
@@ -151,7 +153,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents come in; those labelled toxic go; those of low quality are counted anew as their whole text with its white space made single spaces. The second batch is sent twice."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_d"), "quality", "toxic")
-    of = lambda rows, which: rows.join(labels.where(which), F.col("doc_id") == F.col("_d"), "left_semi")
+
+    def of(rows: DataFrame, which: str) -> DataFrame:
+        ids = labels.where(which).select("_d")
+        few = ids.count() <= BROADCAST_IDS  # then the ids go to the texts, not the texts to the ids
+        return rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_d"), "left_semi")
+
     poor = "quality = 0 AND toxic = 0"
     whole = settle(token_counts.count_tokens(docs))
     tidy = token_counts.count_tokens(of(docs, poor).withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " "))))

@@ -435,3 +435,23 @@ def test_registered_totals_count_whole_texts(spark, tmp_path):
     spark.createDataFrame([(0, 0, 0), (1, 1, 0), (2, 0, 1), (3, 0, 0), (4, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {r.version: (r.docs, r.tokens) for r in queries.op5_token_counts(spark, str(tmp_path)).collect()}
     assert got["words"] == (4, 8)
+
+
+def test_registered_totals_move_no_texts_but_of_many_labels(spark, tmp_path, monkeypatch):
+    from tessera.llm import queries
+
+    spark.createDataFrame([(i, f"a  b{' c' * i}" if i else None, "en", "s") for i in (*range(60), 7)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in (*range(40), 4, 99)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    plans, made = [], token_counts.count_tokens
+    monkeypatch.setattr(token_counts, "count_tokens", lambda docs: plans.append(docs._jdf.queryExecution().executedPlan().toString()) or made(docs))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        totals = [{tuple(r) for r in queries.op5_token_counts(spark, str(tmp_path)).collect()}]
+        monkeypatch.setattr(queries, "BROADCAST_IDS", 3, raising=False)
+        totals.append({tuple(r) for r in queries.op5_token_counts(spark, str(tmp_path)).collect()})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "BroadcastHashJoin" in plans[1] and "SortMergeJoin" not in plans[1] and "SortMergeJoin" in plans[3]
+    kept = [i for i in (*range(60), 7) if not (i < 40 and i % 3 == 0)]
+    assert totals[0] == totals[1] and ("s", "en", "words", len(kept), sum(2 + i for i in kept)) in totals[0]
